@@ -1,67 +1,71 @@
-"""Ordered running totals and ranks that never put a whole group into one task.
+"""Ordered running totals and ranks that never put a large group into one task.
 
-A plain window sorts each partition group in a single task. When the axis is long (scores,
-durations, hashes) the group is cut into ranges of the axis instead: every range gets its own
-window, and the totals of the ranges before it are added from a small aggregate.
+A plain window sorts each partition group in a single task. That is right for a short axis, such as
+the week grid of a study. When the axis is long (scores, durations) it is cut into ranges instead:
+every range gets its own window, and the totals of the ranges before it are added from a small
+aggregate. Which of the two is needed is decided from the row count of the aggregated table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.columns import HASH_SPAN, hash32
+from cohortline.session import materialize
 
 RANGES = 256
+PLAIN_ROWS = 1_000_000  # up to this many aggregated rows a plain window cannot overload a task
 
 
-def axis_edges(df: DataFrame, order: str, ranges: int = RANGES) -> Column:
-    """Cut points of the axis as a scalar subquery: at most ``ranges - 1`` numbers."""
-    probs = [i / ranges for i in range(1, ranges)]
-    return df.agg(F.array_distinct(
-        F.percentile_approx(F.col(order).cast("double"), probs, 10000)).alias("edges")).scalar()
-
+def cut_axis(df: DataFrame, order: str, ranges: int = RANGES,
+             plain_rows: int | None = None) -> tuple[DataFrame, str | None]:
+    """Write an aggregated table once and, if it is long, cut its axis.
 
-def axis_range(edges: Column, order: str) -> Column:
-    """Index of the range that a value falls into: the number of edges below it."""
-    return F.size(F.filter(edges, lambda e: e < F.col(order)))
+    Returns the written table and the name of its range column, or None when a plain window will
+    do. The cut points are at most ``ranges - 1`` quantiles; the range of a row is their number
+    below its value.
+    """
+    table = materialize(df)
+    if table.count() <= (PLAIN_ROWS if plain_rows is None else plain_rows):  # read from file footers
+        return table, None
+    probs = [i / ranges for i in range(1, ranges)]
+    edges = table.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10000)).first()[0]
+    cuts = F.lit(sorted(set(edges or [])))
+    return table.withColumn("_range", F.size(F.filter(cuts, lambda e: e < F.col(order)))), "_range"
 
 
 def running_totals(df: DataFrame, order: str, sums: Mapping[str, str], by: Sequence[str] = (),
-                   descending: bool = False, bounded: bool = False, ranges: int = RANGES,
-                   range_col: str | None = None) -> DataFrame:
+                   descending: bool = False, bounded: bool = False, range_col: str | None = None) -> DataFrame:
     """Add inclusive running sums ``{new: column}`` along ``order`` within ``by``.
 
     ``df`` holds one row per (``by``, ``order``), so aggregate first. ``bounded=True`` promises a
-    short axis (such as the week grid of a study) and uses one plain window. ``range_col`` names
-    an existing column of axis ranges, for loops that have cut the axis before.
+    short axis and uses a plain window; ``range_col`` names the range column of a table that
+    :func:`cut_axis` has cut. With neither, the table is written and cut here as needed.
     """
-    by = list(by)
+    by, columns = list(by), df.columns
+    if not bounded and range_col is None:
+        df, range_col = cut_axis(df, order)
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    if bounded:
+    if range_col is None:
         w = Window.partitionBy(*by).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({new: F.sum(c).over(w) for new, c in sums.items()})
 
-    rng = range_col or "_range"
-    cut = df if range_col else (
-        df.withColumn("_edges", axis_edges(df, order, ranges))
-        .withColumn(rng, axis_range(F.col("_edges"), order)).drop("_edges"))
-    step = F.col(rng).desc() if descending else F.col(rng).asc()
+    step = F.col(range_col).desc() if descending else F.col(range_col).asc()
     before = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*by, rng).agg(*[F.sum(c).alias(f"_t_{new}") for new, c in sums.items()])
+    totals = df.groupBy(*by, range_col).agg(*[F.sum(c).alias(f"_t_{new}") for new, c in sums.items()])
     offsets = totals.select(
-        *[F.col(c).alias(f"_k_{c}") for c in [*by, rng]],
-        *[F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_o_{new}") for new in sums])
-    inside = Window.partitionBy(*by, rng).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumns({new: F.sum(c).over(inside) for new, c in sums.items()})
+        *[F.col(c).alias(f"_k_{c}") for c in [*by, range_col]],
+        *[F.sum(f"_t_{new}").over(before).alias(f"_o_{new}") for new in sums])
+    inside = Window.partitionBy(*by, range_col).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumns({new: F.sum(c).over(inside) for new, c in sums.items()})
     on = F.lit(True)
-    for c in [*by, rng]:
+    for c in [*by, range_col]:
         on = on & local[c].eqNullSafe(offsets[f"_k_{c}"])
-    out = local.join(offsets, on, "left")
-    keep = [F.col(c) for c in df.columns]
-    return out.select(*keep, *[(F.col(new) + F.coalesce(F.col(f"_o_{new}"), F.lit(0))).alias(new) for new in sums])
+    return local.join(offsets, on).select(
+        *columns, *[(F.col(new) + F.coalesce(F.col(f"_o_{new}"), F.lit(0))).alias(new) for new in sums])
 
 
 def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), name: str = "rank",

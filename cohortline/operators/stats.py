@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.tails import with_p_value
 from cohortline.operators.panel import pivot_weeks
-from cohortline.operators.running import running_totals
+from cohortline.operators.running import cut_axis, running_totals
+from cohortline.session import materialize
 
 
 def group_counts(df: DataFrame, key: str, value: str, by: Sequence[str]) -> DataFrame:
@@ -82,9 +83,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
     value at one or two ranks, found by a conditional minimum. No group is sorted in one task.
     """
     by = list(by)
-    counts = value_counts(df, value, by)
+    return _count_quantiles(*cut_axis(value_counts(df, value, by), value), value, probs, by)
+
+
+def _count_quantiles(counts: DataFrame, range_col: str | None, value: str, probs: dict[str, float],
+                     by: list[str]) -> DataFrame:
+    """Quantiles of a written table of distinct values and their counts."""
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("_size"))
-    ranked = running_totals(counts, value, {"_upto": "n"}, by)
+    ranked = running_totals(counts, value, {"_upto": "n"}, by, bounded=range_col is None, range_col=range_col)
     joined = _join_by(ranked, sizes, by)
     low = {k: F.floor((F.col("_size") - 1) * F.lit(q)) for k, q in probs.items()}
     aggs = [F.max("_size").alias("n")]
@@ -115,8 +121,9 @@ def _join_by(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
 def box_summary(df: DataFrame, value: str, by: Sequence[str] = (), whisker: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5 IQR of the box, and outliers beyond."""
     by = list(by)
-    q = exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
-    counts = _join_by(value_counts(df, value, by).withColumnRenamed("n", "_n"), q, by)
+    counts, range_col = cut_axis(value_counts(df, value, by), value)
+    q = _count_quantiles(counts, range_col, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    counts = _join_by(counts.withColumnRenamed("n", "_n"), q.drop("n"), by)
     span = F.lit(whisker) * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - span) & (F.col(value) <= F.col("q3") + span)
     return counts.groupBy(*by).agg(
@@ -151,7 +158,7 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = (), width: float =
     Density integrates to one within each group. Empty bins are not listed.
     """
     by = list(by)
-    counts = value_counts(df, value, by)
+    counts = materialize(value_counts(df, value, by))
     ends = counts.agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
     placed = _join_by(counts, ends, [])
     offset = F.col(value) - F.col("_min")
@@ -173,7 +180,10 @@ def kde(df: DataFrame, value: str, by: Sequence[str] = (), grid: int = 200) -> D
     """
     by = list(by)
     counts = value_counts(df, value, by)
-    stats = df.groupBy(*by).agg(F.count(value).alias("_size"), F.stddev_samp(value).alias("_sd"))
+    mean = counts.groupBy(*by).agg(F.sum("n").alias("_size"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("_mean"))
+    gap = F.col(value) - F.col("_mean")
+    stats = _join_by(counts, mean, by).groupBy(*by).agg(
+        F.max("_size").alias("_size"), F.sqrt(F.try_divide(F.sum(F.col("n") * gap * gap), F.max("_size") - 1)).alias("_sd"))
     ends = counts.agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
     rows = _join_by(_join_by(counts, stats, by), ends, [])
     rows = (rows.withColumn("_h", F.col("_sd") * F.pow(F.col("_size"), F.lit(-0.2)))

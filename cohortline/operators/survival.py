@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.functions.tails import p_value
-from cohortline.operators.running import axis_edges, axis_range, running_totals
+from cohortline.operators.running import cut_axis, running_totals
 from cohortline.session import materialize
 
 DIRECT_TERMS = 256  # tied-death terms summed one by one; the smooth rest in closed form
@@ -38,6 +38,7 @@ class CoxModel:
     n_events: int
     ties: str
     _cells: DataFrame = field(repr=False)
+    _range: str | None = field(repr=False)
 
     def linear_predictor(self) -> Column:
         """Sum of coefficient times centered covariate."""
@@ -56,12 +57,14 @@ class CoxModel:
     def baseline_hazard(self) -> DataFrame:
         """Cumulative baseline hazard (Breslow) at each time, for centered covariates."""
         risk = F.exp(self.linear_predictor()) * F.col("_n")
-        per = self._cells.groupBy("_range", "_time").agg(
+        keys = [self._range] if self._range else []
+        cut = {"range_col": self._range, "bounded": self._range is None}
+        per = self._cells.groupBy(*keys, "_time").agg(
             F.sum(risk).alias("_r"), F.sum(F.col("_event") * F.col("_n")).alias("_d"))
-        at_risk = running_totals(per, "_time", {"_at_risk": "_r"}, descending=True, range_col="_range")
-        steps = at_risk.select("_range", F.col("_time").alias("time"),
+        at_risk = running_totals(per, "_time", {"_at_risk": "_r"}, descending=True, **cut)
+        steps = at_risk.select(*keys, F.col("_time").alias("time"),
                                (F.col("_d") / F.col("_at_risk")).alias("hazard"))
-        return running_totals(steps, "time", {"cumulative_hazard": "hazard"}, range_col="_range").select(
+        return running_totals(steps, "time", {"cumulative_hazard": "hazard"}, **cut).select(
             "time", "hazard", "cumulative_hazard")
 
 
@@ -94,7 +97,7 @@ def _tied_sums(s0: Column, d0: Column, d: Column) -> tuple[Column, Column, Colum
 
 
 def _cox_step(cells: DataFrame, covs: Sequence[str], center: np.ndarray, beta: np.ndarray, ties: str,
-              bounded: bool):
+              range_col: str | None):
     """Log-likelihood, score and information at ``beta``: one aggregation by event time."""
     p = len(covs)
     x = [F.col(c) - F.lit(float(m)) for c, m in zip(covs, center)]
@@ -112,12 +115,9 @@ def _cox_step(cells: DataFrame, covs: Sequence[str], center: np.ndarray, beta: n
     for i, j in pairs:
         aggs += [F.sum(risk * x[i] * x[j]).alias(f"r2_{i}_{j}"),
                  F.sum(risk * x[i] * x[j] * F.col("_event")).alias(f"d2_{i}_{j}")]
-    per = cells.groupBy("_range", "_time").agg(*aggs)
+    per = cells.groupBy(*([range_col] if range_col else []), "_time").agg(*aggs)
     sums = {"s0": "r0"} | {f"s1_{i}": f"r1_{i}" for i in range(p)} | {f"s2_{i}_{j}": f"r2_{i}_{j}" for i, j in pairs}
-    if bounded:
-        run = running_totals(per, "_time", sums, descending=True, bounded=True)
-    else:
-        run = running_totals(per, "_time", sums, descending=True, range_col="_range")
+    run = running_totals(per, "_time", sums, descending=True, bounded=range_col is None, range_col=range_col)
     run = run.filter(F.col("d") > 0)
     d, s0, d0 = F.col("d"), F.col("s0"), F.col("d0")
     if ties == "efron":
@@ -152,11 +152,12 @@ def _cox_step(cells: DataFrame, covs: Sequence[str], center: np.ndarray, beta: n
 
 
 def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str], ties: str = "efron",
-           max_steps: int = 25, tol: float = 1e-9, bounded: bool = False) -> CoxModel:
+           max_steps: int = 25, tol: float = 1e-9) -> CoxModel:
     """Cox regression by Newton's method.
 
     Rows are first reduced to counts of equal (time, event, covariates), which for coded covariates
-    on a week grid is a tiny table, and written once. ``bounded=True`` promises few distinct times.
+    on a week grid is a tiny table, and written once. Its size decides whether the axis of times is
+    cut into ranges.
     """
     if ties not in ("efron", "breslow"):
         raise ValueError("ties must be 'efron' or 'breslow'")
@@ -164,18 +165,13 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
     rows = df.select(F.col(duration).cast("double").alias("_time"), F.col(event).cast("int").alias("_event"),
                      *[F.col(c).cast("double").alias(c) for c in covs]).dropna()
     cells = rows.groupBy("_time", "_event", *covs).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    if bounded:
-        cells = cells.withColumn("_range", F.lit(0))
-    else:
-        cells = (cells.withColumn("_edges", axis_edges(cells.select("_time").distinct(), "_time"))
-                 .withColumn("_range", axis_range(F.col("_edges"), "_time")).drop("_edges"))
-    cells = materialize(cells)
+    cells, range_col = cut_axis(cells, "_time")
     stats = cells.agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_event")).alias("d"),
                       *[(F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"m{i}") for i, c in enumerate(covs)]).first()
     p = len(covs)
     center = np.array([stats[f"m{i}"] or 0.0 for i in range(p)])
     beta = np.zeros(p)
-    ll, u, info = _cox_step(cells, covs, center, beta, ties, bounded)
+    ll, u, info = _cox_step(cells, covs, center, beta, ties, range_col)
     null_ll, converged, steps = ll, False, 0
     while steps < max_steps:
         steps += 1
@@ -185,7 +181,7 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
             break
         factor = 1.0
         for _ in range(20):
-            trial = _cox_step(cells, covs, center, beta + factor * step, ties, bounded)
+            trial = _cox_step(cells, covs, center, beta + factor * step, ties, range_col)
             if math.isfinite(trial[0]) and trial[0] >= ll - 1e-9 * abs(ll):
                 break
             factor /= 2
@@ -199,7 +195,7 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
     except np.linalg.LinAlgError:
         variance = np.full((p, p), np.nan)
     return CoxModel(covs, beta, variance, center, ll, null_ll, u, steps, converged, int(stats["n"] or 0),
-                    int(stats["d"] or 0), ties, cells)
+                    int(stats["d"] or 0), ties, cells, range_col)
 
 
 def cox_summary(model: CoxModel, z95: float = 1.959963984540054) -> DataFrame:
@@ -214,27 +210,43 @@ def cox_summary(model: CoxModel, z95: float = 1.959963984540054) -> DataFrame:
     return t.withColumn("p", p_value("z", "normal"))
 
 
-def risk_sets(df: DataFrame, duration: str, event: str, by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
-    """Number at risk, deaths and losses at each time."""
-    per = df.groupBy(*by, F.col(duration).alias("time")).agg(
+def _times(df: DataFrame, duration: str, event: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows and deaths at each time."""
+    return df.groupBy(*by, F.col(duration).alias("time")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col(event).cast("long")).alias("deaths"))
-    run = running_totals(per, "time", {"at_risk": "_n"}, by, descending=True, bounded=bounded)
+
+
+def risk_sets(df: DataFrame, duration: str, event: str, by: Sequence[str] = ()) -> DataFrame:
+    """Number at risk, deaths and losses at each time."""
+    run = running_totals(_times(df, duration, event, by), "time", {"at_risk": "_n"}, by, descending=True)
     return run.select(*by, "time", "at_risk", "deaths", (F.col("_n") - F.col("deaths")).alias("lost"))
 
 
-def censoring_curve(df: DataFrame, time: str, event: str, bounded: bool = False) -> DataFrame:
+def censoring_curve(df: DataFrame, time: str, event: str) -> DataFrame:
     """Kaplan-Meier estimate of staying uncensored, at and just before each time.
 
     Deaths come before losses at equal times. Products are sums of logarithms; a factor of zero is
     counted apart, as its logarithm is undefined.
     """
-    sets = risk_sets(df, time, event, bounded=bounded)
-    exposed = F.col("at_risk") - F.col("deaths")
-    factor = F.when(exposed > 0, 1 - F.col("lost") / exposed).otherwise(1.0)
-    steps = (sets.withColumn("_f", factor)
+    return _curve(_times(df, time, event))
+
+
+def _cell_curve(cells: DataFrame) -> DataFrame:
+    """The censoring curve of counted cells (time, _e, ..., _n)."""
+    return _curve(cells.groupBy("time").agg(
+        F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_e")).alias("deaths")))
+
+
+def _curve(per_time: DataFrame) -> DataFrame:
+    times, range_col = cut_axis(per_time, "time")
+    cut = {"range_col": range_col, "bounded": range_col is None}
+    sets = running_totals(times, "time", {"at_risk": "_n"}, descending=True, **cut)
+    lost, exposed = F.col("_n") - F.col("deaths"), F.col("at_risk") - F.col("deaths")
+    factor = F.when(exposed > 0, 1 - lost / exposed).otherwise(1.0)
+    steps = (sets.withColumns({"_f": factor, "lost": lost})
              .withColumns({"_ln": F.when(F.col("_f") > 0, F.log("_f")).otherwise(0.0),
                            "_zero": F.when(F.col("_f") <= 0, 1).otherwise(0)}))
-    run = running_totals(steps, "time", {"_s": "_ln", "_z": "_zero"}, bounded=bounded)
+    run = running_totals(steps, "time", {"_s": "_ln", "_z": "_zero"}, **cut)
     g = F.when(F.col("_z") > 0, 0.0).otherwise(F.exp("_s"))
     g_before = F.when(F.col("_z") - F.col("_zero") > 0, 0.0).otherwise(F.exp(F.col("_s") - F.col("_ln")))
     return run.select("time", "at_risk", "deaths", "lost", g.alias("g"), g_before.alias("g_before"))
@@ -245,16 +257,16 @@ def event_times(df: DataFrame, time: str) -> DataFrame:
     return df.select(time).distinct().orderBy(time)
 
 
-def td_auc(df: DataFrame, time: str, event: str, marker: str, times: Sequence[float],
-           bounded: bool = False) -> DataFrame:
+def td_auc(df: DataFrame, time: str, event: str, marker: str, times: Sequence[float]) -> DataFrame:
     """Cumulative/dynamic AUC of a marker at each of ``times``, weighted for censoring.
 
     Cases have had the event by t, weighted by the chance of being uncensored until then; controls
     are later than t. Pairs are counted from running totals over the marker, never listed.
     """
-    cells = df.groupBy(F.col(time).alias("time"), F.col(event).cast("int").alias("_e"),
-                       F.col(marker).cast("double").alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
-    curve = censoring_curve(df, time, event, bounded).select("time", "g_before")
+    cells = materialize(
+        df.groupBy(F.col(time).alias("time"), F.col(event).cast("int").alias("_e"),
+                   F.col(marker).cast("double").alias("_m")).agg(F.count(F.lit(1)).alias("_n")))
+    curve = _cell_curve(cells).select("time", "g_before")
     rows = cells.join(curve, "time").withColumn(
         "t", F.explode(F.array(*[F.lit(float(t)) for t in times])))
     case = (F.col("_e") == 1) & (F.col("time") <= F.col("t"))
@@ -269,13 +281,13 @@ def td_auc(df: DataFrame, time: str, event: str, marker: str, times: Sequence[fl
     return out.select("t", "n_cases", "n_controls", F.try_divide("_w", F.col("_c") * F.col("n_controls")).alias("auc"))
 
 
-def brier(df: DataFrame, model: CoxModel, time: str, event: str, times: Sequence[float],
-          bounded: bool = False) -> DataFrame:
+def brier(df: DataFrame, model: CoxModel, time: str, event: str, times: Sequence[float]) -> DataFrame:
     """Brier score of the model's survival at each time, weighted for censoring."""
     lp = model.transform(df, "_lp", "_hz")
-    cells = lp.groupBy(F.col(time).alias("time"), F.col(event).cast("int").alias("_e"), F.col("_hz")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    curve = censoring_curve(df, time, event, bounded).select("time", "g", "g_before")
+    cells = materialize(
+        lp.groupBy(F.col(time).alias("time"), F.col(event).cast("int").alias("_e"), F.col("_hz")).agg(
+            F.count(F.lit(1)).alias("_n")))
+    curve = _cell_curve(cells).select("time", "g", "g_before")
     grid = F.explode(F.array(*[F.lit(float(t)) for t in times])).alias("t")
     hazard = (model.baseline_hazard().select("time", "cumulative_hazard", grid)
               .groupBy("t").agg(F.max(F.when(F.col("time") <= F.col("t"), F.col("cumulative_hazard"))).alias("_h0")))
@@ -308,10 +320,12 @@ def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     1 that had the event are matched against the running count of later rows with digit 0. That is
     one row per digit and data point, with running totals over time split into ranges.
     """
-    cells = (df.select(F.col(time).cast("double").alias("_t"), F.col(event).cast("int").alias("_e"),
-                       F.col(risk).cast("double").alias("_r")).dropna()
-             .groupBy("_t", "_e", "_r").agg(F.count(F.lit(1)).alias("_n")))
-    ranks = running_totals(cells.select("_r").distinct().withColumn("_one", F.lit(1).cast("long")), "_r", {"_rank": "_one"})
+    cells = materialize(
+        df.select(F.col(time).cast("double").alias("_t"), F.col(event).cast("int").alias("_e"),
+                  F.col(risk).cast("double").alias("_r")).dropna()
+        .groupBy("_t", "_e", "_r").agg(F.count(F.lit(1)).alias("_n")))
+    ranks = running_totals(cells.select("_r").distinct().withColumn("_one", F.lit(1).cast("long")), "_r",
+                           {"_rank": "_one"})
     top = ranks.agg(F.max("_rank")).first()[0] or 1
     digits = max(1, int(top).bit_length())
     # digit -1: all rows (comparable pairs); digit -2: rows of equal rank (ties)
