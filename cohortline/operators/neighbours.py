@@ -16,7 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortline.session import materialize
+
 CELLS = 1024          # upper bound of grid cells, and so of what is sent to every task
+CELL_ROWS = 500       # aim of training points per cell while there are fewer cells than that
 CHUNK_ROWS = 20_000   # training rows, and query rows, of one task
 
 
@@ -29,8 +32,7 @@ def _grid(df: DataFrame, features: Sequence[str], train: DataFrame, cells: int)
                       .alias("e")).scalar()
     cell = F.lit(0)
     for f in cut:
-        position = F.size(F.filter(F.col("_e")[f], lambda e, f=f: e < F.col(f)))
-        cell = cell * bins + position
+        cell = cell * bins + F.size(F.expr(f"filter(_e.`{f}`, e -> e < `{f}`)"))
     return df.withColumn("_e", edges).withColumn("_cell", cell.cast("int")).drop("_e")
 
 
@@ -56,8 +58,9 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, features: Sequence[str
     features = list(features)
     numbers = [F.col(f).cast("double").alias(f) for f in features]
     key_type = train.schema[key].dataType.simpleString()
-    train = train.select(key, F.col(label).cast("int").alias("_label"), *numbers).dropna()
+    train = materialize(train.select(key, F.col(label).cast("int").alias("_label"), *numbers).dropna())
     test = test.select(key, *numbers).dropna()
+    cells = max(1, min(cells, train.count() // CELL_ROWS))
 
     # Copies of one point are equally far from everything: the k lowest keys of them are enough.
     same = Window.partitionBy(*features).orderBy(key)
@@ -98,7 +101,7 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, features: Sequence[str
                 yield pd.concat(out)
 
     schema = f"{key} {key_type}, " + ", ".join(f"{f} double" for f in features) + ", _cell int, _chunk int"
-    wanted = test.mapInPandas(search_cells, schema)
+    wanted = materialize(test.mapInPandas(search_cells, schema))
 
     # Busy cells: cut the query points into slices, and give every slice a copy of the chunk.
     load = wanted.groupBy("_cell", "_chunk").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_slices"))

@@ -68,32 +68,23 @@ class CoxModel:
             "time", "hazard", "cumulative_hazard")
 
 
-def _tied_sums(s0: Column, d0: Column, d: Column) -> tuple[Column, Column, Column]:
-    """Sums over l = 0..d-1 of log, 1/x and 1/x^2 at x = s0 - l b, with b = d0 / d.
+def _with_tied_sums(per_time: DataFrame) -> DataFrame:
+    """Add sums over l = 0..d-1 of log x, 1/x and 1/x^2 at x = s0 - l b with b = d0 / d: g, a1, a2.
 
     The last DIRECT_TERMS terms, nearest to zero, are added one by one. The terms before them are
     smooth enough for the Euler-Maclaurin formula, so a time shared by any number of deaths costs
     the same.
     """
-    b = d0 / d
-    first = F.greatest(d - DIRECT_TERMS, F.lit(0)).cast("long")
-    tail = F.aggregate(
-        F.sequence(first, d.cast("long") - 1),
-        F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("a"), F.lit(0.0).alias("q")),
-        lambda acc, i: F.struct(
-            (acc["g"] + F.log(s0 - i * b)).alias("g"), (acc["a"] + 1.0 / (s0 - i * b)).alias("a"),
-            (acc["q"] + 1.0 / ((s0 - i * b) * (s0 - i * b))).alias("q")))
-    end = s0 - first * b
-    # sum_{l<m} f(l) = integral - (f(m) - f(0)) / 2 + (f'(m) - f'(0)) / 12 - ...
-    log_int = (s0 * F.log(s0) - s0 - end * F.log(end) + end) / b
-    log_head = log_int - (F.log(end) - F.log(s0)) / 2 + (-b / end + b / s0) / 12
-    inv_head = ((F.log(s0) - F.log(end)) / b - (1 / end - 1 / s0) / 2
-                + (b / (end * end) - b / (s0 * s0)) / 12)
-    sq_head = ((1 / end - 1 / s0) / b - (1 / (end * end) - 1 / (s0 * s0)) / 2
-               + (2 * b / (end * end * end) - 2 * b / (s0 * s0 * s0)) / 12)
-    many = first > 0
-    return tuple(tail[k] + F.when(many, head).otherwise(0.0)
-                 for k, head in (("g", log_head), ("a", inv_head), ("q", sq_head)))
+    cut = per_time.selectExpr(
+        "*", "d0 / d AS b", f"CAST(greatest(d - {DIRECT_TERMS}, 0) AS BIGINT) AS m").withColumn("e", F.expr("s0 - m * b"))
+    terms = "transform(sequence(m, CAST(d AS BIGINT) - 1), l -> s0 - l * b)"
+    head = {  # integral - (f(m) - f(0)) / 2 + (f'(m) - f'(0)) / 12
+        "g": "(s0 * ln(s0) - s0 - e * ln(e) + e) / b - (ln(e) - ln(s0)) / 2 + (b / s0 - b / e) / 12",
+        "a1": "(ln(s0) - ln(e)) / b - (1 / e - 1 / s0) / 2 + (b / (e * e) - b / (s0 * s0)) / 12",
+        "a2": "(1 / e - 1 / s0) / b - (1 / (e * e) - 1 / (s0 * s0)) / 2 + (b / (e * e * e) - b / (s0 * s0 * s0)) / 6"}
+    tail = {"g": "ln(x)", "a1": "1 / x", "a2": "1 / (x * x)"}
+    return cut.withColumn("_x", F.expr(terms)).withColumns({
+        k: F.expr(f"aggregate(_x, 0D, (s, x) -> s + {tail[k]}) + IF(m > 0, {head[k]}, 0D)") for k in head}).drop("_x")
 
 
 def _cox_step(cells: DataFrame, covs: Sequence[str], center: np.ndarray, beta: np.ndarray, ties: str,
@@ -119,12 +110,11 @@ def _cox_step(cells: DataFrame, covs: Sequence[str], center: np.ndarray, beta: n
     sums = {"s0": "r0"} | {f"s1_{i}": f"r1_{i}" for i in range(p)} | {f"s2_{i}_{j}": f"r2_{i}_{j}" for i, j in pairs}
     run = running_totals(per, "_time", sums, descending=True, bounded=range_col is None, range_col=range_col)
     run = run.filter(F.col("d") > 0)
-    d, s0, d0 = F.col("d"), F.col("s0"), F.col("d0")
     if ties == "efron":
-        g, a1, a2 = _tied_sums(s0, d0, d)
+        run = _with_tied_sums(run)
     else:
-        g, a1, a2 = d * F.log(s0), d / s0, d / (s0 * s0)
-    run = run.withColumns({"g": g, "a1": a1, "a2": a2})
+        run = run.selectExpr("*", "d * ln(s0) AS g", "d / s0 AS a1", "d / (s0 * s0) AS a2")
+    d, s0, d0 = F.col("d"), F.col("s0"), F.col("d0")
     # With weights f = l/d and x_l = s0 - f d0 both sums split into terms of 1/x_l and 1/x_l^2:
     # (s1 - f d1) / x_l = e + c / x_l, where e = d1/d0 and c = s1 - d1 s0/d0 (Breslow: e = 0, c = s1).
     if ties == "efron":

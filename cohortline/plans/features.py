@@ -49,22 +49,23 @@ def label(cutoff: int | Mapping[str, int], onset: str = "rbg200", sex: str = "se
     return F.coalesce(F.col(onset) <= limit, F.lit(False))
 
 
-def with_label(df: DataFrame, cutoff: int | Mapping[str, int], name: str = "label") -> DataFrame:
-    return df.withColumn(name, label(cutoff).cast("int"))
+def with_label(df: DataFrame, cutoff: int | Mapping[str, int], name: str = "label", onset: str = "rbg200") -> DataFrame:
+    return df.withColumn(name, label(cutoff, onset).cast("int"))
 
 
 def risk_table(measurements: DataFrame, onset: DataFrame, cutoffs: Mapping[str, int],
                features: Sequence[str] = ("gestational_diet", "nursing_diet", "wt4", "wt8", "wt12"),
                weeks: Sequence[int] = (4, 8, 12), strict: bool = True, exclude_above: float | None = 200,
-               overall_diet: str | None = "Rod", key: str = "subject_id") -> DataFrame:
+               overall_diet: str | None = "Rod", key: str = "subject_id", crossing: str = "rbg200") -> DataFrame:
     """The full feature table of the forest model: cohort, readings, lineage and label, by sex cutoffs.
 
     Subjects missing a chosen feature are dropped after siblings have been counted. Those already
     above ``exclude_above`` at week 8 are left out when that reading is a feature.
     """
     base = onset.filter(F.col("overall_diet") == overall_diet) if overall_diet else onset
-    table = feature_table(measurements, eligible(base, cutoffs, strict=strict), weeks, key=key)
-    table = lineage_features(table, onset, cutoffs, key).dropna(subset=list(features))
+    table = feature_table(measurements, eligible(base, cutoffs, crossing, strict), weeks, key=key,
+                          keep=("mother", "father", "sex", crossing))
+    table = lineage_features(table, onset, cutoffs, key, crossing).dropna(subset=list(features))
     if exclude_above is not None and "rbg8" in features:
         table = table.filter(F.col("rbg8") < exclude_above)
-    return with_label(table, cutoffs)
+    return with_label(table, cutoffs, onset=crossing)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cohortline.operators.neighbours import knn_classify
 
-MAX_BINS = 256  # split candidates per feature; whole-number readings have fewer values than this
+MAX_BINS = 1024  # split candidates per feature; whole-number readings have fewer values than this
 
 
 def as_numbers(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -68,7 +68,7 @@ def _mllib(family: str, params: dict[str, Any], n: int, width: int, label: str,
     if family in ("logistic", "lasso"):
         return LogisticRegression(labelCol=label, regParam=1.0 / (params.get("c", 1.0) * max(n, 1)),
                                   elasticNetParam=1.0 if family == "lasso" else 0.0, standardization=False,
-                                  maxIter=params.get("max_iter", 100))
+                                  maxIter=params.get("max_iter", 500), tol=1e-9)
     if family == "perceptron":
         return MultilayerPerceptronClassifier(labelCol=label, layers=[width, *params.get("hidden", (100,)), 2],
                                               maxIter=params.get("max_iter", 100), seed=seed)
