@@ -17,6 +17,7 @@ from cohortline.operators.folds import fold_by_subject
 from cohortline.operators.mixed import mixed_model
 from cohortline.operators.survival import (
     brier, censoring_curve, concordance, cox_ph, integrated_brier, risk_sets, subject_rows, td_auc)
+from cohortline.session import materialize
 from cohortline.plans.joint import cross_validate_survival, index_categories, longitudinal_cohort
 
 GROUPS = {"M": 8, "F": 12}  # cutoff weeks that give both groups members in the given tables
@@ -251,7 +252,7 @@ fit AS (SELECT nw.sex, b, 1 / SQRT(list_sum(list_transform(f, lambda x: x.a1 * E
 
 
 def _cox_by_sex(spark, d):
-    rows = _cox_input(spark, d)
+    rows = materialize(_cox_input(spark, d))
     return {s: (rows.filter(F.col("sex") == s), cox_ph(rows.filter(F.col("sex") == s), "duration", "event", ["diet"]))
             for s in ("M", "F")}
 
@@ -383,7 +384,7 @@ def x9b(spark, d):
 def _longitudinal(spark, d):
     """Coded rows for the mixed model."""
     rows = O.longitudinal_events(measurements(spark, d), _events(spark, d))
-    kept = longitudinal_cohort(rows, onset(spark, d))
+    kept = materialize(longitudinal_cohort(rows, onset(spark, d)))
     sex, = index_categories(kept, [kept], "sex")
     return index_categories(sex, [sex], "diet")[0]
 
@@ -437,7 +438,7 @@ def x14(spark, d):
 @query("x15_cross_validation")
 def x15(spark, d):
     rows = O.longitudinal_events(measurements(spark, d), _events(spark, d))
-    kept = longitudinal_cohort(rows, onset(spark, d))
+    kept = materialize(longitudinal_cohort(rows, onset(spark, d)))
     return cross_validate_survival(kept, k=2, times=(8, 16, 24), max_iter=8)
 
 

@@ -1,8 +1,8 @@
 """Linear mixed model with a random intercept and slopes per subject.
 
-Each subject is reduced to the cross-products of its rows by one Spark aggregation. Every EM pass
-then reads that small table: per-subject solves of the size of the random part run on batches in
-the tasks, and only summed matrices come back to the driver.
+Each subject is reduced to the cross-products of its rows by one Spark aggregation. Every pass of
+the fit then reads that small table: per-subject solves of the size of the random part run on
+batches in the tasks, and only summed matrices come back to the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cohortline.session import materialize
 
 
-SUBJECTS_PER_TASK = 50_000  # one batch of small solves; a small study is one task per pass
+SUBJECTS_PER_TASK = 10_000  # one batch of small solves; a small study is one task per pass
 
 
 @dataclass
@@ -111,15 +111,17 @@ def _posterior(m: np.ndarray, zi: np.ndarray, p: int, beta: np.ndarray, d: np.nd
 
 
 def mixed_model(df: DataFrame, y: str, fixed: Sequence[str], random: Sequence[str], group: str,
-                max_iter: int = 60, tol: float = 1e-7, floor: float = 1e-8) -> MixedModel:
-    """Maximum likelihood by EM. Rows with a missing value are left out.
+                max_iter: int = 60, tol: float = 1e-9, floor: float = 1e-8) -> MixedModel:
+    """Maximum likelihood by Fisher scoring. Rows with a missing value are left out.
 
-    The random part is an intercept and the ``random`` columns, which must be among ``fixed``.
-    Stops when the log-likelihood gains less than ``tol`` of its size.
+    The random part is an intercept and the ``random`` columns, which must be among ``fixed``. A
+    step that lowers the likelihood is taken back and replaced by the EM step of the same pass.
+    Variances are kept above ``floor``. Stops when the log-likelihood changes by less than ``tol``
+    of its size.
     """
     fixed, random = list(fixed), list(random)
     p, q = len(fixed) + 1, len(random) + 1
-    rows = df.select(group, *[F.col(c).cast("double").alias(c) for c in [*fixed, y]]).dropna()
+    rows = materialize(df.select(group, *[F.col(c).cast("double").alias(c) for c in [*fixed, y]]).dropna())
     ends = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(fixed)],
                     *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(fixed)],
                     F.avg(y).alias("my"), F.var_pop(y).alias("vy")).first()
@@ -136,8 +138,13 @@ def mixed_model(df: DataFrame, y: str, fixed: Sequence[str], random: Sequence[st
     zi = _random_index(fixed, random)
     n_rows = int(ends["n"])
 
-    def one_pass(beta: np.ndarray, d: np.ndarray, s2: float) -> np.ndarray:
-        size = 2 + p * p + p + q * q + 1
+    parts = {"ll": (), "subjects": (), "gx": (p, p), "gy": (p,), "second": (q, q), "resid": (), "score": (q, q),
+             "cross": (q, q), "info": (q, q, q, q), "score_s": (), "info_s": ()}
+    lengths = {k: int(np.prod(shape)) for k, shape in parts.items()}
+    size = sum(lengths.values())
+
+    def one_pass(beta: np.ndarray, d: np.ndarray, s2: float) -> dict[str, np.ndarray]:
+        """Log-likelihood, least-squares parts, EM sums, score and information, summed over subjects."""
 
         def sums(batches):
             total = np.zeros(size)
@@ -148,23 +155,56 @@ def mixed_model(df: DataFrame, y: str, fixed: Sequence[str], random: Sequence[st
                 zy = m[:, zi, p]
                 prec = zz + s2 * np.linalg.inv(d)
                 a = np.linalg.inv(prec)
-                # generalized least squares parts, by Woodbury
-                gx = (xx - xz @ a @ xz.transpose(0, 2, 1)) / s2
-                gy = (xy - np.einsum("nij,nj->ni", xz @ a, zy)) / s2
-                zr = zy - np.einsum("nji,j->ni", xz, beta)
-                b = np.einsum("nij,nj->ni", a, zr)
-                rr = m[:, p, p] - 2 * xy @ beta + np.einsum("i,nij,j->n", beta, xx, beta)
-                second = np.einsum("ni,nj->ij", b, b) + s2 * a.sum(0)
-                fit = rr - 2 * np.einsum("ni,ni->n", b, zr) + np.einsum("ni,nij,nj->n", b, zz, b)
-                resid = fit.sum() + s2 * np.einsum("nij,nji->", a, zz)
+                zr = zy - (xz.transpose(0, 2, 1) @ beta)
+                b = (a @ zr[:, :, None])[:, :, 0]
+                rr = m[:, p, p] - 2 * xy @ beta + ((xx @ beta) * beta).sum(1)
+                fit = rr - 2 * (b * zr).sum(1) + (b * (zz @ b[:, :, None])[:, :, 0]).sum(1)
+                az = a @ zz
+                tr1 = np.trace(az, axis1=1, axis2=2)
+                tr2 = np.trace(az @ az, axis1=1, axis2=2)
                 logdet = (n - q) * np.log(s2) + np.linalg.slogdet(d)[1] + np.linalg.slogdet(prec)[1]
-                quad = (rr - np.einsum("ni,ni->n", zr, b)) / s2
-                ll = -0.5 * (n * np.log(2 * np.pi) + logdet + quad).sum()
-                total += np.concatenate([[ll, len(pdf)], gx.sum(0).ravel(), gy.sum(0), second.ravel(), [resid]])
+                ll = -0.5 * (n * np.log(2 * np.pi) + logdet + (rr - (zr * b).sum(1)) / s2)
+                # Z'V^-1 Z, Z'V^-1 r and Z'V^-2 Z, with V^-1 = (I - Z A Z') / s2
+                keep = np.eye(q) - az
+                zvz = zz @ keep / s2
+                zvr = (zr - (zz @ b[:, :, None])[:, :, 0]) / s2
+                zv2z = keep.transpose(0, 2, 1) @ zz @ keep / s2 ** 2
+                out = {
+                    "ll": ll.sum(), "subjects": len(pdf),
+                    "gx": (xx - xz @ a @ xz.transpose(0, 2, 1)).sum(0) / s2,
+                    "gy": (xy - (xz @ (a @ zy[:, :, None]))[:, :, 0]).sum(0) / s2,
+                    "second": b.T @ b + s2 * a.sum(0), "resid": fit.sum() + s2 * tr1.sum(),
+                    "score": (zvr.T @ zvr - zvz.sum(0)) / 2, "cross": zv2z.sum(0) / 2,
+                    "info": np.tensordot(zvz, zvz, axes=(0, 0)) / 2,
+                    "score_s": (fit.sum() / s2 ** 2 - (n - tr1).sum() / s2) / 2,
+                    "info_s": (n - 2 * tr1 + tr2).sum() / s2 ** 2 / 2}
+                total += np.concatenate([np.ravel(out[k]) for k in parts])
             yield pd.DataFrame([total], columns=[f"t{i}" for i in range(size)])
 
         part = products.mapInPandas(sums, ", ".join(f"t{i} double" for i in range(size)))
-        return np.array(part.agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in range(size)]).first(), dtype=float)
+        row = part.agg(*[F.sum(f"t{i}") for i in range(size)]).first()
+        values, at = np.array(row, dtype=float), np.cumsum([0, *lengths.values()])
+        return {k: values[at[i]:at[i + 1]].reshape(shape) for i, (k, shape) in enumerate(parts.items())}
+
+    basis = []
+    for i in range(q):
+        for j in range(i, q):
+            e = np.zeros((q, q))
+            e[i, j] = e[j, i] = 1.0
+            basis.append(e)
+
+    def scoring_step(t: dict[str, np.ndarray], d: np.ndarray, s2: float) -> tuple[np.ndarray, float]:
+        k = len(basis)
+        info, score = np.zeros((k + 1, k + 1)), np.zeros(k + 1)
+        for i, e in enumerate(basis):
+            score[i] = (e * t["score"]).sum()
+            info[i, k] = info[k, i] = (e * t["cross"]).sum()
+            for j, f in enumerate(basis):
+                info[i, j] = np.einsum("ab,bcda,cd->", e, t["info"], f)
+        score[k], info[k, k] = t["score_s"], t["info_s"]
+        step = np.linalg.lstsq(info, score, rcond=None)[0]
+        value, vector = np.linalg.eigh(d + sum(x * e for x, e in zip(step, basis)))
+        return (vector * np.maximum(value, floor)) @ vector.T, max(floor, s2 + step[k])
 
     # start at least squares
     tot = products.agg(*[F.sum(f"c_{i}_{j}").alias(f"c_{i}_{j}") for i, j in _pairs(p)]).toPandas()
@@ -172,20 +212,21 @@ def mixed_model(df: DataFrame, y: str, fixed: Sequence[str], random: Sequence[st
     beta = np.linalg.lstsq(m0[:p, :p], m0[:p, p], rcond=None)[0]
     s2 = max(floor, (m0[p, p] - m0[:p, p] @ beta) / n_rows) / 2
     d = np.eye(q) * max(floor, s2) / q
-    last, converged, it, ll, subjects = -np.inf, False, 0, -np.inf, 0
+    last, em, converged, it, ll, subjects = -np.inf, None, False, 0, -np.inf, 0
     for it in range(1, max_iter + 1):
         t = one_pass(beta, d, s2)
-        ll, subjects = t[0], int(t[1])
-        gx, gy = t[2:2 + p * p].reshape(p, p), t[2 + p * p:2 + p * p + p]
-        second, resid = t[2 + p * p + p:-1].reshape(q, q), t[-1]
+        ll, subjects = float(t["ll"]), int(t["subjects"])
+        if em is not None and not ll >= last - tol * abs(last):
+            (beta, d, s2), em = em, None  # the step overshot
+            continue
         if abs(ll - last) < tol * abs(ll):
             converged = True
             break
         last = ll
-        d = second / subjects
-        d = (d + d.T) / 2 + np.eye(q) * floor
-        s2 = max(floor, resid / n_rows)
-        beta = np.linalg.lstsq(gx, gy, rcond=None)[0]
+        beta = np.linalg.lstsq(t["gx"], t["gy"], rcond=None)[0]
+        moment = t["second"] / subjects
+        em = (beta, (moment + moment.T) / 2 + np.eye(q) * floor, max(floor, float(t["resid"]) / n_rows))
+        d, s2 = scoring_step(t, d, s2)
     slope = beta[1:] / scale * sy
     intercept = my + sy * beta[0] - float(slope @ center)
     return MixedModel(fixed, random, np.concatenate([[intercept], slope]), d * sy * sy, s2 * sy * sy,

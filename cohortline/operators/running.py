@@ -25,12 +25,13 @@ def cut_axis(df: DataFrame, order: str, ranges: int = RANGES,
     """Write an aggregated table once and, if it is long, cut its axis.
 
     Returns the written table and the name of its range column, or None when a plain window will
-    do. The cut points are at most ``ranges - 1`` quantiles; the range of a row is their number
+    do; a table that short is read as one partition, so that the windows and sums over it need no
+    further exchange. The cut points are at most ``ranges - 1`` quantiles; the range of a row is their number
     below its value.
     """
     table = materialize(df)
     if table.count() <= (PLAIN_ROWS if plain_rows is None else plain_rows):  # read from file footers
-        return table, None
+        return table.coalesce(1), None
     probs = [i / ranges for i in range(1, ranges)]
     edges = table.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10000)).first()[0]
     cuts = F.lit(sorted(set(edges or [])))

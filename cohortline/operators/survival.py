@@ -193,7 +193,7 @@ def cox_summary(model: CoxModel, z95: float = 1.959963984540054) -> DataFrame:
     spark = model._cells.sparkSession
     se = np.sqrt(np.diag(model.variance))
     rows = [(c, float(b), float(s)) for c, b, s in zip(model.covariates, model.coef, se)]
-    t = spark.createDataFrame(rows, "covariate string, coef double, se double")
+    t = spark.createDataFrame(rows, "covariate string, coef double, se double").coalesce(1)
     t = t.withColumn("hazard_ratio", F.exp("coef")).withColumn("z", F.col("coef") / F.col("se"))
     t = t.withColumns({"lower": F.exp(F.col("coef") - z95 * F.col("se")),
                        "upper": F.exp(F.col("coef") + z95 * F.col("se"))})

@@ -135,7 +135,7 @@ def test_mixed_model_without_subject_variance_is_least_squares(spark):
     pdf = df.toPandas()
     x = np.column_stack([np.ones(len(pdf)), pdf.w, pdf.x])
     want = np.linalg.lstsq(x, pdf.y, rcond=None)[0]
-    m = mixed_model(df, "y", ["w", "x"], ["w"], "s", max_iter=40)
+    m = mixed_model(df, "y", ["w", "x"], ["w"], "s", max_iter=12)
     assert m.coef == pytest.approx(want, abs=0.05)
     assert math.sqrt(m.sigma2) == pytest.approx(3, abs=0.3)
 
