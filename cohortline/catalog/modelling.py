@@ -159,8 +159,8 @@ def _trained(spark, d, family, features=FEATURES, **params):
     return fit_model(family, train, features, params=params), test
 
 
-def _scored(spark, d, family, **params):
-    model, test = _trained(spark, d, family, **params)
+def _scored(spark, d, family, features=FEATURES, **params):
+    model, test = _trained(spark, d, family, features, **params)
     return model.transform(test).select("subject_id", "label", "prediction", "probability")
 
 
@@ -191,41 +191,67 @@ def m8(spark, d):
     return _scored(spark, d, "forest", criterion="gini", max_depth=4, n_trees=20)
 
 
+# Newton's method for one feature; the penalty enters as the gradient and curvature of b1
 _LOGISTIC = _COMPLETE + """,
-pt AS (SELECT list(struct_pack(x := CAST(rbg8 AS DOUBLE), y := CAST(label AS DOUBLE))) AS f FROM cf),
+pt AS (SELECT list(struct_pack(x := CAST(rbg8 AS DOUBLE), y := CAST(label AS DOUBLE))) AS f FROM cf{where}),
 nw AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM pt UNION ALL
   SELECT i + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
     SELECT i, b0, b1, list_sum(list_transform(f, lambda r: 1 / (1 + EXP(-b0 - b1 * r.x)) - r.y)) AS g0,
-      list_sum(list_transform(f, lambda r: r.x * (1 / (1 + EXP(-b0 - b1 * r.x)) - r.y))) + b1 / 0.1 AS g1,
+      list_sum(list_transform(f, lambda r: r.x * (1 / (1 + EXP(-b0 - b1 * r.x)) - r.y))) + {grad} AS g1,
       list_sum(list_transform(f, lambda r: EXP(-b0 - b1 * r.x) / POWER(1 + EXP(-b0 - b1 * r.x), 2))) AS h00,
       list_sum(list_transform(f, lambda r: r.x * EXP(-b0 - b1 * r.x) / POWER(1 + EXP(-b0 - b1 * r.x), 2))) AS h01,
-      list_sum(list_transform(f, lambda r: r.x * r.x * EXP(-b0 - b1 * r.x) / POWER(1 + EXP(-b0 - b1 * r.x), 2))) + 1 / 0.1 AS h11
-    FROM nw, pt) WHERE i < 12)"""
+      list_sum(list_transform(f, lambda r: r.x * r.x * EXP(-b0 - b1 * r.x) / POWER(1 + EXP(-b0 - b1 * r.x), 2))) + {curve} AS h11
+    FROM nw, pt) WHERE i < 15)"""
 
 
 @query("m9_logistic_coefficients", f"""
-WITH RECURSIVE {_LOGISTIC} SELECT 'rbg8' AS term, ROUND(b1, 4) AS coef FROM nw WHERE i = 12
-UNION ALL SELECT 'intercept', ROUND(b0, 4) FROM nw WHERE i = 12""", digits=4)
+WITH RECURSIVE {_LOGISTIC.format(where="", grad="b1 / 0.1", curve="1 / 0.1")}
+SELECT 'rbg8' AS term, ROUND(b1, 4) AS coef FROM nw WHERE i = 15
+UNION ALL SELECT 'intercept', ROUND(b0, 4) FROM nw WHERE i = 15""", digits=4)
 def m9(spark, d):
     rows = materialize(_complete(spark, d))
     return coefficients(spark, fit_model("logistic", rows, ["rbg8"], params={"c": 0.1}))
 
 
-@query("m9_logistic_l2")
+_NOT_TEST = f" WHERE NOT ({_SPLIT})"
+
+
+@query("m9_logistic_l2", f"""
+WITH RECURSIVE {_LOGISTIC.format(where=_NOT_TEST, grad="b1 / 0.3", curve="1 / 0.3")}
+SELECT subject_id, label, CAST(b0 + b1 * rbg8 > 0 AS INT) + 0.0::DOUBLE AS prediction, ROUND(1 / (1 + EXP(-b0 - b1 * rbg8)), 4) AS probability
+FROM cf, nw WHERE i = 15 AND {_SPLIT}""", digits=4)
 def m9b(spark, d):
+    return _scored(spark, d, "logistic", features=["rbg8"], c=0.3)
+
+
+@query("m9_logistic_all_features")
+def m9c(spark, d):
     return _scored(spark, d, "logistic", c=0.3)
 
 
+@query("m10_logistic_l1_coefficients", f"""
+WITH RECURSIVE {_LOGISTIC.format(where="", grad="SIGN(b1) / 0.1", curve="0")}
+SELECT 'rbg8' AS term, ROUND(b1, 4) AS coef FROM nw WHERE i = 15
+UNION ALL SELECT 'intercept', ROUND(b0, 4) FROM nw WHERE i = 15""", digits=4)
+def m10b(spark, d):
+    rows = materialize(_complete(spark, d))
+    return coefficients(spark, fit_model("lasso", rows, ["rbg8"], params={"c": 0.1}))
+
+
 @query("m10_logistic_l1")
 def m10(spark, d):
     return _scored(spark, d, "lasso", c=1.0)
 
 
-@query("m11_ridge_coefficients", f"""
-WITH {_COMPLETE}, s AS (SELECT COUNT(*) AS n, AVG(wt8) AS ma, AVG(rbg8) AS mb, AVG(2 * label - 1) AS my,
+_RIDGE = """
+s AS (SELECT COUNT(*) AS n, AVG(wt8) AS ma, AVG(rbg8) AS mb, AVG(2 * label - 1) AS my,
   VAR_POP(wt8) * COUNT(*) + 1 AS aa, VAR_POP(rbg8) * COUNT(*) + 1 AS bb, COVAR_POP(wt8, rbg8) * COUNT(*) AS ab,
-  COVAR_POP(wt8, 2 * label - 1) * COUNT(*) AS ay, COVAR_POP(rbg8, 2 * label - 1) * COUNT(*) AS byy FROM cf),
-w AS (SELECT *, (bb * ay - ab * byy) / (aa * bb - ab * ab) AS wa, (aa * byy - ab * ay) / (aa * bb - ab * ab) AS wb FROM s)
+  COVAR_POP(wt8, 2 * label - 1) * COUNT(*) AS ay, COVAR_POP(rbg8, 2 * label - 1) * COUNT(*) AS byy FROM cf{where}),
+w AS (SELECT *, (bb * ay - ab * byy) / (aa * bb - ab * ab) AS wa, (aa * byy - ab * ay) / (aa * bb - ab * ab) AS wb FROM s)"""
+
+
+@query("m11_ridge_coefficients", f"""
+WITH {_COMPLETE}, {_RIDGE.format(where="")}
 SELECT 'wt8' AS term, ROUND(wa, 6) AS coef FROM w UNION ALL SELECT 'rbg8', ROUND(wb, 6) FROM w
 UNION ALL SELECT 'intercept', ROUND(my - wa * ma - wb * mb, 6) FROM w""")
 def m11(spark, d):
@@ -233,9 +259,12 @@ def m11(spark, d):
     return coefficients(spark, fit_model("ridge", rows, ["wt8", "rbg8"]))
 
 
-@query("m11_ridge_classifier")
+@query("m11_ridge_classifier", f"""
+WITH {_COMPLETE}, {_RIDGE.format(where=_NOT_TEST)}, sc AS (
+  SELECT subject_id, label, my + wa * (wt8 - ma) + wb * (rbg8 - mb) AS margin FROM cf, w WHERE {_SPLIT})
+SELECT subject_id, label, CAST(margin > 0 AS INT) + 0.0::DOUBLE AS prediction, ROUND(margin, 6) AS probability FROM sc""")
 def m11b(spark, d):
-    return _scored(spark, d, "ridge")
+    return _scored(spark, d, "ridge", features=["wt8", "rbg8"])
 
 
 @query("m12_perceptron")

@@ -10,12 +10,29 @@ from pyspark.sql import functions as F
 from cohortline.functions.columns import any_flag, by_sex
 
 
+NULL_SPREAD = 256
+
+
+def _left_join_parent(df: DataFrame, side: DataFrame, parent: str, side_key: str, key: str) -> DataFrame:
+    """Left join on a parent id that is often unknown.
+
+    A left join sends all null keys to one task. A second join key, 0 on the parent side, spreads the
+    rows with an unknown parent by their own key; they match nothing either way. (``pmod(.., 1)`` is
+    a 0 that the optimizer does not fold away.)
+    """
+    spread = F.when(F.col(parent).isNull(), F.pmod(F.xxhash64(key), F.lit(NULL_SPREAD))).otherwise(F.lit(0))
+    left = df.withColumn("_spread", spread.cast("long"))
+    right = side.withColumn("_zero", F.pmod(F.xxhash64(side_key), F.lit(1)).cast("long"))
+    on = (left[parent] == right[side_key]) & (left["_spread"] == right["_zero"])
+    return left.join(right, on, "left").drop("_spread", "_zero", side_key)
+
+
 def parent_onset(df: DataFrame, onset_df: DataFrame, key: str = "subject_id", onset: str = "rbg200",
                  mother: str = "mother", father: str = "father") -> DataFrame:
     """Crossing week of each parent; null for a parent that is unknown or not in the table."""
     for parent, suffix in ((mother, "mo"), (father, "fa")):
         side = onset_df.select(F.col(key).alias(f"_{suffix}"), F.col(onset).alias(f"{onset}_{suffix}"))
-        df = df.join(side, F.col(parent) == F.col(f"_{suffix}"), "left").drop(f"_{suffix}")
+        df = _left_join_parent(df, side, parent, f"_{suffix}", key)
     return df
 
 
@@ -25,7 +42,7 @@ def own_onset(cutoffs: Mapping[str, int], onset: str = "rbg200", sex: str = "sex
 
 
 def sibling_onset(df: DataFrame, cutoffs: Mapping[str, int], onset: str = "rbg200", mother: str = "mother",
-                  name: str = "rbg200_sib") -> DataFrame:
+                  name: str = "rbg200_sib", key: str = "subject_id") -> DataFrame:
     """1 when another child of the same mother in the table has onset, else 0.
 
     Children are counted per mother (partial counts before the shuffle) and joined back, so a
@@ -35,9 +52,9 @@ def sibling_onset(df: DataFrame, cutoffs: Mapping[str, int], onset: str = "rbg20
     flagged = df.withColumn("_own", own_onset(cutoffs, onset).cast("int"))
     family = (flagged.filter(F.col(mother).isNotNull()).groupBy(F.col(mother).alias("_mother"))
               .agg(F.sum("_own").alias("_family")))
-    out = flagged.join(family, F.col(mother) == F.col("_mother"), "left")
+    out = _left_join_parent(flagged, family, mother, "_mother", key)
     others = F.coalesce(F.col("_family") - F.col("_own"), F.lit(0)) > 0
-    return out.withColumn(name, others.cast("int")).drop("_own", "_mother", "_family")
+    return out.withColumn(name, others.cast("int")).drop("_own", "_family")
 
 
 def family_history(df: DataFrame, cutoffs: Mapping[str, int], onset: str = "rbg200",
@@ -52,5 +69,6 @@ def family_history(df: DataFrame, cutoffs: Mapping[str, int], onset: str = "rbg2
 def lineage_features(df: DataFrame, onset_df: DataFrame, cutoffs: Mapping[str, int], key: str = "subject_id",
                      onset: str = "rbg200") -> DataFrame:
     """Parent, sibling and family flags. Siblings are counted within ``df``, parents in ``onset_df``."""
-    out = sibling_onset(parent_onset(df, onset_df, key, onset), cutoffs, onset, name=f"{onset}_sib")
+    out = sibling_onset(parent_onset(df, onset_df, key, onset), cutoffs, onset, name=f"{onset}_sib",
+                        key=key)
     return family_history(out, cutoffs, onset)
