@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortline.catalog.registry import query
-from cohortline.catalog.views import measurements, onset
+from cohortline.catalog.views import onset, panel
 from cohortline.operators.evaluate import (
     classification_report, cohort_counts, feature_auc, feature_roc, roc_auc, roc_curve, score_summary)
 from cohortline.operators.folds import split, split_flag, stratified_folds
@@ -39,7 +39,7 @@ _SPLIT = f"{_hash(888)} < CAST(FLOOR(0.2 * 4294967296) AS BIGINT)"
 
 
 def _features(spark, d, weeks=(4, 8, 12)):
-    return with_label(feature_table(measurements(spark, d), onset(spark, d), weeks, keep=KEEP), CUTOFF, onset="rbg300")
+    return with_label(feature_table(*panel(spark, d), weeks, keep=KEEP), CUTOFF, onset="rbg300")
 
 
 def _complete(spark, d):
@@ -56,7 +56,7 @@ SELECT subject_id, sex, rbg200, gestational_diet IN ('Rod') AS gestational_diet,
 FROM (SELECT * FROM fx_wide WHERE wt4 IS NOT NULL OR wt8 IS NOT NULL OR rbg4 IS NOT NULL OR rbg8 IS NOT NULL)
 FULL JOIN fx_onset USING (subject_id)""")
 def m1b(spark, d):
-    return feature_table(measurements(spark, d), onset(spark, d), (4, 8), diets=("gestational_diet", "nursing_diet"),
+    return feature_table(*panel(spark, d), (4, 8), diets=("gestational_diet", "nursing_diet"),
                          diet_values=("Rod",), keep=("sex", "rbg200"), how="outer").drop("diff48")
 
 
@@ -73,7 +73,9 @@ _CUTS = {"M": 4, "F": 8}
 WITH {_FT}, {_LINEAGE.format(src="ft")}
 SELECT subject_id, rbg200_mo, rbg200_fa, rbg200_sib, rbg200_mo OR rbg200_fa OR rbg200_sib = 1 AS family_history FROM lin""")
 def m2(spark, d):
-    out = lineage_features(_features(spark, d), onset(spark, d), _CUTS)
+    m, o = panel(spark, d)
+    o = materialize(o)
+    out = lineage_features(materialize(feature_table(m, o, keep=KEEP)), o, _CUTS)
     return out.select("subject_id", "rbg200_mo", "rbg200_fa", "rbg200_sib", "family_history")
 
 
@@ -88,7 +90,8 @@ JOIN (SELECT subject_id AS sid, own AS label2 FROM own) ON sid = subject_id
 WHERE wt4 IS NOT NULL AND wt8 IS NOT NULL AND rbg4 IS NOT NULL AND rbg8 < 200""".replace(
     "family_history, label FROM", "family_history, y AS label FROM"))
 def m2b(spark, d):
-    out = risk_table(measurements(spark, d), onset(spark, d), _CUTS, FEATURES)
+    m, o = panel(spark, d)
+    out = risk_table(m, materialize(o), _CUTS, FEATURES)
     return out.select("subject_id", "sex", *FEATURES, "family_history", "label")
 
 

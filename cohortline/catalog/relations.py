@@ -6,27 +6,31 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortline.catalog.registry import query
-from cohortline.catalog.views import measurements, onset, subjects, table, wide
+from cohortline.catalog.views import measurements, onset, panel as both, raw_panel, stored_onset, subjects, table, wide
 from cohortline.functions import columns as C
 from cohortline.operators import clean, incidence, lineage, onset as O, panel
 from cohortline.operators.evaluate import score_summary
 from cohortline.operators.running import running_totals
 from cohortline.operators.stats import group_counts, overlap
 from cohortline.operators.survival import event_times
+from cohortline.session import materialize
 
 
-@query("j1_inner_join", "SELECT subject_id, wt4, rbg4, sex, rbg200 FROM fx_wide JOIN fx_onset USING (subject_id)")
+@query("j1_inner_join", "SELECT subject_id, wt4, rbg4, sex, rbg200 FROM fx_wide JOIN fx_onset USING (subject_id) WHERE subject_id IN (SELECT subject_id FROM fx_measurement WHERE week = 4)")
 def j1(spark, d):
-    return wide(spark, d).select("subject_id", "wt4", "rbg4").join(
-        onset(spark, d).select("subject_id", "sex", "rbg200"), "subject_id")
+    m, o = both(spark, d)
+    wt = panel.pivot_weeks(m, "subject_id", (4,), {"weight": "wt", "rbg": "rbg"})
+    return wt.join(
+        o.select("subject_id", "sex", "rbg200"), "subject_id")
 
 
 @query("j2_left_join", """
 SELECT w.subject_id, rbg8, rbg200 FROM fx_wide w
 LEFT JOIN (SELECT * FROM fx_onset WHERE overall_diet = 'Rod') o ON o.subject_id = w.subject_id""")
 def j2(spark, d):
-    rod = onset(spark, d).filter("overall_diet = 'Rod'").select("subject_id", "rbg200")
-    return wide(spark, d).select("subject_id", "rbg8").join(rod, "subject_id", "left")
+    m, o = both(spark, d)
+    rod = o.filter("overall_diet = 'Rod'").select("subject_id", "rbg200")
+    return panel.pivot_weeks(m, "subject_id", (4, 8, 12), {"rbg": "rbg"}).select("subject_id", "rbg8").join(rod, "subject_id", "left")
 
 
 @query("j3_full_outer_join", """
@@ -34,7 +38,7 @@ WITH a AS (SELECT subject_id, weight AS wt4 FROM fx_measurement WHERE week = 4),
 b AS (SELECT subject_id, rbg AS rbg8 FROM fx_measurement WHERE week = 8)
 SELECT COALESCE(a.subject_id, b.subject_id) AS subject_id, wt4, rbg8 FROM a FULL JOIN b ON a.subject_id = b.subject_id""")
 def j3(spark, d):
-    m = measurements(spark, d)
+    m = materialize(measurements(spark, d))
     a = m.filter("week = 4").select("subject_id", F.col("weight").alias("wt4"))
     b = m.filter("week = 8").select("subject_id", F.col("rbg").alias("rbg8"))
     return a.join(b, "subject_id", "outer")
@@ -44,7 +48,7 @@ def j3(spark, d):
 SELECT o.subject_id, o.mother, o.father, o.rbg200, m.rbg200 AS rbg200_mo, f.rbg200 AS rbg200_fa
 FROM fx_onset o LEFT JOIN fx_onset m ON m.subject_id = o.mother LEFT JOIN fx_onset f ON f.subject_id = o.father""")
 def j4(spark, d):
-    o = onset(spark, d)
+    o = stored_onset(spark, d)
     return lineage.parent_onset(o.select("subject_id", "mother", "father", "rbg200"), o)
 
 
@@ -53,7 +57,6 @@ SELECT m.subject_id, m.week, m.diet, r.n FROM fx_measurement m
 LEFT JOIN (SELECT subject_id, week, COUNT(*) AS n FROM fx_raw WHERE o_totalprice > 200000 GROUP BY 1, 2) r
 ON r.subject_id = m.subject_id AND r.week = m.week""")
 def j5(spark, d):
-    from cohortline.catalog.views import raw_panel
     high = raw_panel(spark, d).filter("o_totalprice > 200000").groupBy("subject_id", "week").agg(F.count(F.lit(1)).alias("n"))
     return measurements(spark, d).select("subject_id", "week", "diet").join(high, ["subject_id", "week"], "left")
 
@@ -67,8 +70,9 @@ def j6(spark, d):
 @query("j7_join_pivot_index", """
 SELECT subject_id, wt4, wt8, wt12 FROM (SELECT DISTINCT subject_id FROM fx_measurement) JOIN fx_wide USING (subject_id)""")
 def j7(spark, d):
-    ids = measurements(spark, d).select("subject_id").distinct()
-    return ids.join(wide(spark, d).select("subject_id", "wt4", "wt8", "wt12"), "subject_id")
+    m = materialize(measurements(spark, d))
+    pivot = panel.pivot_weeks(m, "subject_id", (4, 8, 12), {"weight": "wt"})
+    return m.select("subject_id").distinct().join(pivot, "subject_id")
 
 
 @query("j8_semi_join", """
@@ -82,7 +86,8 @@ def j8(spark, d):
 
 @query("j9_anti_join", "SELECT * FROM fx_measurement WHERE subject_id NOT IN (SELECT subject_id FROM fx_onset WHERE rbg200 <= 4)")
 def j9(spark, d):
-    return clean.drop_keys(measurements(spark, d), onset(spark, d).filter("rbg200 <= 4"), "subject_id")
+    m, o = both(spark, d)
+    return clean.drop_keys(m, o.filter("rbg200 <= 4"), "subject_id")
 
 
 @query("j10_join_other_names", """
@@ -208,7 +213,7 @@ WITH a AS (SELECT *, CASE WHEN rbg200 <= 4 THEN 1 ELSE 0 END AS own FROM fx_onse
 SELECT a.subject_id, CASE WHEN EXISTS (SELECT 1 FROM a b WHERE b.mother = a.mother AND b.subject_id <> a.subject_id AND b.own = 1)
        THEN 1 ELSE 0 END AS rbg200_sib FROM a""")
 def w5(spark, d):
-    return lineage.sibling_onset(onset(spark, d), {"M": 4, "F": 4}).select("subject_id", "rbg200_sib")
+    return lineage.sibling_onset(stored_onset(spark, d), {"M": 4, "F": 4}).select("subject_id", "rbg200_sib")
 
 
 @query("r1_pivot_weeks", "SELECT * FROM fx_wide")
@@ -226,7 +231,7 @@ SELECT subject_id, birth_date, rbg200, p.* EXCLUDE (subject_id) FROM fx_onset JO
 WHERE subject_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""")
 def r2(spark, d):
     ids = table(spark, d, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("subject_id"))
-    return panel.wide_export(measurements(spark, d), onset(spark, d), ids, "subject_id")
+    return panel.wide_export(*both(spark, d), ids, "subject_id")
 
 
 @query("r3_stack_pivots", "\nUNION ALL ".join(
@@ -276,13 +281,13 @@ def u1(spark, d):
 @query("u2_intersect", """
 SELECT subject_id FROM fx_measurement WHERE week = 4 INTERSECT SELECT subject_id FROM fx_measurement WHERE rbg > 300""")
 def u2(spark, d):
-    m = measurements(spark, d)
+    m = materialize(measurements(spark, d))
     return overlap(m.filter("week = 4"), m.filter("rbg > 300"), "subject_id")
 
 
 @query("u3_subtract", "SELECT subject_id FROM fx_measurement EXCEPT SELECT subject_id FROM fx_measurement WHERE rbg > 300")
 def u3(spark, d):
-    m = measurements(spark, d)
+    m = materialize(measurements(spark, d))
     return m.select("subject_id").subtract(m.filter("rbg > 300").select("subject_id"))
 
 
@@ -356,7 +361,7 @@ lg AS (SELECT sex, rbg200, 'Rod' AS nursing, 100 - rod AS p FROM piv WHERE rbg20
 SELECT sex, rbg200, n, nursing, ROUND(p, 6) AS percent_free, ROUND(p - 1.96 * SQRT(p * (100 - p) / n), 6) AS lower,
        ROUND(p + 1.96 * SQRT(p * (100 - p) / n), 6) AS upper FROM lg JOIN sz USING (sex)""")
 def g4(spark, d):
-    o = onset(spark, d)
+    o = stored_onset(spark, d)
     survival = incidence.survival_percent(incidence.incidence_pivot(incidence.incidence_by_diet(o)))
     full = incidence.incidence_by_diet(o, drop_week=None)
     sizes = full.groupBy("sex").agg(F.sum("count").alias("n"))

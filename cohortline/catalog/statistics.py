@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortline.catalog.registry import query
-from cohortline.catalog.views import measurements, onset, table, wide
+from cohortline.catalog.views import measurements, onset, panel, table
 from cohortline.functions.columns import encode_map
 from cohortline.functions.tails import with_p_value
 from cohortline.operators import onset as O
@@ -14,6 +14,7 @@ from cohortline.operators.clean import on_grid
 from cohortline.operators.evaluate import regression_error
 from cohortline.operators.incidence import incidence_by_diet
 from cohortline.operators.folds import fold_by_subject
+from cohortline.operators.panel import pivot_weeks
 from cohortline.operators.mixed import mixed_model
 from cohortline.operators.survival import (
     brier, censoring_curve, concordance, cox_ph, integrated_brier, risk_sets, subject_rows, td_auc)
@@ -23,11 +24,16 @@ from cohortline.plans.joint import cross_validate_survival, index_categories, lo
 GROUPS = {"M": 8, "F": 12}  # cutoff weeks that give both groups members in the given tables
 
 
+def _groups(spark, d):
+    """Readings, and the onset or no-onset group of each subject."""
+    m, o = panel(spark, d)
+    return m, O.onset_groups(O.cohort(o, overall_diet="Rod"), GROUPS, "rbg300").select("subject_id", "sex", "onset_group")
+
+
 def _grouped(spark, d):
     """Weights by week of the onset and no-onset groups."""
-    groups = O.onset_groups(O.cohort(onset(spark, d), overall_diet="Rod"), GROUPS, "rbg300").select(
-        "subject_id", "sex", "onset_group")
-    rows = on_grid(measurements(spark, d)).filter((F.col("week") <= 40) & F.col("weight").isNotNull())
+    m, groups = _groups(spark, d)
+    rows = on_grid(m).filter((F.col("week") <= 40) & F.col("weight").isNotNull())
     return rows.select("subject_id", "week", "weight").join(groups, "subject_id")
 
 
@@ -87,12 +93,15 @@ WITH {_GROUPED}, {_GROWTH}, gg AS (SELECT * FROM gr JOIN grp USING (subject_id))
 {_WELCH.format(by="sex", v="percent_increase", src="gg")}
 SELECT sex, {_WELCH_OUT}, ROUND({_T_TAIL.format(t="t", df="df")}, 6) + 0.0 AS p FROM tt""")
 def g6b(spark, d):
-    groups = O.onset_groups(O.cohort(onset(spark, d), overall_diet="Rod"), GROUPS, "rbg300").select(
-        "subject_id", "sex", "onset_group")
-    rows = stats.growth(measurements(spark, d)).join(groups, "subject_id")
+    m, groups = _groups(spark, d)
+    rows = stats.growth(m).join(groups, "subject_id")
     return stats.welch_ttest(rows, "percent_increase", "onset_group", ("onset", "no onset"), ("sex",))
 
 
+def _wide(m):
+    return pivot_weeks(m, "subject_id", (4, 8, 12), {"weight": "wt", "rbg": "rbg"})
+
+
 _CORR = ("wt4", "wt8", "wt12", "rbg4", "rbg8", "rbg12", "nursing", "constant")
 
 
@@ -102,8 +111,9 @@ _CORR = ("wt4", "wt8", "wt12", "rbg4", "rbg8", "rbg12", "nursing", "constant")
            f"STDDEV_POP({b}) FILTER ({a} IS NOT NULL) > 0 THEN ROUND(CORR({a}, {b}), 6) END AS r FROM cr GROUP BY sex"
            for a in _CORR for b in _CORR))
 def g7(spark, d):
-    rows = wide(spark, d).join(onset(spark, d).select("subject_id", "sex", (F.col("nursing_diet") == "Rod").cast("int").alias("nursing")),
-                               "subject_id").withColumn("constant", F.lit(1.0))
+    m, o = panel(spark, d)
+    flags = o.select("subject_id", "sex", (F.col("nursing_diet") == "Rod").cast("int").alias("nursing"))
+    rows = _wide(m).join(flags, "subject_id").withColumn("constant", F.lit(1.0))
     return stats.corr_matrix(rows, _CORR, ("sex",))
 
 
@@ -133,9 +143,8 @@ SELECT sex, onset_group, COUNT(*) AS n, ROUND(MIN(v), 6) AS min, ROUND(MAX(q1),
   COUNT(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_outliers
 FROM gg JOIN q USING (sex, onset_group) GROUP BY sex, onset_group""")
 def g8b(spark, d):
-    groups = O.onset_groups(O.cohort(onset(spark, d), overall_diet="Rod"), GROUPS, "rbg300").select(
-        "subject_id", "sex", "onset_group")
-    rows = stats.growth(measurements(spark, d)).join(groups, "subject_id").withColumn("v", F.round("percent_increase", 9))
+    m, groups = _groups(spark, d)
+    rows = stats.growth(m).join(groups, "subject_id").withColumn("v", F.round("percent_increase", 9))
     return stats.box_summary(rows, "v", ("sex", "onset_group"))
 
 
@@ -200,20 +209,26 @@ ev AS (SELECT subject_id, sex, overall_diet, nursing_diet, CAST({c} < 80 AS INT)
 _EV300 = _EVENTS.format(c="rbg300")
 
 
-def _events(spark, d, crossing="rbg300", keep=("sex",)):
-    return O.event_table(onset(spark, d), measurements(spark, d), onset=crossing, keep=keep)
+def _events(m, o, keep=("sex",)):
+    return O.event_table(o, m, onset="rbg300", keep=keep)
 
 
 @query("x1_event_table", f"WITH {_EV300} SELECT subject_id, sex, event, event_time FROM ev")
 def x1(spark, d):
-    return _events(spark, d)
+    return _events(*panel(spark, d))
+
+
+def _long_events(spark, d):
+    """The panel with its event columns, and the onset table."""
+    m, o = panel(spark, d)
+    return O.longitudinal_events(m, _events(m, o)), o
 
 
 @query("x2_longitudinal_events", f"""
 WITH {_EV300} SELECT subject_id, week - 4 AS week, weight, rbg, diet, sex, event, event_time
 FROM fx_measurement JOIN ev USING (subject_id)""")
 def x2(spark, d):
-    return O.longitudinal_events(measurements(spark, d), _events(spark, d))
+    return _long_events(spark, d)[0]
 
 
 # Duration and event by maternal diet; onset of 300 as that leaves subjects without it
@@ -291,9 +306,10 @@ def x6(spark, d):
 @query("x4_cox_formula")
 def x4c(spark, d):
     """Several covariates: sex, diet and the size of the litter."""
-    o = onset(spark, d)
+    m, o = panel(spark, d)
+    o = materialize(o)
     litter = o.groupBy("mother").agg(F.count(F.lit(1)).alias("litter_size"))
-    rows = O.event_table(o, measurements(spark, d), onset="rbg300", keep=("sex", "nursing_diet", "mother")).join(litter, "mother")
+    rows = _events(m, o, ("sex", "nursing_diet", "mother")).join(litter, "mother")
     coded = rows.withColumns({"sex": encode_map("sex", {"F": 0, "M": 1}), "diet": encode_map("nursing_diet", {"Rab": 0, "Rod": 1})})
     return cox_ph(coded, "event_time", "event", ["sex", "diet", "litter_size"]).summary()
 
@@ -303,7 +319,8 @@ _MARK = _EV300 + ", mk AS (SELECT e.subject_id, event, event_time, rbg4, wt4 FRO
 
 
 def _marked(spark, d):
-    return _events(spark, d).join(wide(spark, d).select("subject_id", "rbg4", "wt4"), "subject_id").filter("rbg4 IS NOT NULL")
+    m, o = panel(spark, d)
+    return _events(m, o).join(_wide(m).select("subject_id", "rbg4", "wt4"), "subject_id").filter("rbg4 IS NOT NULL")
 
 
 @query("x7_concordance", f"""
@@ -383,8 +400,7 @@ def x9b(spark, d):
 
 def _longitudinal(spark, d):
     """Coded rows for the mixed model."""
-    rows = O.longitudinal_events(measurements(spark, d), _events(spark, d))
-    kept = materialize(longitudinal_cohort(rows, onset(spark, d)))
+    kept = materialize(longitudinal_cohort(*_long_events(spark, d)))
     sex, = index_categories(kept, [kept], "sex")
     return index_categories(sex, [sex], "diet")[0]
 
@@ -411,8 +427,7 @@ WITH {_EV300}, r AS (SELECT subject_id, week - 4 AS week, weight, rbg, m.diet, e
 SELECT subject_id, week, weight, rbg, sex, event, event_time, nursing_diet AS diet FROM r
 WHERE subject_id IN (SELECT subject_id FROM r GROUP BY 1 HAVING COUNT(*) > 1) AND diet IN ('Rod', 'Rab')""")
 def x11b(spark, d):
-    rows = O.longitudinal_events(measurements(spark, d), _events(spark, d))
-    return longitudinal_cohort(rows, onset(spark, d))
+    return longitudinal_cohort(*_long_events(spark, d))
 
 
 @query("x12_regression_error", """
@@ -425,7 +440,7 @@ def x12(spark, d):
 @query("x13_subject_rows", f"""
 WITH {_EV300} SELECT subject_id, event_time, event, sex FROM ev WHERE subject_id IN (SELECT subject_id FROM fx_measurement)""")
 def x13(spark, d):
-    return subject_rows(O.longitudinal_events(measurements(spark, d), _events(spark, d)))
+    return subject_rows(_long_events(spark, d)[0])
 
 
 @query("x14_fold_by_subject", """
@@ -437,8 +452,7 @@ def x14(spark, d):
 
 @query("x15_cross_validation")
 def x15(spark, d):
-    rows = O.longitudinal_events(measurements(spark, d), _events(spark, d))
-    kept = materialize(longitudinal_cohort(rows, onset(spark, d)))
+    kept = materialize(longitudinal_cohort(*_long_events(spark, d)))
     return cross_validate_survival(kept, k=2, times=(8, 16, 24), max_iter=8)
 
 

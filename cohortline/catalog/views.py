@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortline.operators.onset import onset_table
 from cohortline.operators.panel import pivot_weeks
+from cohortline.session import materialize
 
 START = "1995-01-01"
 
@@ -63,6 +64,17 @@ def onset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onset_table(subjects(spark, sf_dir), measurements(spark, sf_dir))
 
 
+def panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Readings and onset table for queries that use both: readings are written once, not derived twice."""
+    readings = materialize(measurements(spark, sf_dir))
+    return readings, onset_table(subjects(spark, sf_dir), readings)
+
+
+def stored_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The onset table written once, for queries that join it to itself."""
+    return materialize(onset(spark, sf_dir))
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight and reading at weeks 4, 8 and 12."""
     return pivot_weeks(measurements(spark, sf_dir), "subject_id", (4, 8, 12), {"weight": "wt", "rbg": "rbg"})

@@ -12,6 +12,7 @@ from cohortline.operators.clean import on_grid
 from cohortline.operators.lineage import lineage_features
 from cohortline.operators.onset import eligible
 from cohortline.operators.panel import pivot_weeks
+from cohortline.session import materialize
 
 DIETS = ("gestational_diet", "nursing_diet", "weanling_diet")
 MEASURES = {"weight": "wt", "rbg": "rbg"}
@@ -65,7 +66,8 @@ def risk_table(measurements: DataFrame, onset: DataFrame, cutoffs: Mapping[str,
     base = onset.filter(F.col("overall_diet") == overall_diet) if overall_diet else onset
     table = feature_table(measurements, eligible(base, cutoffs, crossing, strict), weeks, key=key,
                           keep=("mother", "father", "sex", crossing))
-    table = lineage_features(table, onset, cutoffs, key, crossing).dropna(subset=list(features))
+    # siblings are counted in the table they are joined to: write it once
+    table = lineage_features(materialize(table), onset, cutoffs, key, crossing).dropna(subset=list(features))
     if exclude_above is not None and "rbg8" in features:
         table = table.filter(F.col("rbg8") < exclude_above)
     return with_label(table, cutoffs, onset=crossing)
