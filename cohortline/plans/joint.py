@@ -55,7 +55,8 @@ def cross_validate_survival(rows: DataFrame, key: str = "subject_id", k: int = 5
     for fold in range(k):
         train, test = table.filter(F.col("_fold") != fold), table.filter(F.col("_fold") == fold)
         cols = ("event_time", "event", *covariates)
-        train_surv, test_surv = subject_rows(train, key, cols=cols), subject_rows(test, key, cols=cols)
+        train_surv = subject_rows(train, key, cols=cols)
+        test_surv = materialize(subject_rows(test, key, cols=cols))
         longitudinal = mixed_model(train, y, fixed, random, key, max_iter=max_iter)
         per_subject = (longitudinal.transform(test, "pred").groupBy(key)
                        .agg(F.avg(y).alias(y), F.avg("pred").alias("pred")))
