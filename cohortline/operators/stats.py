@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.functions.tails import with_p_value
@@ -55,20 +55,24 @@ def growth(measurements: DataFrame, key: str = "subject_id", value: str = "weigh
                        F.coalesce(change, F.lit(0.0)).alias("percent_increase"))
 
 
-def _pair_corr(x: Column, y: Column) -> Column:
-    """Pearson over the rows where both are known; null for a constant column."""
-    both_x, both_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(both_x) * F.stddev_pop(both_y))
-
-
 def corr_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Pairwise-complete Pearson matrix in long form, per group, from one aggregation."""
-    pairs = list(combinations_with_replacement(cols, 2))
-    x = {c: F.col(c).cast("double") for c in cols}
-    wide = df.groupBy(*by).agg(*[_pair_corr(x[a], x[b]).alias(f"{a}|{b}") for a, b in pairs])
-    cells = [F.struct(F.lit(p).alias("x"), F.lit(q).alias("y"), F.col(f"`{a}|{b}`").alias("r"))
-             for a, b in pairs for p, q in sorted({(a, b), (b, a)})]
-    return wide.select(*by, F.explode(F.array(*cells)).alias("_c")).select(*by, "_c.*")
+    """Pairwise-complete Pearson matrix in long form, per group; null for a constant column.
+
+    Each row is unfolded into its pairs of columns, so the aggregation has three moments whatever
+    the number of columns; they are combined before the shuffle, which sees one row per pair.
+    """
+    by, pairs = list(by), list(combinations_with_replacement(range(len(cols)), 2))
+    x = [F.col(c).cast("double") for c in cols]
+    cells = [F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.when(x[j].isNotNull(), x[i]).alias("_a"),
+                      F.when(x[i].isNotNull(), x[j]).alias("_b")) for i, j in pairs]
+    long = df.select(*by, F.explode(F.array(*cells)).alias("_c")).select(*by, "_c.*")
+    r = F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b"))
+    half = long.groupBy(*by, "_i", "_j").agg(r.alias("r"))
+    both = F.when(F.col("_i") == F.col("_j"), F.array(F.struct("_i", "_j"))).otherwise(
+        F.array(F.struct("_i", "_j"), F.struct(F.col("_j").alias("_i"), F.col("_i").alias("_j"))))
+    names = F.lit(list(cols))
+    return half.select(*by, "r", F.explode(both).alias("_p")).select(
+        *by, names[F.col("_p._i")].alias("x"), names[F.col("_p._j")].alias("y"), "r")
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -91,50 +91,35 @@ def _cox_step(cells: DataFrame, covs: Sequence[str], center: np.ndarray, beta: n
               range_col: str | None):
     """Log-likelihood, score and information at ``beta``: one aggregation by event time."""
     p = len(covs)
-    x = [F.col(c) - F.lit(float(m)) for c, m in zip(covs, center)]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    eta = F.lit(0.0)
-    for xi, b in zip(x, beta):
-        eta = eta + xi * F.lit(float(b))
-    risk = F.exp(eta) * F.col("_n")
-    dead = F.col("_event") * F.col("_n")
-    aggs = [F.sum(risk).alias("r0"), F.sum(risk * F.col("_event")).alias("d0"), F.sum(dead).alias("d"),
-            F.sum(eta * dead).alias("eta_d")]
-    for i in range(p):
-        aggs += [F.sum(risk * x[i]).alias(f"r1_{i}"), F.sum(risk * x[i] * F.col("_event")).alias(f"d1_{i}"),
-                 F.sum(x[i] * dead).alias(f"x_{i}")]
-    for i, j in pairs:
-        aggs += [F.sum(risk * x[i] * x[j]).alias(f"r2_{i}_{j}"),
-                 F.sum(risk * x[i] * x[j] * F.col("_event")).alias(f"d2_{i}_{j}")]
-    per = cells.groupBy(*([range_col] if range_col else []), "_time").agg(*aggs)
-    sums = {"s0": "r0"} | {f"s1_{i}": f"r1_{i}" for i in range(p)} | {f"s2_{i}_{j}": f"r2_{i}_{j}" for i, j in pairs}
-    run = running_totals(per, "_time", sums, descending=True, bounded=range_col is None, range_col=range_col)
-    run = run.filter(F.col("d") > 0)
-    if ties == "efron":
-        run = _with_tied_sums(run)
-    else:
-        run = run.selectExpr("*", "d * ln(s0) AS g", "d / s0 AS a1", "d / (s0 * s0) AS a2")
-    d, s0, d0 = F.col("d"), F.col("s0"), F.col("d0")
+    x = [f"(`{c}` - ({float(m)!r}D))" for c, m in zip(covs, center)]
+    eta = " + ".join(f"{xi} * ({float(b)!r}D)" for xi, b in zip(x, beta))
+    terms = {"0": "1"} | {f"1_{i}": x[i] for i in range(p)} | {f"2_{i}_{j}": f"{x[i]} * {x[j]}" for i, j in pairs}
+    weighed = cells.selectExpr("*", f"{eta} AS _eta", f"exp({eta}) * _n AS _risk", "_event * _n AS _dead")
+    aggs = ["sum(_dead) AS d", "sum(_eta * _dead) AS eta_d", *[f"sum({x[i]} * _dead) AS x_{i}" for i in range(p)]]
+    for k, term in terms.items():  # r: all at this time, d: those with the event
+        aggs += [f"sum(_risk * {term}) AS r{k}", f"sum(_risk * _event * {term}) AS d{k}"]
+    per = weighed.groupBy(*([range_col] if range_col else []), "_time").agg(*map(F.expr, aggs))
+    run = running_totals(per, "_time", {f"s{k}": f"r{k}" for k in terms}, descending=True, bounded=range_col is None,
+                         range_col=range_col).filter("d > 0")
     # With weights f = l/d and x_l = s0 - f d0 both sums split into terms of 1/x_l and 1/x_l^2:
     # (s1 - f d1) / x_l = e + c / x_l, where e = d1/d0 and c = s1 - d1 s0/d0 (Breslow: e = 0, c = s1).
     if ties == "efron":
-        e = [F.col(f"d1_{i}") / d0 for i in range(p)]
-        c = [F.col(f"s1_{i}") - F.col(f"d1_{i}") * s0 / d0 for i in range(p)]
+        run = _with_tied_sums(run)
+        e = {k: f"(d{k} / d0)" for k in terms}
+        c = {k: f"(s{k} - d{k} * s0 / d0)" for k in terms}
     else:
-        e = [F.lit(0.0)] * p
-        c = [F.col(f"s1_{i}") for i in range(p)]
-    out = [F.sum(F.col("eta_d") - F.col("g")).alias("ll")]
+        run = run.selectExpr("*", "d * ln(s0) AS g", "d / s0 AS a1", "d / (s0 * s0) AS a2")
+        e, c = {k: "0D" for k in terms}, {k: f"s{k}" for k in terms}
+    out = ["sum(eta_d - g) AS ll"]
     for i in range(p):
-        out.append(F.sum(F.col(f"x_{i}") - (e[i] * d + c[i] * F.col("a1"))).alias(f"u_{i}"))
+        out.append(f"sum(x_{i} - ({e[f'1_{i}']} * d + {c[f'1_{i}']} * a1)) AS u_{i}")
     for i, j in pairs:
-        s2, d2 = F.col(f"s2_{i}_{j}"), F.col(f"d2_{i}_{j}")
-        if ties == "efron":
-            second = d2 / d0 * d + (s2 - d2 * s0 / d0) * F.col("a1")
-        else:
-            second = s2 * F.col("a1")
-        square = e[i] * e[j] * d + (e[i] * c[j] + e[j] * c[i]) * F.col("a1") + c[i] * c[j] * F.col("a2")
-        out.append(F.sum(second - square).alias(f"i_{i}_{j}"))
-    row = run.agg(*out).first()
+        ei, ej, ci, cj = e[f"1_{i}"], e[f"1_{j}"], c[f"1_{i}"], c[f"1_{j}"]
+        second = f"({e[f'2_{i}_{j}']} * d + {c[f'2_{i}_{j}']} * a1)"
+        square = f"({ei} * {ej} * d + ({ei} * {cj} + {ej} * {ci}) * a1 + {ci} * {cj} * a2)"
+        out.append(f"sum({second} - {square}) AS i_{i}_{j}")
+    row = run.agg(*map(F.expr, out)).first()
     info = np.zeros((p, p))
     for i, j in pairs:
         info[i, j] = info[j, i] = row[f"i_{i}_{j}"] or 0.0
