@@ -104,11 +104,15 @@ def fit_model(family: str, train: DataFrame, features: Sequence[str], label: str
 
 
 def _fit_ridge(rows: DataFrame, features: list[str], label: str, key: str, params: dict[str, Any]) -> FittedModel:
-    """Least squares on -1/+1 labels with a squared penalty; the sign decides."""
-    n = max(rows.count(), 1)
+    """Least squares on -1/+1 labels with a squared penalty; the sign decides.
+
+    The estimator scales labels to unit variance but not the penalty with them, hence the factor.
+    """
     signed = rows.withColumn(label, F.col(label) * 2 - 1)
-    model = LinearRegression(labelCol=label, regParam=params.get("alpha", 1.0) / n, elasticNetParam=0.0,
-                             standardization=False, solver="normal").fit(signed)
+    size = signed.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd")).first()
+    penalty = params.get("alpha", 1.0) / max(size["n"], 1) * (size["sd"] or 1.0)
+    model = LinearRegression(labelCol=label, regParam=penalty, elasticNetParam=0.0, standardization=False,
+                             solver="normal").fit(signed)
 
     def apply(df: DataFrame) -> DataFrame:
         out = model.transform(assemble(df, features)).withColumnRenamed("prediction", "_margin")
