@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.columns import encode_flag
 from cohortline.operators import incidence, stats
-from cohortline.operators.clean import DELETED_MEASUREMENTS, WEEK_CORRECTIONS, apply_corrections, clean_measurements, clean_subjects, drop_keys, on_grid
+from cohortline.operators.clean import (
+    DELETED_MEASUREMENTS, WEEK_CORRECTIONS, apply_corrections, clean_measurements, clean_subjects, drop_keys, on_grid)
 from cohortline.operators.evaluate import classification_report, feature_roc, roc_auc, roc_curve
 from cohortline.operators.folds import split
 from cohortline.operators.lineage import sibling_onset
