@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortline.llm import text as tx
 
@@ -67,7 +68,7 @@ def measure(data: np.ndarray) -> tuple[int, ...]:
             repeated, len(np.unique(words)), letters, digits, upper, chars)
 
 
-@F.arrow_udf(", ".join(f"{c} long" for c in COUNTS).join(["struct<", ">"]))
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def _counts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
         rows = np.array([measure(x) for x in tx.text_bytes(column)], dtype=np.int64).reshape(-1, len(COUNTS))
