@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import jaccard, packing, quality, secrets, tokens
+from cohortline.llm import decontamination, jaccard, packing, quality, secrets, sql, tokens
 from cohortline.llm.registry import query, table
 
 
@@ -32,3 +32,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_secret_links")
 def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op5_prefix_decontamination", sql.DECONTAMINATION)
+def op5_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
