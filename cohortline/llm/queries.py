@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import decontamination, jaccard, packing, quality, secrets, sql, tokens
+from cohortline.llm import decontamination, jaccard, packing, quality, secrets, sql, tokencounts, tokens
 from cohortline.llm.registry import query, table
 
 
@@ -37,3 +37,9 @@ def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_prefix_decontamination", sql.DECONTAMINATION)
 def op5_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokencounts.counted(table(spark, sf_dir, "documents"), tokens.default_path("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
