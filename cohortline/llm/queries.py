@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import decontamination, jaccard, packing, quality, secrets, sql, tokencounts, tokens
+from cohortline.llm import decontamination, jaccard, packing, quality, secrets, sql, tokencounts, tokenfiles, tokens
 from cohortline.llm.registry import query, table
+from cohortline.session import scratch_path
 
 
 @query("op9_quality_rules")
@@ -43,3 +44,10 @@ def op5_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokencounts.counted(table(spark, sf_dir, "documents"), tokens.default_path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query("op3_rans_token_files")
+def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    tokenfiles.write(table(spark, sf_dir, "documents"), path, tokens.default_path("byte_bpe_50k.json"))
+    return tokenfiles.digest(spark, path)
