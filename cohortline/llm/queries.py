@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import decontamination, jaccard, packing, quality, secrets, sql, tokencounts, tokenfiles, tokens
+from cohortline.llm import decontamination, jaccard, packing, phrases, quality, secrets, sql, tokencounts, tokenfiles, tokens
 from cohortline.llm.registry import query, table
 from cohortline.session import scratch_path
 
@@ -51,3 +51,8 @@ def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokenfiles.write(table(spark, sf_dir, "documents"), path, tokens.default_path("byte_bpe_50k.json"))
     return tokenfiles.digest(spark, path)
+
+
+@query("op6_repeated_phrases")
+def op6_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.without_repeats(table(spark, sf_dir, "documents"))
