@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import decontamination, jaccard, packing, phrases, quality, secrets, sql, tokencounts, tokenfiles, tokens, toxicity
+from cohortline.llm import decontamination, jaccard, licenses, packing, phrases, quality, secrets, sql, tokencounts, tokenfiles, tokens, toxicity
 from cohortline.llm.registry import query, table
 from cohortline.session import scratch_path
 
@@ -63,3 +63,8 @@ def op8_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.held_out(F.col("doc_id"))
     scores = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda k: ~toxicity.held_out(k))
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
+@query("op4_conditional_licenses")
+def op4_conditional_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licensed(table(spark, sf_dir, "documents"))
