@@ -1,13 +1,16 @@
-"""Token ids of texts from the files of public tokenizers.
+"""Token ids of texts from the files of public tokenizers, by the tokenizers library.
 
-A null text is an empty text. Texts of any length are encoded in parts that are cut where a printable ASCII
-character is followed by a space or line feed: byte-level pre-tokenizers always part words there.
+A byte-level pre-tokenizer always parts words where a space follows a character that isn't white space, so a text's
+ids are those of its units: its parts at such places. The ids of units, which recur, are kept by each
+worker process within a bound; the library is asked for the others, many at a time. A null text is an empty text. Long texts are
+taken some units at a time.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +18,10 @@ import numpy as np
 from cohortline.llm.text import per_process
 
 PART = 200_000
-_CUT = re.compile(r"(?<=[!-~])(?=[ \n])")
+KEPT_UNITS, KEPT_CHARACTERS = 600_000, 20_000_000
+_CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
+#: White space before a space, which goes with it; a superset of what pre-tokenizers take for white space.
+_JOINED = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 
 
 def default_path(name: str) -> str:
@@ -36,35 +42,132 @@ def load(path: str):
     return per_process(f"tokenizer {path}", make)
 
 
-def parts(text: str, size: int = PART) -> list[str]:
-    out, at = [], 0
+class Units:
+    """Ids of units as bytes, kept for units of a space and a word; the latter are the keys."""
+
+    def __init__(self, path: str):
+        self.whole = load(path)
+        self.pieces = self.whole.model
+        self.words: dict[str, bytes] = {}  # after a space
+        self.starts: dict[str, bytes] = {}  # without one
+        self.characters = 0
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
+        rest = (c for c in range(256) if c not in plain)
+        self.letters = {c: 256 + i for i, c in enumerate(rest)}
+        self.signs = {c: self._any([c])[0] for c in (".", ",")}
+        self.feed = self._any(["\n"])[0]
+
+    def _any(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _letters(self, unit: str) -> bytes:
+        """Ids of a unit that is one word of the pre-tokenizer, straight from the merges."""
+        mapped = "\u0120" + unit[1:] if unit[0] == " " and unit.isascii() else unit
+        if not unit.isascii():
+            mapped = unit.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.pieces.tokenize(mapped)]).tobytes()
+
+    def _stem(self, stem: str, space: str) -> bytes | None:
+        """Ids of a known word that ends with a letter, or of letters; None for any other word."""
+        if not stem[-1:].isalpha() or stem[-1] >= "\u0250":
+            return None
+        known = self.words if space else self.starts
+        found = known.get(stem)
+        if found is None and stem.isalpha() and max(stem) < "\u0250":
+            found = known[stem] = self._letters(space + stem)
+        return found
+
+    def _word(self, word: str, space: str) -> bytes | None:
+        if word[-1:] in self.signs:  # a stop or comma parts from the letters before it
+            found = self._stem(word[:-1], space)
+            return None if found is None else found + self.signs[word[-1]]
+        return self._stem(word, space)
+
+    def _fill(self, missing: set[str]) -> dict[str, bytes]:
+        found, others = {}, []
+        words, signs, tokenize = self.words, self.signs, self.pieces.tokenize
+        for w in missing:
+            sign = signs.get(w[-1:], b"")
+            stem = w[:-1] if sign else w
+            if stem.isascii() and stem.isalpha():  # most words
+                ids = words.get(stem)
+                if ids is None:
+                    ids = words[stem] = array("I", [t.id for t in tokenize("\u0120" + stem)]).tobytes()
+                found[w] = ids + sign
+                continue
+            first, *lines = w.split("\n")  # a line feed between other characters stands alone
+            ids = [self._word(first, " "), *(self._word(line, "") for line in lines)]
+            if None in ids:
+                others.append(w)
+            else:
+                found[w] = self.feed.join(ids)
+        self.characters += sum(map(len, found))
+        if others:
+            found.update(zip(others, self._any([" " + w for w in others]), strict=True))
+        return found
+
+    def of(self, words: list[str]) -> bytes:
+        """Ids of words, each with a space before it."""
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            at = [i for i, x in enumerate(ids) if x is None]
+            if len(self.words) + len(self.starts) + len(at) > KEPT_UNITS or self.characters > KEPT_CHARACTERS:
+                self.words, self.starts, self.characters = {}, {}, 0
+            found = self._fill({words[i] for i in at})
+            for i in at:
+                ids[i] = found[words[i]]
+            for w, x in found.items():
+                if len(w) < 24 and "\n" not in w:  # those with line feeds hardly recur
+                    self.words[w] = x
+        return b"".join(ids)
+
+    def ids(self, text: str) -> bytes:
+        if not has_joined(text):
+            first, *rest = text.split(" ")
+            head = self._word(first, "")
+            return (self._any([first])[0] if head is None else head) + self.of(rest)
+        out, run = [], []
+        for unit in units(text):
+            if unit[:1] == " " and unit[1:2].strip():
+                run.append(unit[1:])
+            elif unit:
+                out += [self.of(run), *self._any([unit])]
+                run = []
+        return b"".join([*out, self.of(run)])
+
+
+def parts(text: str, size: int = PART) -> Iterator[str]:
+    at = 0
     while len(text) - at > size:
         cut = _CUT.search(text, at + size)
         if not cut:
             break
-        out.append(text[at:cut.start()])
+        yield text[at:cut.start()]
         at = cut.start()
-    return [*out, text[at:]]
+    yield text[at:] if at else text
 
 
-def encode(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The ids of each text as unsigned 32-bit numbers, without special tokens added."""
-    model = load(path)
-    queue: list[list[str]] = []
-    size = 0
+def has_joined(text: str) -> bool:
+    return text.startswith(" ") or any(j in text for j in _JOINED)
+
 
-    def flush():
-        encoded = iter(model.encode_batch_fast([p for own in queue for p in own], add_special_tokens=False))
-        for own in queue:
-            ids = [np.array(next(encoded).ids, dtype="<u4") for _ in own]
-            yield ids[0] if len(ids) == 1 else np.concatenate(ids)
-        queue.clear()
+def units(text: str) -> list[str]:
+    """The units of a text; joined, they give it."""
+    first, *rest = text.split(" ")
+    if not has_joined(text):
+        return [first, *(" " + r for r in rest)]
+    out = [first]
+    for r in rest:
+        if not out[-1] or out[-1][-1].isspace():  # white space before a space goes with it
+            out[-1] += " " + r
+        else:
+            out.append(" " + r)
+    return out
 
+
+def encode(path: str, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+    """The ids of each text as unsigned 32-bit numbers, without special tokens added."""
+    known = per_process(f"units {path}", lambda: Units(path))
     for text in texts:
-        queue.append(parts(text or ""))
-        size += len(text or "")
-        if size > PART or len(queue) >= 256:
-            yield from flush()
-            size = 0
-    if queue:
-        yield from flush()
+        ids = [known.ids(part) for part in parts(text or "")]
+        yield np.frombuffer(ids[0] if len(ids) == 1 else b"".join(ids), dtype="<u4")
