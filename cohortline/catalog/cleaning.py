@@ -31,17 +31,24 @@ def s2(spark, d):
     return read_table(spark, path, rows.schema, drop_index=True)
 
 
-@query("s3_list_tables", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in (
-        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-        "embeddings", "pages", "benchmark", "labels", "conversations")))
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+           "benchmark", "labels", "conversations")
+
+
+@query("s3_list_tables", " UNION ALL ".join(f"SELECT '{t}' AS table_name, EXISTS (SELECT 1 FROM {t}) AS has_rows" for t in _TABLES))
 def s3(spark, d):
-    found = list_tables(spark, d)
-    counts = None
-    for (name,) in found.collect():  # one row per table of the source
-        n = table(spark, d, name).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
-        counts = n if counts is None else counts.unionByName(n)
-    return found.join(counts, "table_name")
+    return list_tables(spark, d).withColumn("has_rows", F.lit(True))
+
+
+@query("s3_list_written_tables", "SELECT 'nation' AS table_name, COUNT(*) AS n FROM nation UNION ALL SELECT 'region', COUNT(*) FROM region")
+def s3b(spark, d):
+    folder = scratch_path(spark, "source")
+    rows = None
+    for name, path in (("nation", "nation.parquet"), ("region", "region")):  # tables as folders of several part files
+        write_table(table(spark, d, name).repartition(3), f"{folder}/{path}")
+        n = spark.read.parquet(f"{folder}/{path}").agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
+        rows = n if rows is None else rows.unionByName(n)
+    return list_tables(spark, folder).join(rows, "table_name")
 
 
 @query("s4_read_ids", """
@@ -112,6 +119,15 @@ def p7(spark, d):
     return clean.apply_corrections(rows, fixes, "measurement_id", "week")
 
 
+@query("p7_repeated_corrections", """
+SELECT o_orderkey, COALESCE(fix, CAST(o_custkey AS BIGINT)) AS o_custkey
+FROM orders LEFT JOIN (SELECT l_orderkey, MAX(l_suppkey) AS fix FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey""")
+def p7b(spark, d):
+    fixes = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("o_custkey"))
+    return clean.apply_corrections(table(spark, d, "orders").select("o_orderkey", "o_custkey"), fixes, "o_orderkey", "o_custkey")
+
+
 @query("p8_drop_keys", """
 SELECT * FROM fx_measurement WHERE measurement_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH')""")
 def p8(spark, d):
@@ -126,6 +142,12 @@ def p9(spark, d):
     return clean.find_duplicates(raw_panel(spark, d).select("subject_id", "week", "measurement_id"), ["subject_id", "week"])
 
 
+@query("p9_duplicates_null_keys", """
+SELECT subject_id, mother, father FROM (SELECT *, COUNT(*) OVER (PARTITION BY mother, father) AS n FROM fx_main) WHERE n > 1""")
+def p9b(spark, d):
+    return clean.find_duplicates(subjects(spark, d).select("subject_id", "mother", "father"), ["mother", "father"])
+
+
 @query("p10_fill_constant", "SELECT subject_id, week, COALESCE(weight, 80) AS weight FROM fx_measurement")
 def p10(spark, d):
     return measurements(spark, d).select("subject_id", "week", "weight").fillna(80.0, ["weight"])

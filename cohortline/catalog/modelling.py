@@ -15,6 +15,7 @@ from cohortline.plans.features import feature_table, risk_table, with_label
 from cohortline.plans.models import coefficients, fit_model, importances, tree_rules
 from cohortline.plans.selection import (
     compare_models, comparison_table, feature_sweep, grid_search, rfe_cv, tuned_report)
+from cohortline.plans.settings import FULL_COMPARISON, LINEAGE_FOREST_GRID, TREE_GRID
 from cohortline.session import materialize
 
 # The label is onset of 300 by week 12: both classes are common and no feature decides it alone.
@@ -128,7 +129,7 @@ def m5(spark, d):
 @query("m5_grid_search")
 def m5b(spark, d):
     rows = materialize(_complete(spark, d).select("subject_id", "label", *FEATURES))
-    return grid_search(rows, "tree", FEATURES, {"criterion": ("gini", "entropy"), "max_depth": (3, 5)}, k=2)[1]
+    return grid_search(rows, "tree", FEATURES, TREE_GRID)[1]
 
 
 _KNN = """
@@ -272,15 +273,13 @@ def m11b(spark, d):
 
 @query("m12_perceptron")
 def m12(spark, d):
-    return _scored(spark, d, "perceptron", hidden=(20,), max_iter=50)
+    return _scored(spark, d, "perceptron", hidden=(100,))
 
 
 @query("m13_model_comparison")
 def m13(spark, d):
-    """All seven models on reduced folds and one repeat."""
-    families = {"logistic": {}, "ridge": {}, "lasso": {}, "knn": {}, "forest": {"n_trees": 10}, "tree": {},
-                "perceptron": {"hidden": (10,), "max_iter": 20}}
-    scores = compare_models(_complete(spark, d), families, FEATURES, k=2, repeats=1)
+    """All seven models with their own settings on five folds; one repeat of the ten, as each takes 70 fits."""
+    scores = compare_models(_complete(spark, d), {family: {} for family in FULL_COMPARISON}, FEATURES, k=5, repeats=1)
     return comparison_table(scores)
 
 
@@ -302,7 +301,13 @@ def m14(spark, d):
 @query("m15_feature_elimination")
 def m15(spark, d):
     rows = _complete(spark, d).select("subject_id", "label", *FEATURES)
-    return rfe_cv(rows, FEATURES, params={"criterion": "entropy", "max_depth": 3, "n_trees": 10}, k=2)[1]
+    return rfe_cv(rows, FEATURES)[1]
+
+
+@query("m15_size_scores")
+def m15b(spark, d):
+    rows = _complete(spark, d).select("subject_id", "label", *FEATURES)
+    return rfe_cv(rows, FEATURES)[2]
 
 
 @query("m16_importances")
@@ -322,7 +327,7 @@ def m18(spark, d):
     parts = []
     for sex in ("M", "F"):
         _, _, predicted = tuned_report(rows.filter(F.col("sex") == sex), "forest", FEATURES,
-                                       {"max_depth": (3, 4), "n_trees": (10,)}, k=2, metric="auc")
+                                       LINEAGE_FOREST_GRID, metric="auc")
         parts.append(predicted.select("subject_id", "sex", "label", "prediction", "probability"))
     return parts[0].unionByName(parts[1])
 

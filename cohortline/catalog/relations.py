@@ -185,6 +185,14 @@ def w1b(spark, d):
     return running_totals(counts, "o_totalprice", {"cumulative": "n"}, ["o_orderstatus"], descending=True)
 
 
+@query("w1_running_count_prices", """
+WITH c AS (SELECT l_returnflag, l_extendedprice, COUNT(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, l_extendedprice, n, CAST(SUM(n) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS BIGINT) AS cumulative FROM c""")
+def w1c(spark, d):
+    counts = table(spark, d, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.count(F.lit(1)).alias("n"))
+    return running_totals(counts, "l_extendedprice", {"cumulative": "n"}, ["l_returnflag"])
+
+
 @query("w2_group_max", """
 WITH c AS (SELECT sex, rbg200, COUNT(*) AS n FROM fx_onset GROUP BY 1, 2)
 SELECT sex, rbg200, n, MAX(n) OVER (PARTITION BY sex) AS max_n FROM c""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,11 +55,12 @@ def litter_readings(breeding: DataFrame, start: int = 10, stop: int = 22) -> Dat
 def apply_corrections(df: DataFrame, fixes: Mapping[int, int] | DataFrame, key: str, column: str) -> DataFrame:
     """Replace ``column`` where the row's key has a correction.
 
-    ``fixes`` is a dict, or a table with the key and the corrected column. A hand-made list is small
-    enough to broadcast; a table is left to the optimizer, which knows its size.
+    ``fixes`` is a dict, or a table with the key and the corrected column, in which the largest of several
+    corrections of a key counts. A hand-made list is small enough to broadcast; a table is left to the optimizer, which
+    knows its size.
     """
     if isinstance(fixes, DataFrame):
-        patch = fixes.select(F.col(key), F.col(column).alias("_fix"))
+        patch = fixes.groupBy(key).agg(F.max(column).alias("_fix"))
     else:
         spark = df.sparkSession
         types = f"`{key}` {df.schema[key].dataType.simpleString()}, _fix {df.schema[column].dataType.simpleString()}"
@@ -82,14 +84,16 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def find_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All rows whose key combination occurs more than once.
+    """All rows whose key combination, in which null equals null, occurs more than once.
 
     Keys are counted first (partial counts before the shuffle) and joined back as a semi-join, so a
     key with very many copies is split by the adaptive skew join instead of filling one window.
     """
     keys = list(keys)
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    return df.join(repeated, keys, "left_semi")
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    repeated = repeated.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(repeated[f"_k_{k}"]) for k in keys])
+    return df.join(repeated, on, "left_semi")
 
 
 def complete_weeks(df: DataFrame, cols: Sequence[str], below: Mapping[str, float] | None = None) -> DataFrame:

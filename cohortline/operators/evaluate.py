@@ -75,9 +75,9 @@ def roc_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = (), drop_in
     straight stretch of counts, where neither rate changes its step.
     """
     by = list(by)
-    counts, range_col = cut_axis(_score_counts(df, y, score, by).withColumn("_one", F.lit(1).cast("long")), "score")
+    counts = cut_axis(_score_counts(df, y, score, by).withColumn("_one", F.lit(1).cast("long")), "score")
     curve = running_totals(counts, "score", {"_tp": "pos", "_fp": "neg", "_rank": "_one"}, by, descending=True,
-                           bounded=range_col is None, range_col=range_col)
+                           range_col="_range")
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.sum("_one").alias("_last"))
     if drop_intermediate:
         following = curve.select(*[F.col(c).alias(f"_f_{c}") for c in by], (F.col("_rank") - 1).alias("_f_rank"),

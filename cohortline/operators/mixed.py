@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from cohortline.session import materialize
 
 
-SUBJECTS_PER_TASK = 10_000  # one batch of small solves; a small study is one task per pass
-
 
 @dataclass
 class MixedModel:
@@ -134,7 +132,6 @@ def mixed_model(df: DataFrame, y: str, fixed: Sequence[str], random: Sequence[st
     v.append((F.col(y) - F.lit(float(my))) / F.lit(float(sy)))
     products = materialize(rows.groupBy(group).agg(
         *[F.sum(v[i] * v[j]).alias(f"c_{i}_{j}") for i, j in _pairs(p)]))
-    products = products.coalesce(max(1, -(-products.count() // SUBJECTS_PER_TASK)))
     zi = _random_index(fixed, random)
     n_rows = int(ends["n"])
 

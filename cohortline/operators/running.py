@@ -1,9 +1,9 @@
 """Ordered running totals and ranks that never put a large group into one task.
 
 A plain window sorts each partition group in a single task. That is right for a short axis, such as
-the week grid of a study. When the axis is long (scores, durations) it is cut into ranges instead:
-every range gets its own window, and the totals of the ranges before it are added from a small
-aggregate. Which of the two is needed is decided from the row count of the aggregated table.
+the week grid of a study. Any other axis (scores, durations) is cut into ranges: every range gets its own
+window, and the totals of the ranges before it are added from a small aggregate. The plan is the same at every
+size; adaptive execution joins small ranges into one task.
 """
 
 from __future__ import annotations
@@ -17,42 +17,36 @@ from cohortline.functions.columns import HASH_SPAN, hash32
 from cohortline.session import materialize
 
 RANGES = 256
-PLAIN_ROWS = 1_000_000  # up to this many aggregated rows a plain window cannot overload a task
 
 
-def cut_axis(df: DataFrame, order: str, ranges: int = RANGES,
-             plain_rows: int | None = None) -> tuple[DataFrame, str | None]:
-    """Write an aggregated table once and, if it is long, cut its axis.
+def cut_axis(df: DataFrame, order: str, ranges: int = RANGES, name: str = "_range") -> DataFrame:
+    """Add the range of each row of an aggregated table along ``order``; nothing runs yet.
 
-    Returns the written table and the name of its range column, or None when a plain window will
-    do; a table that short is read as one partition, so that the windows and sums over it need no
-    further exchange. The cut points are at most ``ranges - 1`` quantiles; the range of a row is their number
-    below its value.
+    The cut points are ``ranges - 1`` quantiles, a scalar subquery; the range of a row is their number below its
+    value. ``ranges`` bounds the tasks that one window can use: raise it with the size of the table.
     """
-    table = materialize(df)
-    if table.count() <= (PLAIN_ROWS if plain_rows is None else plain_rows):  # read from file footers
-        return table.coalesce(1), None
     probs = [i / ranges for i in range(1, ranges)]
-    edges = table.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10000)).first()[0]
-    cuts = F.lit(sorted(set(edges or [])))
-    return table.withColumn("_range", F.size(F.filter(cuts, lambda e: e < F.col(order)))), "_range"
+    edges = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10000).alias("_e")).scalar()
+    below = F.size(F.filter("_edges", lambda e: e < F.col(order)))
+    return df.withColumn("_edges", edges).withColumn(name, F.coalesce(below, F.lit(0))).drop("_edges")
 
 
-def running_totals(df: DataFrame, order: str, sums: Mapping[str, str], by: Sequence[str] = (),
-                   descending: bool = False, bounded: bool = False, range_col: str | None = None) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: Mapping[str, str], by: Sequence[str] = (), descending: bool = False,
+                   bounded: bool = False, range_col: str | None = None, ranges: int = RANGES) -> DataFrame:
     """Add inclusive running sums ``{new: column}`` along ``order`` within ``by``.
 
     ``df`` holds one row per (``by``, ``order``), so aggregate first. ``bounded=True`` promises a
     short axis and uses a plain window; ``range_col`` names the range column of a table that
-    :func:`cut_axis` has cut. With neither, the table is written and cut here as needed.
+    :func:`cut_axis` has cut. With neither, the table is cut here into ``ranges``.
     """
     by, columns = list(by), df.columns
-    if not bounded and range_col is None:
-        df, range_col = cut_axis(df, order)
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    if range_col is None:
+    if bounded:
         w = Window.partitionBy(*by).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({new: F.sum(c).over(w) for new, c in sums.items()})
+    if range_col is None:
+        range_col = "_range"
+        df = cut_axis(df, order, ranges, range_col)
 
     step = F.col(range_col).desc() if descending else F.col(range_col).asc()
     before = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
@@ -73,11 +67,12 @@ def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), name:
               ranges: int = RANGES) -> DataFrame:
     """Number the rows of each ``by`` group 0, 1, 2, ... in the order of a stable hash of the key.
 
-    The hash itself spreads rows evenly, so its leading bits cut each group into equal ranges.
+    The hash itself spreads rows evenly, so its leading bits cut each group into ``ranges`` equal ranges. The rows are
+    written once: counts and ranks are read from the copy.
     """
     by = list(by)
-    cut = (df.withColumn("_hash", hash32(key, seed))
-           .withColumn("_range", F.floor(F.col("_hash") / (HASH_SPAN // ranges)).cast("int")))
+    cut = materialize(df.withColumn("_hash", hash32(key, seed))
+                      .withColumn("_range", F.floor(F.col("_hash") / (HASH_SPAN // ranges)).cast("int")))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (cut.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
                .select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_range"]],

@@ -87,14 +87,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
     value at one or two ranks, found by a conditional minimum. No group is sorted in one task.
     """
     by = list(by)
-    return _count_quantiles(*cut_axis(value_counts(df, value, by), value), value, probs, by)
+    return _count_quantiles(cut_axis(value_counts(df, value, by), value), value, probs, by)
 
 
-def _count_quantiles(counts: DataFrame, range_col: str | None, value: str, probs: dict[str, float],
+def _count_quantiles(counts: DataFrame, value: str, probs: dict[str, float],
                      by: list[str]) -> DataFrame:
-    """Quantiles of a written table of distinct values and their counts."""
+    """Quantiles of a table of distinct values with their counts and ranges."""
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("_size"))
-    ranked = running_totals(counts, value, {"_upto": "n"}, by, bounded=range_col is None, range_col=range_col)
+    ranked = running_totals(counts, value, {"_upto": "n"}, by, range_col="_range")
     joined = _join_by(ranked, sizes, by)
     low = {k: F.floor((F.col("_size") - 1) * F.lit(q)) for k, q in probs.items()}
     aggs = [F.max("_size").alias("n")]
@@ -125,8 +125,8 @@ def _join_by(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
 def box_summary(df: DataFrame, value: str, by: Sequence[str] = (), whisker: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the last value within 1.5 IQR of the box, and outliers beyond."""
     by = list(by)
-    counts, range_col = cut_axis(value_counts(df, value, by), value)
-    q = _count_quantiles(counts, range_col, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    counts = cut_axis(value_counts(df, value, by), value)
+    q = _count_quantiles(counts, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     counts = _join_by(counts.withColumnRenamed("n", "_n"), q.drop("n"), by)
     span = F.lit(whisker) * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - span) & (F.col(value) <= F.col("q3") + span)
@@ -179,7 +179,7 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = (), width: float =
 def kde(df: DataFrame, value: str, by: Sequence[str] = (), grid: int = 200) -> DataFrame:
     """Gaussian kernel density per group on an even grid over the range of all data.
 
-    Scott's bandwidth per group. Rows are reduced to distinct values with counts; each of them
+    Scott's bandwidth per group; a group of one value, or without spread, has no bandwidth and null density. Rows are reduced to distinct values with counts; each of them
     adds its kernel to the grid points, and the sums are combined inside the map tasks.
     """
     by = list(by)
@@ -191,11 +191,10 @@ def kde(df: DataFrame, value: str, by: Sequence[str] = (), grid: int = 200) -> D
     ends = counts.agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
     rows = _join_by(_join_by(counts, stats, by), ends, [])
     rows = (rows.withColumn("_h", F.col("_sd") * F.pow(F.col("_size"), F.lit(-0.2)))
-            .filter(F.col("_h") > 0)
             .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))))
     x = F.col("_min") + (F.col("_max") - F.col("_min")) * F.col("point") / F.lit(grid - 1)
-    u = (x - F.col(value)) / F.col("_h")
-    kernel = F.col("n") * F.exp(-0.5 * u * u) / (F.col("_size") * F.col("_h") * F.sqrt(2 * F.pi()))
+    u = F.try_divide(x - F.col(value), "_h")
+    kernel = F.when(F.col("_h") > 0, F.col("n") * F.exp(-0.5 * u * u) / (F.col("_size") * F.col("_h") * F.sqrt(2 * F.pi())))
     return rows.groupBy(*by, "point").agg(F.max(x).alias("x"), F.sum(kernel).alias("density"))
 
 

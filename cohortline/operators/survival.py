@@ -57,8 +57,7 @@ class CoxModel:
     def baseline_hazard(self) -> DataFrame:
         """Cumulative baseline hazard (Breslow) at each time, for centered covariates."""
         risk = F.exp(self.linear_predictor()) * F.col("_n")
-        keys = [self._range] if self._range else []
-        cut = {"range_col": self._range, "bounded": self._range is None}
+        keys, cut = [self._range], {"range_col": self._range}
         per = self._cells.groupBy(*keys, "_time").agg(
             F.sum(risk).alias("_r"), F.sum(F.col("_event") * F.col("_n")).alias("_d"))
         at_risk = running_totals(per, "_time", {"_at_risk": "_r"}, descending=True, **cut)
@@ -88,7 +87,7 @@ def _with_tied_sums(per_time: DataFrame) -> DataFrame:
 
 
 def _cox_step(cells: DataFrame, covs: Sequence[str], center: np.ndarray, beta: np.ndarray, ties: str,
-              range_col: str | None):
+              range_col: str):
     """Log-likelihood, score and information at ``beta``: one aggregation by event time."""
     p = len(covs)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
@@ -99,9 +98,8 @@ def _cox_step(cells: DataFrame, covs: Sequence[str], center: np.ndarray, beta: n
     aggs = ["sum(_dead) AS d", "sum(_eta * _dead) AS eta_d", *[f"sum({x[i]} * _dead) AS x_{i}" for i in range(p)]]
     for k, term in terms.items():  # r: all at this time, d: those with the event
         aggs += [f"sum(_risk * {term}) AS r{k}", f"sum(_risk * _event * {term}) AS d{k}"]
-    per = weighed.groupBy(*([range_col] if range_col else []), "_time").agg(*map(F.expr, aggs))
-    run = running_totals(per, "_time", {f"s{k}": f"r{k}" for k in terms}, descending=True, bounded=range_col is None,
-                         range_col=range_col).filter("d > 0")
+    per = weighed.groupBy(range_col, "_time").agg(*map(F.expr, aggs))
+    run = running_totals(per, "_time", {f"s{k}": f"r{k}" for k in terms}, descending=True, range_col=range_col).filter("d > 0")
     # With weights f = l/d and x_l = s0 - f d0 both sums split into terms of 1/x_l and 1/x_l^2:
     # (s1 - f d1) / x_l = e + c / x_l, where e = d1/d0 and c = s1 - d1 s0/d0 (Breslow: e = 0, c = s1).
     if ties == "efron":
@@ -140,7 +138,7 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: Sequence[str],
     rows = df.select(F.col(duration).cast("double").alias("_time"), F.col(event).cast("int").alias("_event"),
                      *[F.col(c).cast("double").alias(c) for c in covs]).dropna()
     cells = rows.groupBy("_time", "_event", *covs).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    cells, range_col = cut_axis(cells, "_time")
+    cells, range_col = materialize(cut_axis(cells, "_time", name="_range")), "_range"
     stats = cells.agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_event")).alias("d"),
                       *[(F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"m{i}") for i, c in enumerate(covs)]).first()
     p = len(covs)
@@ -213,8 +211,7 @@ def _cell_curve(cells: DataFrame) -> DataFrame:
 
 
 def _curve(per_time: DataFrame) -> DataFrame:
-    times, range_col = cut_axis(per_time, "time")
-    cut = {"range_col": range_col, "bounded": range_col is None}
+    times, cut = cut_axis(per_time, "time"), {"range_col": "_range"}
     sets = running_totals(times, "time", {"at_risk": "_n"}, descending=True, **cut)
     lost, exposed = F.col("_n") - F.col("deaths"), F.col("at_risk") - F.col("deaths")
     factor = F.when(exposed > 0, 1 - lost / exposed).otherwise(1.0)

@@ -44,8 +44,11 @@ def cross_validate_survival(rows: DataFrame, key: str = "subject_id", k: int = 5
                             times: Sequence[float] = tuple(range(4, 40, 4)), y: str = "rbg",
                             fixed: Sequence[str] = ("weight", "week", "sex", "diet"),
                             random: Sequence[str] = ("weight", "week"), covariates: Sequence[str] = ("sex", "diet"),
-                            max_iter: int = 30) -> DataFrame:
-    """Errors of the mixed model and accuracy of the hazards model on each left-out fold of subjects."""
+                            max_iter: int = 500) -> DataFrame:
+    """Errors of the mixed model and accuracy of the hazards model on each left-out fold of subjects.
+
+    ``mixed_converged`` and ``cox_converged`` tell whether the fits of a fold reached their optimum within ``max_iter`` steps.
+    """
     spark = rows.sparkSession
     sex, = index_categories(rows, [rows], "sex")
     coded, = index_categories(sex, [sex], "diet")
@@ -66,7 +69,8 @@ def cross_validate_survival(rows: DataFrame, key: str = "subject_id", k: int = 5
         c = concordance(scored, "event_time", "event", "lp").first()["c_index"]
         auc = td_auc(scored, "event_time", "event", "lp", times).agg(F.avg("auc").alias("a")).first()["a"]
         ibs = integrated_brier(brier(test_surv, cox, "event_time", "event", times)).first()["ibs"]
-        results.append((fold + 1, row_error["rmse"], row_error["mae"], mean_error["rmse"], mean_error["mae"], c, auc, ibs))
+        results.append((fold + 1, row_error["rmse"], row_error["mae"], mean_error["rmse"], mean_error["mae"], c, auc, ibs,
+                        bool(longitudinal.converged), bool(cox.converged)))
     return spark.createDataFrame(
         results, "fold int, rmse double, mae double, subject_rmse double, subject_mae double, "
-                 "c_index double, mean_auc double, integrated_brier double")
+                 "c_index double, mean_auc double, integrated_brier double, mixed_converged boolean, cox_converged boolean")

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from cohortline.operators.neighbours import knn_classify
 
-MAX_BINS = 1024  # split candidates per feature; whole-number readings have fewer values than this
+MAX_BINS = 1024  # default of ``max_bins``, split candidates per feature; whole-number readings have fewer values than this
+MAX_DEPTH = 30  # default of ``max_depth``, the deepest tree there is: trees grow until their leaves are pure
 
 
 def as_numbers(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -60,18 +61,18 @@ class FittedModel:
 def _mllib(family: str, params: dict[str, Any], n: int, width: int, label: str, seed: int):
     """The estimator of a family; penalties are given as in the study, per row instead of in total."""
     if family == "tree":
-        return DecisionTreeClassifier(labelCol=label, impurity=params.get("criterion", "gini"), maxBins=MAX_BINS,
-                                      maxDepth=params.get("max_depth", 5), seed=seed)
+        return DecisionTreeClassifier(labelCol=label, impurity=params.get("criterion", "gini"), maxBins=params.get("max_bins", MAX_BINS),
+                                      maxDepth=params.get("max_depth", MAX_DEPTH), seed=seed)
     if family == "forest":
-        return RandomForestClassifier(labelCol=label, impurity=params.get("criterion", "gini"), maxBins=MAX_BINS,
-                                      maxDepth=params.get("max_depth", 5), numTrees=params.get("n_trees", 100), seed=seed)
+        return RandomForestClassifier(labelCol=label, impurity=params.get("criterion", "gini"), maxBins=params.get("max_bins", MAX_BINS),
+                                      maxDepth=params.get("max_depth", MAX_DEPTH), numTrees=params.get("n_trees", 100), seed=seed)
     if family in ("logistic", "lasso"):
         return LogisticRegression(labelCol=label, regParam=1.0 / (params.get("c", 1.0) * max(n, 1)),
                                   elasticNetParam=1.0 if family == "lasso" else 0.0, standardization=False,
                                   maxIter=params.get("max_iter", 500), tol=1e-9)
     if family == "perceptron":
         return MultilayerPerceptronClassifier(labelCol=label, layers=[width, *params.get("hidden", (100,)), 2],
-                                              maxIter=params.get("max_iter", 100), seed=seed)
+                                              maxIter=params.get("max_iter", 1000), seed=seed)
     raise ValueError(f"unknown model family {family}")
 
 

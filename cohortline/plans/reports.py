@@ -25,7 +25,7 @@ from cohortline.operators.survival import CoxModel, cox_ph
 from cohortline.plans.features import SWEEP_OPTIONS, feature_table, risk_table, with_label
 from cohortline.plans.models import importances, tree_rules
 from cohortline.plans.selection import compare_models, feature_sweep, rfe_cv, tuned_report
-from cohortline.plans.settings import ANALYSES, LINEAGE_FOREST_GRID, LINEAGE_TREE_GRID, SPLIT_SEED, SPLIT_TEST
+from cohortline.plans.settings import ANALYSES, FULL_COMPARISON, LINEAGE_FOREST_GRID, LINEAGE_TREE_GRID, SPLIT_SEED, SPLIT_TEST
 from cohortline.session import materialize
 
 CUTOFFS = {"M": 16, "F": 36}
@@ -115,7 +115,7 @@ def correlation_report(measurements: DataFrame, onset: DataFrame, key: str = "su
 def model_comparison(measurements: DataFrame, onset: DataFrame, families: Mapping[str, dict[str, Any]] | None = None,
                      folds: int = 5, repeats: int = 10, key: str = "subject_id") -> DataFrame:
     """Fold scores of all models on the complete early readings, by sex with its own cutoff."""
-    families = families or {f: {} for f in ("logistic", "ridge", "lasso", "knn", "forest", "tree", "perceptron")}
+    families = families or {f: {} for f in FULL_COMPARISON}
     table = with_label(early_table(measurements, onset, 8, key).dropna(), ANALYSES["comparison"]["cutoff"])
     features = [c for c in table.columns if c not in (key, "sex", "rbg200", "label")]
     return compare_models(table, families, features, folds, repeats, key=key)

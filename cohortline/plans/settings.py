@@ -1,6 +1,7 @@
 """Default settings of each analysis, as the study used them."""
 
-SPLIT_SEED = 888
+from cohortline.operators.folds import SPLIT_SEED  # noqa: F401
+
 SPLIT_TEST = 0.2
 
 CRITERIA = ("gini", "entropy")  # log_loss is another name of entropy

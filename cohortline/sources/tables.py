@@ -43,12 +43,18 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def list_tables(spark: SparkSession, source: str | None = None) -> DataFrame:
-    """Names of the tables of a database (catalog name) or of a folder of Parquet tables (path)."""
+    """Names of the tables of a database (catalog name) or of a folder of Parquet tables (path).
+
+    In a folder, a table is a ``.parquet`` file, or a folder of part files with that ending or without one.
+    """
     if source is not None and "/" in source:
-        files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-                 .load(source).select("path"))
-        return files.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("table_name"))
-    names = [(t.name,) for t in spark.catalog.listTables(source)]
+        path = spark._jvm.org.apache.hadoop.fs.Path(source)
+        entries = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+        found = [(e.getPath().getName(), e.isDirectory()) for e in entries]
+        names = [(n.removesuffix(".parquet"),) for n, folder in found
+                 if n[0] not in "._" and (n.endswith(".parquet") or folder and "." not in n)]
+    else:
+        names = [(t.name,) for t in spark.catalog.listTables(source)]
     return spark.createDataFrame(names, "table_name string")
 
 

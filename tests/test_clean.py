@@ -106,3 +106,21 @@ def test_min_observations_and_complete_weeks(spark):
     assert rows(clean.min_observations(df, "id", 2), "id", "x") == [("a", 1.0), ("a", 2.0)]
     assert rows(clean.complete_weeks(df, ["x"], {"x": 3}), "x") == [(1.0,), (2.0,)]
     assert C.week_class(F.lit(24)) is not None
+
+
+def test_duplicates_of_null_keys(spark):
+    df = spark.createDataFrame([(None, 1), (None, 1), ("a", None), ("a", None), ("a", 2), (None, None)], "k string, j int")
+    assert clean.find_duplicates(df, ["k", "j"]).count() == 4
+
+
+def test_largest_of_several_corrections(spark):
+    df = spark.createDataFrame([(1, 5), (2, 6)], "id int, week int")
+    fixes = spark.createDataFrame([(1, 8), (1, 12), (3, 4)], "id int, week int")
+    assert sorted(map(tuple, clean.apply_corrections(df, fixes, "id", "week").collect())) == [(1, 12), (2, 6)]
+
+
+def test_tables_of_a_folder(spark, tmp_path):
+    for name in ("a.parquet", "b"):
+        spark.range(10).repartition(3).write.parquet(f"{tmp_path}/{name}")
+    spark.range(1).toPandas().to_parquet(f"{tmp_path}/c.parquet")
+    assert sorted(r.table_name for r in T.list_tables(spark, str(tmp_path)).collect()) == ["a", "b", "c"]

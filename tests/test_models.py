@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.operators import running
 from cohortline.operators.evaluate import classification_report, feature_auc, roc_auc, roc_curve
 from cohortline.operators.neighbours import knn_classify, nearest_neighbours
 from cohortline.plans.features import SWEEP_OPTIONS
@@ -65,9 +64,7 @@ def test_auc_of_hard_predictions(spark, tp, fn, tn, fp, auc):
     assert report["1"].support == tp + fn and report["1"].recall == pytest.approx(tp / (tp + fn))
 
 
-@pytest.mark.parametrize("plain", [10**6, 0])
-def test_roc(spark, monkeypatch, plain):
-    monkeypatch.setattr(running, "PLAIN_ROWS", plain)
+def test_roc(spark):
     rng = random.Random(6)
     rows = [(int(rng.random() < 0.4), rng.randint(0, 30), "ab"[i % 2]) for i in range(300)]
     df = spark.createDataFrame(rows, "y int, s int, g string").withColumn("neg", -F.col("s"))
@@ -139,8 +136,8 @@ def test_comparison(spark):
 
 def test_elimination_keeps_the_feature_that_matters(spark):
     df = points(spark, 200, 13, dims=2).withColumn("noise", F.rand(1)).withColumn("label", (F.col("f0") > 0).cast("int"))
-    chosen, table = rfe_cv(df, ["f0", "f1", "noise"], params={"criterion": "entropy", "max_depth": 3, "n_trees": 5}, k=2)
-    assert "f0" in chosen and table.count() == 3
+    chosen, table, sizes = rfe_cv(df, ["f0", "f1", "noise"], params={"criterion": "entropy", "max_depth": 3, "n_trees": 5}, k=2)
+    assert "f0" in chosen and table.count() == 3 and sizes.count() == 3
 
 
 def test_category_numbers_are_shared(spark):

@@ -27,24 +27,22 @@ def test_running_totals_over_cut_axes_equal_one_window(spark):
     rows = [(g, float(v), rng.randint(0, 9)) for g in "abc" for v in rng.sample(range(10_000), 400)]
     df = spark.createDataFrame([*rows, (None, 5.0, 3)], "g string, v double, n int")
     for descending in (False, True):
-        table, rng_col = running.cut_axis(df, "v", ranges=16, plain_rows=0)
-        assert rng_col is not None
-        a = running.running_totals(table, "v", {"s": "n"}, ["g"], descending, range_col=rng_col)
+        table = running.cut_axis(df, "v", ranges=16)
+        assert table.select("_range").distinct().count() == 16
+        a = running.running_totals(table, "v", {"s": "n"}, ["g"], descending, range_col="_range")
         b = running.running_totals(df, "v", {"s": "n"}, ["g"], descending, bounded=True)
         assert sorted(map(repr, a.select("g", "v", "s").collect())) == sorted(map(repr, b.select("g", "v", "s").collect()))
-    table, rng_col = running.cut_axis(df.drop("g").groupBy("v").agg(F.sum("n").alias("n")), "v", ranges=4, plain_rows=0)
-    total = running.running_totals(table, "v", {"s": "n"}, range_col=rng_col).agg(F.max("s")).first()[0]
+    by_value = df.drop("g").groupBy("v").agg(F.sum("n").alias("n"))
+    total = running.running_totals(by_value, "v", {"s": "n"}, ranges=4).agg(F.max("s")).first()[0]
     assert total == sum(n for _, _, n in rows) + 3
 
 
-def test_quantiles_of_cut_axes(spark, monkeypatch):
+def test_quantiles_of_cut_axes(spark):
     values = [random.Random(2).gauss(0, 1) for _ in range(501)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     want = np.quantile(values, [0.25, 0.5, 0.75])
-    for plain in (10**6, 0):
-        monkeypatch.setattr(running, "PLAIN_ROWS", plain)
-        got = stats.exact_quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.75}).first()
-        assert [got.a, got.b, got.c] == pytest.approx(list(want))
+    got = stats.exact_quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 0.75}).first()
+    assert [got.a, got.b, got.c] == pytest.approx(list(want))
 
 
 def test_welch_needs_two_values(spark):
@@ -107,3 +105,18 @@ def test_splits_and_folds(spark):
     assert folds.count() == 1000 and all(abs(sizes[(1, f)] - 334 / 5) < 1 for f in range(5))
     twice = df.select("k").union(df.select("k"))
     assert fold_by_subject(twice, "k").distinct().count() == 1000
+
+
+def test_kernel_density_of_single_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("c", 2.0), ("c", 2.0)], "g string, v double")
+    got = stats.kde(df, "v", ("g",), grid=5).collect()
+    assert len(got) == 15 and all((r.density is None) == (r.g != "a") for r in got)
+
+
+def test_tails_of_few_degrees_of_freedom(spark):
+    df = spark.createDataFrame([(1.0, 1.05, 0.493606), (1.0, 1.2, 0.476804), (1.0, 1.0, 0.5), (0.0, 1.5, 1.0)], "t double, k double, p double")
+    assert all(r.got == pytest.approx(r.p, abs=1e-6) for r in df.select("p", p_value("t", "t", "k").alias("got")).collect())
+    chi = spark.createDataFrame([(2.7, 2.7)], "x double, k double").select(p_value("x", "chi2", "k").alias("p")).first().p
+    v = np.linspace(0, math.sqrt(2.7), 20_001)  # with x = v * v the density has no singularity
+    f = 2 * v ** 1.7 * np.exp(-v * v / 2) / (2 ** 1.35 * math.gamma(1.35))
+    assert chi == pytest.approx(1 - np.trapezoid(f, v), abs=1e-7)

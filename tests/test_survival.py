@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.operators import running
 from cohortline.operators.mixed import mixed_model
 from cohortline.operators.survival import (
     DIRECT_TERMS, _with_tied_sums, brier, censoring_curve, concordance, cox_ph, integrated_brier, td_auc)
@@ -32,9 +31,7 @@ def efron_loglik(rows, beta):
     return ll
 
 
-@pytest.mark.parametrize("plain", [10**6, 0])
-def test_cox_is_at_the_maximum_of_the_efron_likelihood(spark, monkeypatch, plain):
-    monkeypatch.setattr(running, "PLAIN_ROWS", plain)
+def test_cox_is_at_the_maximum_of_the_efron_likelihood(spark):
     rows = sample()
     m = cox_ph(frame(spark, rows), "t", "e", ["x", "z"])
     assert m.converged and np.abs(m.score).max() < 1e-6
@@ -75,9 +72,7 @@ def test_many_tied_deaths(spark):
     assert last.a1 == pytest.approx((1 / (900.0 - np.arange(n) * d0 / n)).sum(), rel=1e-10)
 
 
-@pytest.mark.parametrize("plain", [10**6, 0])
-def test_concordance_counts_all_pairs(spark, monkeypatch, plain):
-    monkeypatch.setattr(running, "PLAIN_ROWS", plain)
+def test_concordance_counts_all_pairs(spark):
     rows = [(t, e, x, round(z, 1)) for t, e, x, z in sample(150)]
     con = tie = cmp = 0
     for a in rows:
