@@ -398,37 +398,44 @@ def x8(spark, d):
 
 
 _CENSORED_COX = """
-hz AS (SELECT sex, duration, event, diet, EXP(b * (diet - m)) AS h FROM ci JOIN fit USING (sex) WHERE sex = 'F'),
-ht AS (SELECT duration, SUM(event) AS d, COUNT(*) AS n, SUM(h) AS hs FROM hz GROUP BY 1),
-h0 AS (SELECT duration, SUM(d / r) OVER (ORDER BY duration) AS ch FROM (
-  SELECT duration, d, SUM(hs) OVER (ORDER BY duration DESC) AS r FROM ht)),
-gr AS (SELECT duration, d, n - d AS c, SUM(n) OVER (ORDER BY duration DESC) AS r FROM ht),
-gf AS (SELECT duration, CASE WHEN r - d > 0 THEN 1 - CAST(c AS DOUBLE) / (r - d) ELSE 1.0 END AS f FROM gr),
-gk AS (SELECT duration, PRODUCT(f) OVER (ORDER BY duration) AS g,
-  COALESCE(PRODUCT(f) OVER (ORDER BY duration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS gb FROM gf),
-ts AS (SELECT UNNEST([4, 8, 12, 16]) AS t),
-bt AS (SELECT t, (SELECT MAX(ch) FROM h0 WHERE duration <= t) AS ch, (SELECT MIN(g) FROM gk WHERE duration <= t) AS g FROM ts),
-br AS (SELECT t, AVG(CASE WHEN event = 1 AND duration <= t THEN POWER(EXP(-COALESCE(ch, 0) * h), 2) / gb
+hz AS (SELECT sex, duration, event, diet, EXP(b * (diet - m)) AS h FROM ci JOIN fit USING (sex)),
+ht AS (SELECT sex, duration, SUM(event) AS d, COUNT(*) AS n, SUM(h) AS hs FROM hz GROUP BY 1, 2),
+h0 AS (SELECT sex, duration, SUM(d / r) OVER (PARTITION BY sex ORDER BY duration) AS ch FROM (
+  SELECT sex, duration, d, SUM(hs) OVER (PARTITION BY sex ORDER BY duration DESC) AS r FROM ht)),
+gr AS (SELECT sex, duration, d, n - d AS c, SUM(n) OVER (PARTITION BY sex ORDER BY duration DESC) AS r FROM ht),
+gf AS (SELECT sex, duration, CASE WHEN r - d > 0 THEN 1 - CAST(c AS DOUBLE) / (r - d) ELSE 1.0 END AS f FROM gr),
+gk AS (SELECT sex, duration, PRODUCT(f) OVER (PARTITION BY sex ORDER BY duration) AS g, COALESCE(PRODUCT(f) OVER (
+  PARTITION BY sex ORDER BY duration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS gb FROM gf),
+ts AS (SELECT sex, t FROM (SELECT DISTINCT sex FROM hz), (SELECT UNNEST([4, 8, 12, 16]) AS t)),
+bt AS (SELECT sex, t, (SELECT MAX(ch) FROM h0 WHERE duration <= t AND h0.sex = ts.sex) AS ch,
+  (SELECT MIN(g) FROM gk WHERE duration <= t AND gk.sex = ts.sex) AS g FROM ts),
+br AS (SELECT hz.sex, t, AVG(CASE WHEN event = 1 AND duration <= t THEN POWER(EXP(-COALESCE(ch, 0) * h), 2) / gb
   WHEN duration > t THEN POWER(1 - EXP(-COALESCE(ch, 0) * h), 2) / COALESCE(bt.g, 1) ELSE 0 END) AS brier
-  FROM hz JOIN gk USING (duration), bt GROUP BY t)"""
+  FROM hz JOIN gk USING (sex, duration) JOIN bt ON bt.sex = hz.sex GROUP BY 1, 2)"""
 
 
 def _brier(spark, d):
-    rows, model = _cox_by_sex(spark, d)["F"]
-    return brier(rows, model, "duration", "event", (4, 8, 12, 16))
+    """Scores of the model of each sex."""
+    return {sex: brier(rows, model, "duration", "event", (4, 8, 12, 16)) for sex, (rows, model) in _cox_by_sex(spark, d).items()}
+
+
+def _by_sex(tables):
+    parts = [t.select(F.lit(sex).alias("sex"), "*") for sex, t in tables.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query("x9_brier_score", f"""
-WITH RECURSIVE {_NEWTON}, {_CENSORED_COX} SELECT CAST(t AS DOUBLE) AS t, ROUND(brier, 6) AS brier FROM br""")
+WITH RECURSIVE {_NEWTON}, {_CENSORED_COX} SELECT sex, CAST(t AS DOUBLE) AS t, ROUND(brier, 6) AS brier FROM br""")
 def x9(spark, d):
-    return _brier(spark, d)
+    return _by_sex(_brier(spark, d))
 
 
 @query("x9_integrated_brier", f"""
-WITH RECURSIVE {_NEWTON}, {_CENSORED_COX}, st AS (SELECT t, (brier + LAG(brier) OVER (ORDER BY t)) / 2 * (t - LAG(t) OVER (ORDER BY t)) AS a FROM br)
-SELECT ROUND(SUM(a) / (MAX(t) - MIN(t)), 6) AS ibs FROM st""")
+WITH RECURSIVE {_NEWTON}, {_CENSORED_COX}, st AS (SELECT sex, t, (brier + LAG(brier) OVER (PARTITION BY sex ORDER BY t)) / 2
+  * (t - LAG(t) OVER (PARTITION BY sex ORDER BY t)) AS a FROM br)
+SELECT sex, ROUND(SUM(a) / (MAX(t) - MIN(t)), 6) AS ibs FROM st GROUP BY sex""")
 def x9b(spark, d):
-    return integrated_brier(_brier(spark, d))
+    return _by_sex({sex: integrated_brier(b) for sex, b in _brier(spark, d).items()})
 
 
 def _longitudinal(spark, d):

@@ -35,6 +35,8 @@ class MixedModel:
     center: np.ndarray = field(repr=False)
     scale: np.ndarray = field(repr=False)
     y_scale: float = field(repr=False)
+    y: str
+    y_center: float = field(repr=False)
     _beta: np.ndarray = field(repr=False)  # for centered and scaled columns, as the products are
     _products: DataFrame = field(repr=False)
 
@@ -44,11 +46,15 @@ class MixedModel:
             out = out + F.col(c).cast("double") * F.lit(float(b))
         return out
 
-    def transform(self, df: DataFrame, name: str = "pred", with_random: bool = False) -> DataFrame:
-        """Predictions from the fixed part, plus the subject's own effects where it was seen in training."""
+    def transform(self, df: DataFrame, name: str = "pred", with_random: bool = False, readings: DataFrame | None = None) -> DataFrame:
+        """Predictions from the fixed part, plus the subject's own effects.
+
+        The effects are those given the training rows, or given ``readings`` with the response, which may be of subjects
+        that were not in training. Subjects without any have none.
+        """
         if not with_random:
             return df.withColumn(name, self.fixed_part())
-        effects = self.random_effects()
+        effects = self.random_effects(readings)
         own = F.coalesce(F.col("b_intercept"), F.lit(0.0))
         for c in self.random:
             i = self.fixed.index(c)
@@ -66,8 +72,10 @@ class MixedModel:
                  ("fit", "rows", float(self.n_rows))]
         return spark.createDataFrame(rows, "part string, term string, value double")
 
-    def random_effects(self) -> DataFrame:
-        """Predicted effects of each training subject, for centered and scaled columns."""
+    def random_effects(self, readings: DataFrame | None = None) -> DataFrame:
+        """Predicted effects of each subject of the training rows or of ``readings``, for centered and scaled columns."""
+        products = self._products if readings is None else _products(
+            readings, self.y, self.fixed, self.group, self.center, self.scale, self.y_center, self.y_scale)
         p = len(self.fixed) + 1
         zi = _random_index(self.fixed, self.random)
         unit = self.y_scale
@@ -80,8 +88,8 @@ class MixedModel:
                 b = _posterior(m, zi, p, beta, d, s2) * unit
                 yield pd.concat([pdf[[group]].reset_index(drop=True), pd.DataFrame(b, columns=names)], axis=1)
 
-        kind = self._products.schema[group].dataType.simpleString()
-        return self._products.mapInPandas(solve, f"{group} {kind}, " + ", ".join(f"{n} double" for n in names))
+        kind = products.schema[group].dataType.simpleString()
+        return products.mapInPandas(solve, f"{group} {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
 def _random_index(fixed: Sequence[str], random: Sequence[str]) -> np.ndarray:
@@ -93,6 +101,14 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
 
 
+def _products(rows: DataFrame, y: str, fixed: Sequence[str], group: str, center, scale, y_center: float, y_scale: float) -> DataFrame:
+    """Cross-products of each subject's complete rows, with centered and scaled columns."""
+    rows = rows.select(group, *[F.col(c).cast("double").alias(c) for c in [*fixed, y]]).dropna()
+    v = [F.lit(1.0)] + [(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(fixed, center, scale)]
+    v.append((F.col(y) - F.lit(float(y_center))) / F.lit(float(y_scale)))
+    return rows.groupBy(group).agg(*[F.sum(v[i] * v[j]).alias(f"c_{i}_{j}") for i, j in _pairs(len(fixed) + 1)])
+
+
 def _matrices(pdf: pd.DataFrame, p: int) -> np.ndarray:
     out = np.empty((len(pdf), p + 1, p + 1))
     for i, j in _pairs(p):
@@ -128,10 +144,7 @@ def mixed_model(df: DataFrame, y: str, fixed: Sequence[str], random: Sequence[st
     center = np.array([ends[f"m_{i}"] for i in range(p - 1)])
     scale = np.array([ends[f"s_{i}"] or 1.0 for i in range(p - 1)])
     my, sy = ends["my"], np.sqrt(ends["vy"]) or 1.0
-    v = [F.lit(1.0)] + [(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(fixed, center, scale)]
-    v.append((F.col(y) - F.lit(float(my))) / F.lit(float(sy)))
-    products = materialize(rows.groupBy(group).agg(
-        *[F.sum(v[i] * v[j]).alias(f"c_{i}_{j}") for i, j in _pairs(p)]))
+    products = materialize(_products(rows, y, fixed, group, center, scale, my, sy))
     zi = _random_index(fixed, random)
     n_rows = int(ends["n"])
 
@@ -228,5 +241,5 @@ def mixed_model(df: DataFrame, y: str, fixed: Sequence[str], random: Sequence[st
     intercept = my + sy * beta[0] - float(slope @ center)
     return MixedModel(fixed, random, np.concatenate([[intercept], slope]), d * sy * sy, s2 * sy * sy,
                       ll - n_rows * np.log(sy), it, converged, subjects, n_rows, group, center, scale,
-                      float(sy), beta, products)
+                      float(sy), y, float(my), beta, products)
 

@@ -47,7 +47,7 @@ def cross_validate_survival(rows: DataFrame, key: str = "subject_id", k: int = 5
                             max_iter: int = 500) -> DataFrame:
     """Errors of the mixed model and accuracy of the hazards model on each left-out fold of subjects.
 
-    ``mixed_converged`` and ``cox_converged`` tell whether the fits of a fold reached their optimum within ``max_iter`` steps.
+    ``own_rmse`` and ``own_mae`` use each left-out subject's effects given its own readings. ``mixed_converged`` and ``cox_converged`` tell whether the fits of a fold reached their optimum within ``max_iter`` steps.
     """
     spark = rows.sparkSession
     sex, = index_categories(rows, [rows], "sex")
@@ -60,17 +60,19 @@ def cross_validate_survival(rows: DataFrame, key: str = "subject_id", k: int = 5
         train_surv = subject_rows(train, key, cols=cols)
         test_surv = materialize(subject_rows(test, key, cols=cols))
         longitudinal = mixed_model(train, y, fixed, random, key, max_iter=max_iter)
-        per_subject = (longitudinal.transform(test, "pred").groupBy(key)
-                       .agg(F.avg(y).alias(y), F.avg("pred").alias("pred")))
-        row_error = regression_error(longitudinal.transform(test, "pred"), y, "pred").first()
+        predicted = longitudinal.transform(test, "pred")
+        per_subject = predicted.groupBy(key).agg(F.avg(y).alias(y), F.avg("pred").alias("pred"))
+        row_error = regression_error(predicted, y, "pred").first()
+        own_error = regression_error(longitudinal.transform(test, "pred", True, test), y, "pred").first()
         mean_error = regression_error(per_subject, y, "pred").first()
         cox = cox_ph(train_surv, "event_time", "event", covariates)
         scored = cox.transform(test_surv)
         c = concordance(scored, "event_time", "event", "lp").first()["c_index"]
         auc = td_auc(scored, "event_time", "event", "lp", times).agg(F.avg("auc").alias("a")).first()["a"]
         ibs = integrated_brier(brier(test_surv, cox, "event_time", "event", times)).first()["ibs"]
-        results.append((fold + 1, row_error["rmse"], row_error["mae"], mean_error["rmse"], mean_error["mae"], c, auc, ibs,
+        results.append((fold + 1, row_error["rmse"], row_error["mae"], mean_error["rmse"], mean_error["mae"], own_error["rmse"],
+                        own_error["mae"], c, auc, ibs,
                         bool(longitudinal.converged), bool(cox.converged)))
     return spark.createDataFrame(
-        results, "fold int, rmse double, mae double, subject_rmse double, subject_mae double, "
+        results, "fold int, rmse double, mae double, subject_rmse double, subject_mae double, own_rmse double, own_mae double, "
                  "c_index double, mean_auc double, integrated_brier double, mixed_converged boolean, cox_converged boolean")

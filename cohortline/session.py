@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table under the shared folder."""
-    return f"{shared_dir(spark)}/cohortline/{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/cohortline/{uuid.uuid4().hex}"
+    _written.append(folder)
+    return f"{folder}/{name}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was written to scratch paths inside; write or collect the results before.
+
+    It covers all threads of the driver, so leave no other query half done.
+    """
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > mark:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

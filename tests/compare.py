@@ -38,8 +38,11 @@ def _same(a, b) -> bool:
 
 def compare(spark, sf_dir: str, fn, sql: str, con) -> str | None:
     """None when equal, else what differs."""
-    df = fn(spark, sf_dir)
-    got = df.toPandas()
+    from cohortline.session import scratch
+
+    with scratch(spark):
+        df = fn(spark, sf_dir)
+        got = df.toPandas()
     rel = con.sql(sql)
     want_types = dict(zip(rel.columns, map(str, rel.types)))
     want = rel.df()
@@ -62,6 +65,7 @@ def main() -> None:
 
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
+    from cohortline.session import scratch
 
     sf_dir = sys.argv[1]
     names = sys.argv[2:]
@@ -79,7 +83,8 @@ def main() -> None:
             if name in oracle:
                 message = compare(spark, sf_dir, fn, oracle[name], con) or "ok"
             else:
-                rows = fn(spark, sf_dir).collect()
+                with scratch(spark):
+                    rows = fn(spark, sf_dir).collect()
                 message = f"rows-only {len(rows)} {rows[:3] if names else ''}"
         except Exception as ex:  # report and go on with the next query
             message = f"ERROR {type(ex).__name__} {str(ex)[:700]}"

@@ -154,3 +154,17 @@ def test_mixed_model_likelihood_is_the_marginal_one(spark):
     assert own < fixed / 2
     shuffled = mixed_model(df.repartition(5), "y", ["w", "x"], ["w"], "s", max_iter=60, tol=1e-9)
     assert shuffled.coef == pytest.approx(m.coef)
+
+
+def test_mixed_model_predicts_unseen_subjects(spark):
+    df = mixed_rows(spark, 8.0)
+    train, test = df.filter("s < 40"), df.filter("s >= 40")
+    m = mixed_model(train, "y", ["w", "x"], ["w"], "s")
+    got = {(r.s, r.w): r.pred for r in m.transform(test, "pred", True, test).collect()}
+    for s, g in test.toPandas().groupby("s"):
+        z = np.column_stack([np.ones(len(g)), (g.w.to_numpy() - m.center[0]) / m.scale[0]])
+        fixed = m.coef[0] + m.coef[1] * g.w.to_numpy() + m.coef[2] * g.x.to_numpy()
+        v = z @ m.covariance @ z.T + m.sigma2 * np.eye(len(g))
+        want = fixed + z @ m.covariance @ z.T @ np.linalg.solve(v, g.y.to_numpy() - fixed)
+        assert [got[s, w] for w in g.w] == pytest.approx(list(want), abs=1e-6)
+    assert m.transform(test, "pred", True).select("pred").distinct().count() > 0
