@@ -17,7 +17,7 @@ from cohortline.operators.folds import fold_by_subject
 from cohortline.operators.panel import pivot_weeks
 from cohortline.operators.mixed import mixed_model
 from cohortline.operators.survival import (
-    brier, censoring_curve, concordance, cox_ph, integrated_brier, risk_sets, subject_rows, td_auc)
+    brier, censoring_curve, concordance, cox_ph, integrated_brier, risk_sets, subject_rows, td_auc, td_auc_all_times)
 from cohortline.session import materialize
 from cohortline.plans.joint import cross_validate_survival, index_categories, longitudinal_cohort
 
@@ -397,6 +397,19 @@ def x8(spark, d):
     return td_auc(_marked(spark, d), "event_time", "event", "rbg4", _TIMES)
 
 
+@query("x8_auc_all_event_times", f"""
+WITH {_MARK}, {_KM}, ts AS (SELECT DISTINCT event_time AS t FROM mk WHERE event = 1 AND rbg4 IS NOT NULL),
+ca AS (SELECT t, rbg4, 1 / gb AS w FROM mk JOIN km USING (event_time), ts WHERE event = 1 AND event_time <= t),
+co AS (SELECT t, rbg4 FROM mk, ts WHERE event_time > t),
+pr AS (SELECT ca.t, SUM(w * CASE WHEN ca.rbg4 > co.rbg4 THEN 1.0 WHEN ca.rbg4 = co.rbg4 THEN 0.5 ELSE 0 END) AS win
+  FROM ca JOIN co ON ca.t = co.t GROUP BY 1),
+sc AS (SELECT t, COUNT(*) AS n, SUM(w) AS w FROM ca GROUP BY t), sn AS (SELECT t, COUNT(*) AS n FROM co GROUP BY t)
+SELECT CAST(ts.t AS DOUBLE) AS t, COALESCE(sc.n, 0) AS n_cases, COALESCE(sn.n, 0) AS n_controls, ROUND(win / (sc.w * sn.n), 6) AS auc
+FROM ts LEFT JOIN pr USING (t) LEFT JOIN sc USING (t) LEFT JOIN sn USING (t)""")
+def x8c(spark, d):
+    return td_auc_all_times(_marked(spark, d), "event_time", "event", "rbg4")
+
+
 _CENSORED_COX = """
 hz AS (SELECT sex, duration, event, diet, EXP(b * (diet - m)) AS h FROM ci JOIN fit USING (sex)),
 ht AS (SELECT sex, duration, SUM(event) AS d, COUNT(*) AS n, SUM(h) AS hs FROM hz GROUP BY 1, 2),

@@ -253,6 +253,37 @@ def td_auc(df: DataFrame, time: str, event: str, marker: str, times: Sequence[fl
     return out.select("t", "n_cases", "n_controls", F.try_divide("_w", F.col("_c") * F.col("n_controls")).alias("auc"))
 
 
+def td_auc_all_times(df: DataFrame, time: str, event: str, marker: str) -> DataFrame:
+    """The AUC of :func:`td_auc` at every distinct event time, without a row for each row and time.
+
+    From one time to the next the pairs of the new cases with later rows come in, and those of earlier cases with the
+    rows that leave go out. Both are sums over pairs by marker, counted like those of :func:`concordance`: one row
+    for each binary digit of the marker's rank, with running totals over time.
+    """
+    cells = materialize(
+        df.select(F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("_e"),
+                  F.col(marker).cast("double").alias("_m")).dropna().groupBy("time", "_e", "_m").agg(F.count(F.lit(1)).alias("_n")))
+    weighed = materialize(cells.join(_cell_curve(cells).select("time", "g_before"), "time").withColumn(
+        "_w", F.when(F.col("_e") == 1, F.col("_n") / F.col("g_before")).otherwise(0.0)))
+    rows = _by_digits(weighed, "_m").filter("_digit <> -1")
+    tied = F.col("_digit") == -2
+    low, high = tied | (F.col("_bit") == 0), tied | (F.col("_bit") == 1)
+    per = rows.groupBy("_digit", "_prefix", "time").agg(
+        F.sum(F.when(low, F.col("_n")).otherwise(0)).alias("_low"), F.sum(F.when(high, F.col("_w")).otherwise(0.0)).alias("_case"))
+    run = running_totals(per, "time", {"_from": "_low"}, ("_digit", "_prefix"), descending=True)
+    run = running_totals(run, "time", {"_upto": "_case"}, ("_digit", "_prefix"))
+    came = F.col("_case") * (F.col("_from") - F.col("_low"))
+    went = F.col("_low") * (F.col("_upto") - F.col("_case"))
+    change = run.groupBy("time").agg(F.sum((came - went) * F.when(tied, 0.5).otherwise(1.0)).alias("_change"))
+    per_time = weighed.groupBy("time").agg(
+        F.sum("_n").alias("_n"), F.sum("_w").alias("_w"), F.sum(F.when(F.col("_e") == 1, F.col("_n")).otherwise(0)).alias("_d"))
+    steps = running_totals(change.join(per_time, "time"), "time", {"_won": "_change", "_c": "_w", "n_cases": "_d"})
+    steps = running_totals(steps, "time", {"_left": "_n"}, descending=True)
+    controls = F.col("_left") - F.col("_n")
+    return steps.filter("_d > 0").select(F.col("time").alias("t"), "n_cases", controls.alias("n_controls"),
+                                         F.try_divide("_won", F.col("_c") * controls).alias("auc"))
+
+
 def brier(df: DataFrame, model: CoxModel, time: str, event: str, times: Sequence[float]) -> DataFrame:
     """Brier score of the model's survival at each time, weighted for censoring."""
     lp = model.transform(df, "_lp", "_hz")
@@ -283,6 +314,27 @@ def integrated_brier(scores: DataFrame) -> DataFrame:
         F.try_divide(F.sum("_a"), F.max("t") - F.min("t")).alias("ibs"))
 
 
+def _by_digits(cells: DataFrame, value: str) -> DataFrame:
+    """Each row once for each binary digit of the rank of its value, with the digits above as ``_prefix`` and the digit as ``_bit``.
+
+    Two ranks differ first at one digit, where they share the prefix. Two more rows have no digit: ``_digit`` -1 is
+    for all rows together, -2 for rows of equal rank.
+    """
+    ranks = running_totals(cells.select(value).distinct().withColumn("_one", F.lit(1).cast("long")), value, {"_rank": "_one"})
+    top = ranks.agg(F.max("_rank")).first()[0] or 1
+    digits = max(1, int(top).bit_length())
+    rows = cells.join(ranks.select(value, "_rank"), value).withColumn(
+        "_digit", F.explode(F.sequence(F.lit(-2), F.lit(digits - 1))))
+    prefix = F.when(F.col("_digit") == -2, F.col("_rank"))
+    bit = None
+    for d in range(digits):
+        here = F.col("_digit") == d
+        prefix = prefix.when(here, F.shiftright("_rank", d + 1))
+        b = F.shiftright("_rank", d).bitwiseAND(F.lit(1).cast("long"))
+        bit = F.when(here, b) if bit is None else bit.when(here, b)
+    return rows.withColumns({"_prefix": prefix.otherwise(0), "_bit": bit})
+
+
 def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     """Harrell's C: of all pairs whose order of events is known, the share where the earlier one had
     the higher risk; equal risks count half.
@@ -296,21 +348,7 @@ def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
         df.select(F.col(time).cast("double").alias("_t"), F.col(event).cast("int").alias("_e"),
                   F.col(risk).cast("double").alias("_r")).dropna()
         .groupBy("_t", "_e", "_r").agg(F.count(F.lit(1)).alias("_n")))
-    ranks = running_totals(cells.select("_r").distinct().withColumn("_one", F.lit(1).cast("long")), "_r",
-                           {"_rank": "_one"})
-    top = ranks.agg(F.max("_rank")).first()[0] or 1
-    digits = max(1, int(top).bit_length())
-    # digit -1: all rows (comparable pairs); digit -2: rows of equal rank (ties)
-    rows = cells.join(ranks.select("_r", "_rank"), "_r").withColumn(
-        "_digit", F.explode(F.sequence(F.lit(-2), F.lit(digits - 1))))
-    prefix = F.when(F.col("_digit") == -2, F.col("_rank"))
-    bit = None
-    for d in range(digits):
-        here = F.col("_digit") == d
-        prefix = prefix.when(here, F.shiftright("_rank", d + 1))
-        b = F.shiftright("_rank", d).bitwiseAND(F.lit(1).cast("long"))
-        bit = F.when(here, b) if bit is None else bit.when(here, b)
-    rows = rows.withColumns({"_prefix": prefix.otherwise(0), "_bit": bit})
+    rows = _by_digits(cells, "_r")
     low = F.coalesce(F.col("_bit") == 0, F.lit(True))
     high = F.coalesce(F.col("_bit") == 1, F.lit(True))
     per = rows.groupBy("_digit", "_prefix", "_t").agg(

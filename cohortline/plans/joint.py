@@ -12,7 +12,7 @@ from cohortline.operators.clean import min_observations
 from cohortline.operators.evaluate import regression_error
 from cohortline.operators.folds import FOLD_SEED, fold_by_subject
 from cohortline.operators.mixed import mixed_model
-from cohortline.operators.survival import brier, concordance, cox_ph, integrated_brier, subject_rows, td_auc
+from cohortline.operators.survival import brier, concordance, cox_ph, integrated_brier, subject_rows, td_auc_all_times
 from cohortline.session import materialize
 
 
@@ -68,7 +68,7 @@ def cross_validate_survival(rows: DataFrame, key: str = "subject_id", k: int = 5
         cox = cox_ph(train_surv, "event_time", "event", covariates)
         scored = cox.transform(test_surv)
         c = concordance(scored, "event_time", "event", "lp").first()["c_index"]
-        auc = td_auc(scored, "event_time", "event", "lp", times).agg(F.avg("auc").alias("a")).first()["a"]
+        auc = td_auc_all_times(scored, "event_time", "event", "lp").agg(F.avg("auc").alias("a")).first()["a"]
         ibs = integrated_brier(brier(test_surv, cox, "event_time", "event", times)).first()["ibs"]
         results.append((fold + 1, row_error["rmse"], row_error["mae"], mean_error["rmse"], mean_error["mae"], own_error["rmse"],
                         own_error["mae"], c, auc, ibs,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortline.operators.mixed import mixed_model
 from cohortline.operators.survival import (
-    DIRECT_TERMS, _with_tied_sums, brier, censoring_curve, concordance, cox_ph, integrated_brier, td_auc)
+    DIRECT_TERMS, _with_tied_sums, brier, censoring_curve, concordance, cox_ph, integrated_brier, td_auc, td_auc_all_times)
 
 
 def sample(n=120, seed=5, times=8):
@@ -96,6 +96,15 @@ def test_td_auc_of_marker_and_its_negative(spark):
     assert td_auc(df, "t", "e", "z", [0.5]).first().auc is None
 
 
+def test_auc_at_all_times_equals_that_at_listed_ones(spark):
+    df = frame(spark, sample(90)).withColumn("z", F.round("z", 0))
+    got = {r.t: (r.n_cases, r.n_controls, r.auc) for r in td_auc_all_times(df, "t", "e", "z").collect()}
+    want = {r.t: (r.n_cases, r.n_controls, r.auc) for r in td_auc(df, "t", "e", "z", sorted(got)).collect()}
+    assert len(got) > 3 and got.keys() == want.keys()
+    for t, (cases, controls, auc) in want.items():
+        assert got[t][:2] == (cases, controls) and (auc is None and got[t][2] is None or got[t][2] == pytest.approx(auc))
+
+
 def test_censoring_curve_reaches_zero(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 0), (3.0, 0)], "t double, e int")
     got = {r.time: (r.g, r.g_before) for r in censoring_curve(df, "t", "e").collect()}
