@@ -113,7 +113,7 @@ def _windows(shards: DataFrame, window: int) -> DataFrame:
                 words = tx.word_hashes(data)
                 values = phrase_values(words, window)
                 least = window_values(values, window)
-                at = np.flatnonzero(np.isin(least, np.asarray(known.values).view(np.uint64)))
+                at = np.flatnonzero(among(least, np.sort(np.asarray(known.values).view(np.uint64))))
                 part = summed([(least[at], tx.windows_hashed(words, window)[at], np.full(len(at), copies, dtype=np.int64))])
                 held.setdefault(shard, []).append(part)
                 size += len(part[0])
@@ -126,6 +126,13 @@ def _windows(shards: DataFrame, window: int) -> DataFrame:
     return shards.select("shard", "copies", "text", "phrases").mapInArrow(run, "shard long, phrase long, window long, times long")
 
 
+def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``wanted``."""
+    if not len(wanted):
+        return np.zeros(len(values), dtype=bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
 class Confirmed:
     """Pairs of phrase and window, looked up in bulk."""
 
@@ -165,30 +172,28 @@ def _removed(shards: DataFrame, confirmed: DataFrame, window: int) -> DataFrame:
                 words = [w for w in words if w]
                 hashes = tx.word_hashes(data)
                 values = phrase_values(hashes, window)
-                split.append((words, hashes))
+                split.append((words, hashes, values))
                 if len(seen) < len(wanted):
-                    for p in np.flatnonzero(np.isin(values, wanted)):
+                    for p in np.flatnonzero(among(values, wanted)):
                         if int(values[p]) not in seen:
                             seen.add(int(values[p]))
                             automaton.add_word(" " + " ".join(words[p:p + width]) + " ", int(values[p]))
             if seen:
                 automaton.make_automaton()
-            for mark, (words, hashes) in zip(texts.column("mark").to_pylist(), split, strict=True):
+            for mark, (words, hashes, values) in zip(texts.column("mark").to_pylist(), split, strict=True):
                 joined = " " + " ".join(words) + " "
                 ends = np.cumsum([len(w) + 1 for w in words])  # where the space after each word is
-                found = list(automaton.iter(joined)) if seen else []
+                found = [e for e, _ in automaton.iter(joined)] if seen else []
                 if not found:
                     continue
                 windows = tx.windows_hashed(hashes, window)
-                last = np.searchsorted(ends, np.array([e for e, _ in found]))
-                first = last - width + 1
-                reach = window - width + 1
-                starts = (first[:, None] - np.arange(reach)[None, :]).reshape(-1)
-                phrases = np.repeat(np.array([v for _, v in found], dtype=np.uint64), reach)
-                inside = (starts >= 0) & (starts < len(windows))
-                starts, phrases = starts[inside], phrases[inside]
+                first = np.searchsorted(ends, np.array(found)) - width + 1
+                near = np.zeros(len(values) + 1, dtype=np.int32)  # windows with a located phrase in them
+                np.add.at(near, np.maximum(first - (window - width), 0), 1)
+                np.add.at(near, first + 1, -1)
+                at = np.flatnonzero(np.cumsum(near)[:len(windows)] > 0)
                 flags = np.zeros(len(windows), dtype=bool)
-                flags[starts[known.has(phrases, windows[starts])]] = True
+                flags[at] = known.has(window_values(values, window)[at], windows[at])
                 if flags.any():
                     gone = tx.covered(flags, window, len(words))
                     marks.append(mark)
