@@ -18,7 +18,7 @@ import numpy as np
 from cohortline.llm.text import per_process
 
 PART = 200_000
-KEPT_UNITS, KEPT_CHARACTERS = 600_000, 20_000_000
+KEPT_UNITS, KEPT_CHARACTERS = 350_000, 10_000_000  # twice these at most
 _CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
 #: White space before a space, which goes with it; a superset of what pre-tokenizers take for white space.
 _JOINED = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
@@ -50,6 +50,7 @@ class Units:
         self.pieces = self.whole.model
         self.words: dict[str, bytes] = {}  # after a space
         self.starts: dict[str, bytes] = {}  # without one
+        self.older: dict[str, bytes] = {}  # words before the last change of generation
         self.characters = 0
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
         rest = (c for c in range(256) if c not in plain)
@@ -85,12 +86,16 @@ class Units:
 
     def _fill(self, missing: set[str]) -> dict[str, bytes]:
         found, others = {}, []
-        words, signs, tokenize = self.words, self.signs, self.pieces.tokenize
+        words, older, signs, tokenize = self.words, self.older, self.signs, self.pieces.tokenize
         for w in missing:
+            ids = older.get(w)
+            if ids is not None:
+                found[w] = ids
+                continue
             sign = signs.get(w[-1:], b"")
             stem = w[:-1] if sign else w
             if stem.isascii() and stem.isalpha():  # most words
-                ids = words.get(stem)
+                ids = words.get(stem) or older.get(stem)
                 if ids is None:
                     ids = words[stem] = array("I", [t.id for t in tokenize("\u0120" + stem)]).tobytes()
                 found[w] = ids + sign
@@ -112,7 +117,7 @@ class Units:
         if None in ids:
             at = [i for i, x in enumerate(ids) if x is None]
             if len(self.words) + len(self.starts) + len(at) > KEPT_UNITS or self.characters > KEPT_CHARACTERS:
-                self.words, self.starts, self.characters = {}, {}, 0
+                self.older, self.words, self.starts, self.characters = self.words, {}, {}, 0
             found = self._fill({words[i] for i in at})
             for i in at:
                 ids[i] = found[words[i]]
