@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from cohortline.llm import rans, tokens
 from cohortline.session import scratch_path
 
-SIDE_BY_SIDE = 32
+SIDE_BY_SIDE = 128
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str, path: str) -> DataFrame:
@@ -63,8 +63,8 @@ def _counts(tokenized: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                here = np.bincount(_ids(x))
+            for at in range(0, batch.num_rows, 512):
+                here = np.bincount(np.concatenate([_ids(x) for x in batch.column(0).slice(at, 512)]))
                 if len(here) > len(total):
                     total = np.concatenate([total, np.zeros(len(here) - len(total), dtype=np.int64)])
                 total[:len(here)] += here
