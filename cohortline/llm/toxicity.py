@@ -177,7 +177,7 @@ def scored(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column
     ``usable`` gives the condition on a label's key under which it may be learned from. ``sample_rows``, ``max_terms`` bound what
     goes to the driver and to each worker: the terms of the sampled examples.
     """
-    examples = materialize(sample(docs, labels, label, key, text, usable, sample_rows).withColumn("s", _listed("text", None)).drop("text"))
+    examples = materialize(sample(docs, labels, label, key, text, usable, sample_rows).withColumn("s", _listed("text", None)))
     total, positive = examples.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     vocabulary = choose_terms(examples, positive, total, min_rows, min_chi2, max_terms)
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
@@ -187,13 +187,9 @@ def scored(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column
         df[r["term"]] = r["count"]
     idf = np.log((1 + listed.count()) / (1 + df)) + 1e-3
 
-    rows = []
-    taken = examples.orderBy("name", "label", F.xxhash64("s.terms", "s.times")).limit(sample_rows).collect()
-    for r in taken:
-        h = np.array(r.s.terms, dtype=np.int64).view(np.uint64)
-        at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-        known = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), dtype=bool)
-        rows.append((at[known], np.array(r.s.times)[known]))
+    taken = (examples.select("name", "label", "text", _listed("text", vocabulary).alias("s"))
+             .orderBy("name", "label", F.xxhash64("text")).limit(sample_rows).select("name", "label", "s").collect())
+    rows = [(np.array(r.s.terms, dtype=np.int64), np.array(r.s.times, dtype=np.int64)) for r in taken]
     model = docs.sparkSession.sparkContext.broadcast(Model(idf, rows, np.array([r.label for r in taken], dtype=float), [r.name for r in taken], k))
 
     near = T.StructType([T.StructField("example", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
