@@ -1,14 +1,15 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are lower-cased (A-Z) runs of letters, digits and characters beyond ASCII, over the whole text. The vocabulary is chosen on a
-bounded sample of labelled rows: terms in at least ``min_rows`` of them whose presence depends on the label. Document
-frequencies are counted over all documents. The examples' vectors form an inverted index whose lists are cut
-into blocks of examples with the largest weight of each: the bounds of all blocks come from one product, blocks
+Terms are lower-cased (A-Z) runs of letters, digits and characters beyond ASCII, over the whole text. The examples are a bounded
+sample of the labelled rows, stratified by label, and all their terms are kept. Terms that no example has count in the length of
+a text's vector. Document frequencies are counted over all documents. TF-IDF weights are multiplied by the dependence of a term's
+presence on the label, a factor between 0.02 and 1, so that no term is left out. The examples' vectors form an inverted index whose lists
+are cut into blocks of examples with the largest weight of each: the bounds of all blocks come from one sum, blocks
 are scored from the highest bound down, and the search ends when no block can hold a closer example. The ``k`` nearest vote
 with the square of their cosine; a logistic curve, fitted to the votes that each example gets from the
-others, turns votes into probabilities.
+others, turns votes into probabilities. Votes and curve weigh each label by its share of all labelled rows.
 
-Null and empty texts, and texts without chosen terms, get the probability of no votes. Without usable labels of both
+Null and empty texts, and texts without terms of the examples, get the probability of no votes. Without usable labels of both
 kinds every score is the share of positive labels (0 without any). Each input row gives one row, also null and repeated
 keys; null labels or keys are not used for learning.
 """
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortline.llm import text as tx
-from cohortline.session import materialize
+
+
+LEAST, HALF = 0.02, 12.5
 
 
 def terms(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,49 +49,70 @@ def _term_bytes() -> np.ndarray:
 
 
 class Index:
-    """Examples as unit vectors in an inverted index of blocks."""
+    """Examples as unit vectors in an inverted index of blocks; only lists that have entries are held."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
         self.n, self.block = len(rows), block
         self.blocks = max(1, -(-len(rows) // block))
-        self.slot = np.zeros((n_terms, self.blocks), dtype=np.int32)  # slot 0 is the empty list
-        used = [(t, e, w) for e, (ts, ws) in enumerate(rows) for t, w in zip(ts.tolist(), ws.tolist(), strict=True)]
-        keys = sorted({(t, e // block) for t, e, _ in used})
-        for i, (t, b) in enumerate(keys, 1):
-            self.slot[t, b] = i
-        self.lists = np.zeros((len(keys) + 1, block))
-        for t, e, w in used:
-            self.lists[self.slot[t, e // block], e % block] = w
-        self.most = self.lists.max(axis=1)[self.slot]
+        t = np.concatenate([np.zeros(0, np.int64), *[ts for ts, _ in rows]]).astype(np.int64)
+        e = np.repeat(np.arange(len(rows), dtype=np.int32), [len(ts) for ts, _ in rows])
+        w = np.concatenate([np.zeros(0), *[ws for _, ws in rows]])
+        order = np.argsort(t, kind="stable")  # of a term, examples stay in order
+        t, self.example, self.weight = t[order], e[order], w[order]
+        lists = t * self.blocks + self.example // block
+        first = np.flatnonzero(np.diff(lists, prepend=-1))
+        self.entries = np.append(first, len(t))  # bounds of the entries of each list
+        self.at = (lists[first] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.lists = np.searchsorted(lists[first], np.arange(n_terms + 1) * self.blocks)  # bounds of the lists of each term
 
     def nearest(self, ts: np.ndarray, ws: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the ``k`` nearest with a cosine above 0; of equal ones, the first."""
-        bound = ws @ self.most[ts] if len(ts) else np.zeros(self.blocks)
+        chosen, owner = _ranges(self.lists[ts], self.lists[ts + 1])
+        w, at = ws[owner], self.at[chosen]
+        bound = np.bincount(at, w * self.most[chosen], self.blocks)
         ids, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(ids) == k and bound[b] < cosines[-1] - 1e-9:
+        best, done, step = np.argsort(-bound, kind="stable"), 0, 8
+        while done < self.blocks:
+            now = best[done:done + step]
+            now = now[(bound[now] > 0) & ((len(ids) < k) | (bound[now] >= (cosines[-1] if len(ids) else 0) - 1e-9))]
+            if not len(now):
                 break
-            scores = ws @ self.lists[self.slot[ts, b]]
+            done, step = done + step, 4 * step
+            wanted = np.zeros(self.blocks, dtype=bool)
+            wanted[now] = True
+            use = np.flatnonzero(wanted[at])
+            entry, of = _ranges(self.entries[chosen[use]], self.entries[chosen[use] + 1])
+            scores = np.bincount(self.example[entry], w[use][of] * self.weight[entry], self.n)
             here = np.flatnonzero(scores > 1e-12)
-            here = here[here + b * self.block != without]
-            ids, cosines = np.concatenate([ids, here + b * self.block]), np.concatenate([cosines, scores[here]])
+            here = here[here != without]
+            if len(here) > 4 * k:  # ties of rounded cosines stay in
+                here = here[scores[here] >= np.partition(scores[here], -k)[-k] - 1e-8]
+            ids, cosines = np.concatenate([ids, here]), np.concatenate([cosines, scores[here]])
             order = np.lexsort((ids, -np.round(cosines, 9)))[:k]
             ids, cosines = ids[order], cosines[order]
         return ids, cosines
 
 
-def votes(labels: np.ndarray, ids: np.ndarray, cosines: np.ndarray) -> float:
-    w = cosines ** 2
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges ``start..end - 1`` one after the other, and the range of each."""
+    n = ends - starts
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) + (starts - np.cumsum(n) + n)[owner], owner
+
+
+def votes(labels: np.ndarray, ids: np.ndarray, cosines: np.ndarray, weights: np.ndarray) -> float:
+    w = cosines ** 2 * weights[ids]
     return float((w * labels[ids]).sum() / (w.sum() + 0.1)) if len(ids) else 0.0
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Slope (not below 0) and intercept of a curve with a slight pull to 0."""
     a = b = 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-(a * x + b)))
-        w = p * (1 - p) + 1e-9
-        gradient = np.array([((y - p) * x).sum() - 1e-2 * a, (y - p).sum()])
+        w = weights * p * (1 - p) + 1e-9
+        gradient = np.array([(weights * (y - p) * x).sum() - 1e-2 * a, (weights * (y - p)).sum()])
         hessian = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum()]])
         step = np.linalg.solve(hessian, gradient)
         a, b = a + step[0], b + step[1]
@@ -98,110 +122,150 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    """Vocabulary, idf, examples and curve; ``search`` is built in each worker process."""
+    """Vocabulary, factors of its terms, examples and curve; the index is built in each worker process.
+
+    ``rows`` have places in the sorted ``vocabulary``; ``unknown`` is the factor of a term outside it, ``weights`` count what an example stands for.
+    """
 
-    def __init__(self, idf: np.ndarray, rows: list, labels: np.ndarray, names: list[str], k: int):
-        self.idf, self.labels, self.names, self.k = idf, labels, names, k
+    def __init__(self, vocabulary: np.ndarray, factor: np.ndarray, unknown: float, rows: list, labels: np.ndarray, weights: np.ndarray,
+                 names: list[str], k: int):
+        self.vocabulary, self.factor, self.unknown = vocabulary, factor, unknown
+        self.labels, self.weights, self.names, self.k = labels, weights, names, k
         self.rows = [self.vector(t, n) for t, n in rows]
         self.curve = None
-        self.share = float(labels.mean()) if len(labels) else 0.0
+        self.share = float((labels * weights).sum() / weights.sum()) if len(labels) else 0.0
         if 0 < self.share < 1:
             index = self.index()
-            own = np.array([votes(labels, *index.nearest(t, w, k, i)) for i, (t, w) in enumerate(self.rows)])
-            self.curve = logistic(own, labels)
+            own = np.array([votes(labels, *index.nearest(t, w, k, i), weights) for i, (t, w) in enumerate(self.rows)])
+            self.curve = logistic(own, labels, weights)
 
     def index(self) -> Index:
-        return Index(self.rows, len(self.idf))
+        return Index(self.rows, len(self.factor))
 
-    def vector(self, ts: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(np.asarray(times, dtype=float))) * self.idf[ts]
-        norm = np.sqrt((w * w).sum())
+    def vector(self, ts: np.ndarray, times: np.ndarray, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the known terms in a vector of length 1, which also has the ``others``: how often each unknown term occurs."""
+        w = (1 + np.log(np.asarray(times, dtype=float))) * self.factor[ts]
+        rest = 0.0 if others is None else (((1 + np.log(np.asarray(others, dtype=float))) * self.unknown) ** 2).sum()
+        norm = np.sqrt((w * w).sum() + rest)
         return np.asarray(ts), w / norm if norm else w
 
-    def score(self, index: Index, ts: np.ndarray, times: np.ndarray):
+    def score(self, index: Index, hashes: np.ndarray, times: np.ndarray):
         if self.curve is None:
             return self.share, np.zeros(0, np.int64), np.zeros(0)
-        ids, cosines = index.nearest(*self.vector(ts, times), self.k)
+        at, known = places(self.vocabulary, hashes)
+        ids, cosines = index.nearest(*self.vector(at[known], times[known], times[~known]), self.k)
         a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * votes(self.labels, ids, cosines) + b)))), ids, cosines
+        return float(1 / (1 + np.exp(-(a * votes(self.labels, ids, cosines, self.weights) + b)))), ids, cosines
+
+
+def dependence(with_term: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """A factor for each of the terms in ``n`` examples, ``with_term`` of them positive: from 0.02 to 1 by the log-likelihood of
+    their labels, against labels at the ``share`` of all examples. 12.5, a chi-square of 25, gives half."""
+    if not 0 < share < 1:
+        return np.ones(len(n))
+    q = with_term / n
+    gain = np.zeros(len(n))
+    for part, base in ((q, share), (1 - q, 1 - share)):
+        gain += n * np.where(part > 0, part * np.log(np.maximum(part, 1e-300) / base), 0.0)
+    return (np.maximum(gain, 0.0) + LEAST * HALF) / (np.maximum(gain, 0.0) + HALF)
+
+
+def places(vocabulary: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each hash in the sorted vocabulary, and whether it is there."""
+    at = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
+    return at, vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), dtype=bool)
 
 
-def _listed(text: str, vocabulary: np.ndarray | None) -> Column:
-    """Terms (places in ``vocabulary``, or hashes without one) of a text and how often each occurs."""
-    item = T.LongType() if vocabulary is None else T.IntegerType()
+def _listed(text: str) -> Column:
+    """Hashes of the terms of a text and how often each occurs."""
 
-    @F.arrow_udf(T.StructType([T.StructField("terms", T.ArrayType(item)), T.StructField("times", T.ArrayType(T.LongType()))]))
+    @F.arrow_udf(T.StructType([T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType()))]))
     def listed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            found, times = [], []
-            for data in tx.text_bytes(column):
-                h, n = terms(data)
-                if vocabulary is None:
-                    h = h.view(np.int64)
-                else:
-                    at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-                    known = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), dtype=bool)
-                    h, n = at[known].astype(np.int32), n[known]
-                found.append(h)
-                times.append(n)
-            kind = pa.int64() if vocabulary is None else pa.int32()
-            yield pa.StructArray.from_arrays([pa.array(found, pa.list_(kind)), pa.array(times, pa.list_(pa.int64()))], names=["terms", "times"])
+            rows = [terms(data) for data in tx.text_bytes(column)]
+            yield pa.StructArray.from_arrays([pa.array([h.view(np.int64) for h, _ in rows], pa.list_(pa.int64())),
+                                              pa.array([n.astype(np.int32) for _, n in rows], pa.list_(pa.int32()))], names=["terms", "times"])
 
     return listed(F.col(text))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, usable: Callable[[Column], Column], rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents, by a hash of their keys: ``name, label, text``."""
-    chosen = (labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("label")).dropna().where(usable(F.col("k")))
-              .orderBy(F.xxhash64("k"), "k", "label").limit(rows))
+def sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, usable: Callable[[Column], Column], rows: int) -> tuple[DataFrame, dict]:
+    """At most ``rows`` labelled documents, by a hash of their keys: ``name, label, text``; and the number of labelled rows by label.
+
+    Each label gets half of the room, and what the other leaves of its half.
+    """
+    known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("label")).dropna().where(usable(F.col("k")))
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    chosen = None
+    for kind, n in sorted(counts.items()):
+        take = min(n, max(rows // 2, rows - sum(counts.values()) + n))
+        near = min(1.0, (take + 6 * take ** 0.5 + 50) / n)  # the limit's one task gets little more than it takes
+        part = known.where((F.col("label") == kind) & (F.xxhash64("k") <= min(int(near * 2 ** 64) - 2 ** 63, 2 ** 63 - 1))
+                           ).orderBy(F.xxhash64("k"), "k").limit(take)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = known.limit(0) if chosen is None else chosen
     return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "k").select(
-        F.col("k").cast("string").alias("name"), "label", "text")
+        F.col("k").cast("string").alias("name"), "label", "text"), counts
 
 
-def choose_terms(listed: DataFrame, positive: int, total: int, min_rows: int, min_chi2: float, max_terms: int) -> np.ndarray:
-    """Sorted hashes of the terms whose presence depends most on the label, by the chi-square of the fourfold table."""
-    if not 0 < positive < total:
-        return np.zeros(0, np.uint64)
-    a, n = F.col("a"), F.col("n")
-    p, t = float(positive), float(total)
-    counts = listed.select("label", F.explode("s.terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
-    chi2 = t * F.pow(a * (t - p) - (n - a) * p, 2) / (p * (t - p) * n * F.greatest(t - n, F.lit(1.0)))
-    best = counts.where(n >= min_rows).withColumn("chi2", chi2).where(F.col("chi2") >= min_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms)
-    return np.sort(np.array([r.term for r in best.select("term").collect()], dtype=np.int64).view(np.uint64))
+def frequencies(docs: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term of the vocabulary is, and the number of documents. A task sends one row for each term."""
+    given = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(given.value), dtype=np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for data in tx.text_bytes(batch.column(0)):
+                at, known = places(given.value, terms(data)[0])
+                df[at[known]] += 1
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1).astype(np.int32)), pa.array(np.append(df[met], n))], names=["term", "n"])
+
+    rows = docs.select(F.col(f"`{text}`")).mapInArrow(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = rows["term"].to_numpy(), rows["n"].to_numpy()
+    df = np.zeros(len(vocabulary))
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
 
 
 def scored(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column], label: str = "toxic", key: str = "doc_id", text: str = "text",
-           sample_rows: int = 8_000, min_rows: int = 10, min_chi2: float = 25.0, max_terms: int = 1_024, k: int = 15) -> DataFrame:
+           sample_rows: int = 8_000, min_rows: int = 1, k: int = 15) -> DataFrame:
     """One row per document: ``key``, ``score``, and ``evidence``: its nearest examples with label and cosine.
 
-    ``usable`` gives the condition on a label's key under which it may be learned from. ``sample_rows``, ``max_terms`` bound what
-    goes to the driver and to each worker: the terms of the sampled examples.
+    ``usable`` gives the condition on a label's key under which it may be learned from. ``sample_rows`` bounds what goes to the
+    driver and to each worker: all terms of the sampled examples. A ``min_rows`` above 1 leaves out terms of fewer examples.
     """
-    examples = materialize(sample(docs, labels, label, key, text, usable, sample_rows).withColumn("s", _listed("text", None)))
-    total, positive = examples.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    vocabulary = choose_terms(examples, positive, total, min_rows, min_chi2, max_terms)
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    listed = materialize(rows.withColumn("s", _listed("text", vocabulary)).select("key", "s.terms", "s.times"))
-    df = np.zeros(len(vocabulary))
-    for r in listed.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # a row for each chosen term
-        df[r["term"]] = r["count"]
-    idf = np.log((1 + listed.count()) / (1 + df)) + 1e-3
-
-    taken = (examples.select("name", "label", "text", _listed("text", vocabulary).alias("s"))
-             .orderBy("name", "label", F.xxhash64("text")).limit(sample_rows).select("name", "label", "s").collect())
-    rows = [(np.array(r.s.terms, dtype=np.int64), np.array(r.s.times, dtype=np.int64)) for r in taken]
-    model = docs.sparkSession.sparkContext.broadcast(Model(idf, rows, np.array([r.label for r in taken], dtype=float), [r.name for r in taken], k))
+    chosen, labelled = sample(docs, labels, label, key, text, usable, sample_rows)
+    taken = (chosen.withColumn("s", _listed("text")).orderBy("name", "label", F.xxhash64("text")).limit(sample_rows)
+             .select("name", "label", "s.terms", "s.times").toArrow())
+    lists = [(h.values.to_numpy().view(np.uint64), n.values.to_numpy()) for h, n in zip(
+        *[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (taken["terms"], taken["times"])], strict=True)]
+    y = taken["label"].to_numpy()
+    vocabulary, at, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in lists]]), return_inverse=True, return_counts=True)
+    positive = np.bincount(at, np.repeat(y, [len(h) for h, _ in lists]), len(vocabulary))[of >= min_rows]
+    vocabulary, of = vocabulary[of >= min_rows], of[of >= min_rows]
+    df, n_docs = frequencies(docs, text, vocabulary)
+    factor = np.log((1 + n_docs) / (1 + df)) + 1e-3
+    factor *= dependence(positive, of, float(y.mean()) if len(y) else 0.0)
+    rows = []
+    for h, n in lists:
+        at, known = places(vocabulary, h)
+        rows.append((at[known], n[known]))
+    weights = np.array([labelled[x] / (y == x).sum() for x in y.tolist()])
+    made = Model(vocabulary, factor, LEAST * float(np.log((1 + n_docs) / 2) + 1e-3), rows, y.astype(float), weights, taken["name"].to_pylist(), k)
+    model = docs.sparkSession.sparkContext.broadcast(made)
 
     near = T.StructType([T.StructField("example", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
 
     @F.arrow_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(near))]))
-    def judged(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model.value
         index = m.index()
-        for ts, ns in batches:
+        for column in batches:
             scores, evidence = [], []
-            for t, n in zip(ts, ns, strict=True):
-                p, ids, cosines = m.score(index, np.asarray(t.values), np.asarray(n.values))
+            for data in tx.text_bytes(column):
+                p, ids, cosines = m.score(index, *terms(data))
                 scores.append(p)
                 evidence.append([{"example": m.names[i], "label": int(m.labels[i]), "cosine": float(c)} for i, c in zip(ids[:3], cosines[:3], strict=True)])
             yield pa.StructArray.from_arrays(
@@ -209,7 +273,7 @@ def scored(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column
                  pa.array(evidence, pa.list_(pa.struct([("example", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())])))],
                 names=["score", "evidence"])
 
-    return listed.select(F.col("key").alias(key), judged("terms", "times").alias("j")).select(key, "j.score", "j.evidence")
+    return docs.select(F.col(f"`{key}`").alias(key), judged(F.col(f"`{text}`")).alias("j")).select(key, "j.score", "j.evidence")
 
 
 def held_out(key: Column) -> Column:

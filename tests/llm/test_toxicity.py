@@ -66,3 +66,39 @@ def test_no_rows_and_no_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], none.schema)
     assert [r.score for r in toxicity.scored(docs, labels, every).collect()] == [0.0, 0.0]
     assert [r.score for r in toxicity.scored(docs, spark.createDataFrame([(1, 1)], labels.schema), every).collect()] == [1.0, 1.0]
+
+
+def test_texts_without_telling_terms_have_neighbours(spark):
+    docs = [(i, f"plain{i % 50} word{i % 7} common") for i in range(300)] + [(1000, "plain7 common"), (1001, "unheard of")]
+    labels = [(i, int(i % 10 == 3)) for i in range(300)]
+    out = toxicity.scored(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"),
+                          lambda k: F.lit(True))
+    found = {r.doc_id: r.evidence for r in out.collect()}
+    assert all(found[i] for i in range(300)) and not found[1001]
+    assert {int(e.example) % 50 for e in found[1000]} == {7}
+
+
+def test_rare_labels(spark):
+    r = np.random.default_rng(3)
+    docs, labels = [], []
+    for i in range(1200):
+        words = [f"w{x}" for x in r.integers(0, 3000, 30)]
+        toxic = i % 100 == 5
+        if toxic:
+            words += ["scum", "moron"][: 1 + i // 100 % 2]
+        docs.append((i, " ".join(words)))
+        if i < 1000:
+            labels.append((i, int(toxic)))
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for rows in (8000, 300):  # the smaller sample holds all ten toxic rows by its strata
+        score = {x.doc_id: x for x in toxicity.scored(d, lab, lambda k: F.lit(True), sample_rows=rows).collect()}
+        assert min(score[1005].score, score[1105].score) > max(x.score for x in score.values() if x.doc_id % 100 != 5)
+        assert all(e.label == 1 for e in score[1005].evidence)
+
+
+def test_sample_has_both_labels_and_weights(spark):
+    labels = spark.createDataFrame([(i, int(i % 100 == 5)) for i in range(3000)], "doc_id long, toxic int")
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    got, counts = toxicity.sample(docs, labels, "toxic", "doc_id", "text", lambda k: F.lit(True), 200)
+    assert counts == {0: 2970, 1: 30}
+    assert {r.label: r["count"] for r in got.groupBy("label").count().collect()} == {0: 170, 1: 30}
