@@ -2,7 +2,8 @@
 
 A candidate block is a run of lines most of whose words occur in some template, with a cue word in it; long runs are taken in
 overlapping windows. A block is compressed by zstandard on its own and with each template as a raw dictionary. Templates are
-ranked by the bytes they save. From the best on, the words of template and block are aligned, and the
+ranked by the bytes they save. From the best on, the words of template and block are aligned
+around each run of equal words that is long enough for so few differences, within the template's length and the allowed differences, and the
 first template whose wording differs little enough, and in none of its telling words (names, versions, conditions), wins. Its span
 is taken out and the rest of the block is looked at again.
 
@@ -90,8 +91,45 @@ class Scanner:
 
     def differences(self, template: list[str], words: list[str]):
         """Span of the block that the template is aligned to, and the words missing and added there; None if they are too many."""
+        allowed = int(self.differing * len(template))
+        # with so few differences, one of at most allowed + 1 runs of equal words has this length
+        least = max(1, -(-(len(template) - allowed) // (allowed + 1)))
+        places: dict[str, list[int]] = {}
+        for j, w in enumerate(words):
+            places.setdefault(w, []).append(j)
+        runs, before = [], {}
+        for i, w in enumerate([*template, None]):
+            here = {j: before.get(j - 1, 0) + 1 for j in places.get(w, ())}
+            runs += [(n, j + 1 - i) for j, n in before.items() if n >= least and j + 1 not in here]
+            before = here
+        tried = set()
+        for _, start in sorted(runs, key=lambda r: (-r[0], r[1])):  # where the template would begin
+            if start not in tried:
+                tried.add(start)
+                lo = max(0, start - allowed)
+                if found := self.aligned(template, words[lo:start + len(template) + allowed]):
+                    a, b, missing, added = found
+                    return lo + a, lo + b, missing, added
+        return None
+
+    def aligned(self, template: list[str], words: list[str]):
         match = difflib.SequenceMatcher(None, template, words, autojunk=False)
         parts = [m for m in match.get_matching_blocks() if m.size]
+        # a run at either end that is further off than it is long is not the template's
+        main = max(range(len(parts)), key=lambda i: (parts[i].size, -i), default=0)
+        lo, hi = main, main
+        cost = lambda i: parts[i + 1].b - parts[i].b - parts[i].size  # noqa: E731  (words added after run i)
+        gain = 0
+        for i in range(main - 1, -1, -1):
+            gain += parts[i].size - cost(i)
+            if gain >= 0:
+                lo, gain = i, 0
+        gain = 0
+        for i in range(main + 1, len(parts)):
+            gain += parts[i].size - cost(i - 1)
+            if gain >= 0:
+                hi, gain = i, 0
+        parts = parts[lo:hi + 1]
         if not parts:
             return None
         a, b = parts[0].b, parts[-1].b + parts[-1].size

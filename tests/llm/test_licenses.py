@@ -46,3 +46,13 @@ def test_given_lines(spark, data):
     lines = {text: name for name, text in licenses.TEMPLATES}
     want = {r.doc_id: {lines[x] for x in r.text.split("\n") if x in lines} for r in docs.collect()}
     assert all(want[k] <= got[k] for k in want)
+
+
+def test_words_of_the_opening_elsewhere():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 9, 0.4, 0.2)
+    text = "The work is licensed under the terms of the license of the work.\nLicensed under the nice Apache License, Version 2.0."
+    (m,) = scanner.scan(text)
+    assert text[m["start"]:m["stop"]] == "Licensed under the nice Apache License, Version 2.0" and m["added"] == ["nice"]
+    long = "Permission is granted to any person, subject to the license terms of the software and the work.\n" + MIT.replace("without restriction, ", "")
+    (m,) = scanner.scan(long)
+    assert m["license"] == "MIT" and m["missing"] == ["without", "restriction"] and not m["added"] and long[m["start"]:].startswith("Permission is hereby")
