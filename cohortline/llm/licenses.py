@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
-A candidate block is a run of lines most of whose words occur in some template, with a cue word in it; long runs are taken in
-overlapping windows. A block is compressed by zstandard on its own and with each template as a raw dictionary. Templates are
-ranked by the bytes they save. From the best on, the words of template and block are aligned
-around each run of equal words that is long enough for so few differences, within the template's length and the allowed differences, and the
-first template whose wording differs little enough, and in none of its telling words (names, versions, conditions), wins. Its span
-is taken out and the rest of the block is looked at again.
+Candidate blocks are the words around each cue word, as far as a template can reach; lines do not matter, overlapping blocks
+are joined and long ones taken in overlapping windows, for templates of similar length at a time, the longest first. A block is
+compressed by zstandard with each template as a raw dictionary; templates are ranked by the bytes they save. The words of template
+and block are aligned around each run of equal words that is long enough for so few differences, within the template's length and
+the allowed differences. Of the templates whose wording differs little enough, and in none of its telling words (names, versions,
+conditions), and that save enough of their span, the one with the fewest differences wins. Its span is taken out and the rest of
+the block is looked at again. ``alone_bytes`` and ``with_template_bytes`` are of the span.
 
 Null and empty texts have no matches. Each input row gives one row, also null and repeated keys. Whole texts are read.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,9 +59,28 @@ TEMPLATES = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0 into the public domain."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+                         "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+                          "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+                          "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+                     "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+                     "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+                     "the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED "
+                     "BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+                     "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+            "above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, "
+                  "or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and "
+                  "by any means."),
 ]
 #: Words of which one must be in a block, and words that tell licenses apart.
 CUES = ["licen", "copyright", "warrant", "permission", "redistribut", "public domain", "cc by", "cc0"]
+CUE_WORD = re.compile(r"licen|copyright|warrant|permission|redistribut|public$|cc$|cc0$")
 TELLING = {"mit", "apache", "gnu", "lesser", "affero", "general", "mozilla", "mpl", "cc", "cc0", "by", "nc", "nd", "sa", "bsd", "neither"}
 WORD = re.compile(r"\w+")
 REPORT = T.StructType([T.StructField("license", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()),
@@ -77,17 +97,31 @@ class Scanner:
         self.alone = compressor()
         self.given = [compressor(dict_data=z.ZstdCompressionDict(" ".join(w).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for _, w in self.templates]
         self.own = [len(self.alone.compress(" ".join(w).encode())) for _, w in self.templates]
-        self.vocabulary = {w for _, words in self.templates for w in words}
-        self.longest = max(len(w) for _, w in self.templates)
         self.share, self.differing = share, differing
-
-    def ranked(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """Templates by saved bytes: place, size alone, size with the template."""
+        groups: dict[int, list[int]] = {}
+        for i, (_, w) in enumerate(self.templates):
+            groups.setdefault(len(w).bit_length(), []).append(i)
+        #: Templates of similar length, the longest first, and how many words a match can have.
+        self.groups = [(max(int(len(self.templates[i][1]) * (1 + differing)) for i in g), g) for _, g in sorted(groups.items(), reverse=True)]
+
+    def sizes(self, words: list[str], group: list[int]) -> list[tuple[int, int, int]]:
+        """Templates by the bytes they save: place, size alone, size with the template."""
         block = " ".join(words).encode()
         alone = len(self.alone.compress(block))
-        sizes = [(i, alone, len(c.compress(block))) for i, c in enumerate(self.given)]
-        good = [x for x in sizes if x[1] - x[2] >= self.share * min(self.own[x[0]], alone)]
-        return sorted(good, key=lambda x: (x[2], len(self.templates[x[0]][1]), x[0]))
+        sizes = [(i, alone, len(self.given[i].compress(block))) for i in group]
+        return sorted(sizes, key=lambda x: (x[2], len(self.templates[x[0]][1]), x[0]))
+
+    def best(self, words: list[str], group: list[int]) -> tuple | None:
+        """The template with the fewest differences that saves enough of its own span; of equal ones, that which saves most of the window."""
+        out, least = None, 2.0
+        for i, *_ in self.sizes(words, group):
+            if found := self.differences(self.templates[i][1], words):
+                x, y, missing, added = found
+                (_, alone, given), = self.sizes(words[x:y], [i])
+                part = (len(missing) + len(added)) / len(self.templates[i][1])
+                if alone - given >= self.share * min(self.own[i], alone) and part < least:
+                    out, least = (self.templates[i][0], x, y, alone, given, missing, added), part
+        return out
 
     def differences(self, template: list[str], words: list[str]):
         """Span of the block that the template is aligned to, and the words missing and added there; None if they are too many."""
@@ -142,62 +176,63 @@ class Scanner:
             return None
         return a, b, missing, added
 
-    def window(self, words: list[str]) -> list[tuple]:
-        """Matches ``(license, first word, last word, sizes, differences)`` in at most some hundred words."""
-        out, todo = [], [(0, len(words))]
+    def window(self, words: list[str], group: list[int]) -> Iterator[tuple]:
+        """Matches ``(license, first word, last word, sizes, differences)`` in a window of words."""
+        todo = [(0, len(words))]
         while todo:
             a, b = todo.pop()
-            if not any(w in TELLING or w.startswith(("licen", "copyright", "permission", "redistribut")) for w in words[a:b]):
+            if not any(CUE_WORD.match(w) for w in words[a:b]):
                 continue
-            for i, alone, given in self.ranked(words[a:b]):
-                if found := self.differences(self.templates[i][1], words[a:b]):
-                    x, y, missing, added = found
-                    out.append((self.templates[i][0], a + x, a + y, alone, given, missing, added))
-                    todo += [(a, a + x), (a + y, b)]
-                    break
-        return out
-
-    def blocks(self, text: str) -> Iterator[list[re.Match]]:
-        """Runs of lines most of whose words are in templates, as words with their places."""
-        run: list[re.Match] = []
-        at = 0
-        for line in text.split("\n"):
-            words = list(WORD.finditer(text, at, at + len(line)))
-            at += len(line) + 1
-            if words and sum(w[0].lower() in self.vocabulary for w in words) >= 0.6 * len(words):
-                run += words
-            elif words:
-                if run:
-                    yield run
-                run = []
-        if run:
-            yield run
+            if found := self.best(words[a:b], group):
+                name, x, y, *rest = found
+                yield name, a + x, a + y, *rest
+                todo += [(a, a + x), (a + y, b)]
 
     def scan(self, text: str) -> list[dict]:
-        out = {}
-        for run in self.blocks(text):
-            step = 2 * self.longest
-            for a in range(0, max(1, len(run) - step), step):
-                part = run[a:a + 2 * step]
-                for name, x, y, alone, given, missing, added in self.window([w[0].lower() for w in part]):
-                    if a and not x or y == len(part) and a + y < len(run):
-                        continue  # it may be cut off here, and is whole in the neighbouring window
-                    out.setdefault((part[x].start(), name), {
-                        "license": name, "start": part[x].start(), "stop": part[y - 1].end(), "alone_bytes": alone, "with_template_bytes": given,
-                        "missing": missing, "added": added})
+        places = [w.span() for w in WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in places]
+        cues = [i for i, w in enumerate(words) if CUE_WORD.match(w)]
+        free, out = [True] * len(words), {}
+        for reach, group in self.groups:
+            blocks: list[list[int]] = []
+            for i in cues:
+                if free[i]:
+                    a, b = max(0, i - reach), min(len(words), i + reach + 1)
+                    if blocks and a <= blocks[-1][1]:
+                        blocks[-1][1] = b
+                    else:
+                        blocks.append([a, b])
+            for lo, hi in blocks:
+                for a in range(lo, max(lo + 1, hi - reach), reach):  # a match is whole in one window
+                    b = min(hi, a + 2 * reach)
+                    at = a
+                    while at < b:
+                        end = next((j for j in range(at, b) if free[j] != free[at]), b)
+                        if free[at]:
+                            for name, x, y, alone, given, missing, added in self.window(words[at:end], group):
+                                x, y = at + x, at + y
+                                if y == b < hi:
+                                    continue  # it may be cut off here, and is whole in the next window
+                                free[x:y] = [False] * (y - x)
+                                out[places[x][0]] = {
+                                    "license": name, "start": places[x][0], "stop": places[y - 1][1], "alone_bytes": alone,
+                                    "with_template_bytes": given, "missing": missing, "added": added}
+                        at = end
         return [out[k] for k in sorted(out)]
 
 
-def licensed(docs: DataFrame, key: str = "doc_id", text: str = "text", level: int = 9, share: float = 0.4, differing: float = 0.2) -> DataFrame:
+def licensed(docs: DataFrame, key: str = "doc_id", text: str = "text", level: int = 9, share: float = 0.4, differing: float = 0.2,
+             templates: Sequence[tuple[str, str]] = tuple(TEMPLATES)) -> DataFrame:
     """One row per document: ``key`` and ``matches``, each with license, span in characters, sizes alone and given the
-    template, and the differing words. ``share`` is the part of the smaller of block and template that must be saved,
-    ``differing`` the part of the template's words that may differ."""
+    template, and the differing words. ``share`` is the part of the smaller of span and template that must be saved,
+    ``differing`` the part of the template's words that may differ; ``templates`` are pairs of name and text, each with a cue word."""
+    table = tuple((name, wording) for name, wording in templates)
 
     @F.arrow_udf(T.ArrayType(REPORT))
     def scanned(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        scanner = per_process(f"licenses {level} {share} {differing}", lambda: Scanner(TEMPLATES, level, share, differing))
+        scanner = per_process(f"licenses {level} {share} {differing} {table}", lambda: Scanner(table, level, share, differing))
         kind = to_arrow_type(T.ArrayType(REPORT))
         for column in texts:
             yield pa.array([scanner.scan(x.as_py()) if x.is_valid else [] for x in column], kind)

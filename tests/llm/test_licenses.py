@@ -48,6 +48,24 @@ def test_given_lines(spark, data):
     assert all(want[k] <= got[k] for k in want)
 
 
+def test_notices_inside_longer_lines(spark):
+    cases = [
+        ("Photo essay by Anna Berg about harbour cranes and fishing boats in winter. Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("Le texte de cette page est disponible gratuitement pour tous nos lecteurs. Licensed under the Apache License, Version 2.0. "
+         "Merci de votre visite et à bientôt.", ["Apache-2.0"]),
+        ("harbour cranes " * 300 + MIT + " fishing boats" * 300 + " Released under the MIT License. winter" * 3, ["MIT"] * 4),
+        ("prose before " * 30 + " ".join(text for _, text in licenses.TEMPLATES[-4:]), [name for name, _ in licenses.TEMPLATES[-4:]])]
+    docs = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")
+    got = {r.doc_id: [m.license for m in r.matches] for r in licenses.licensed(docs).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_templates_are_an_argument(spark):
+    docs = spark.createDataFrame([(1, "Some words first. Licensed under the Harbour House License. And more.")], "doc_id long, text string")
+    (row,) = licenses.licensed(docs, templates=[("house", "Licensed under the Harbour House License.")]).collect()
+    assert [m.license for m in row.matches] == ["house"]
+
+
 def test_words_of_the_opening_elsewhere():
     scanner = licenses.Scanner(licenses.TEMPLATES, 9, 0.4, 0.2)
     text = "The work is licensed under the terms of the license of the work.\nLicensed under the nice Apache License, Version 2.0."
