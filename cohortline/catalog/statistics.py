@@ -336,13 +336,18 @@ def x6(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+def with_litter_size(rows, subjects):
+    """Litter sizes of known mothers; a subject with an unknown mother (null or -1) is a litter of its own, of size 1."""
+    litter = subjects.filter("mother <> -1").groupBy("mother").agg(F.count(F.lit(1)).alias("litter_size"))
+    return rows.join(litter, "mother", "left").withColumn("litter_size", F.coalesce("litter_size", F.lit(1)))
+
+
 @query("x4_cox_formula")
 def x4c(spark, d):
     """Several covariates: sex, diet and the size of the litter."""
     m, o = panel(spark, d)
     o = materialize(o)
-    litter = o.groupBy("mother").agg(F.count(F.lit(1)).alias("litter_size"))
-    rows = _events(m, o, ("sex", "nursing_diet", "mother")).join(litter, "mother")
+    rows = with_litter_size(_events(m, o, ("sex", "nursing_diet", "mother")), o)
     coded = rows.withColumns({"sex": encode_map("sex", {"F": 0, "M": 1}), "diet": encode_map("nursing_diet", {"Rab": 0, "Rod": 1})})
     return cox_ph(coded, "event_time", "event", ["sex", "diet", "litter_size"]).summary()
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortline.operators.mixed import mixed_model
+from cohortline.catalog.statistics import with_litter_size
 from cohortline.operators.survival import (
     DIRECT_TERMS, _with_tied_sums, brier, censoring_curve, concordance, cox_ph, integrated_brier, td_auc, td_auc_all_times)
 
@@ -177,3 +178,9 @@ def test_mixed_model_predicts_unseen_subjects(spark):
         want = fixed + z @ m.covariance @ z.T @ np.linalg.solve(v, g.y.to_numpy() - fixed)
         assert [got[s, w] for w in g.w] == pytest.approx(list(want), abs=1e-6)
     assert m.transform(test, "pred", True).select("pred").distinct().count() > 0
+
+
+def test_litter_sizes_keep_all_subjects(spark):
+    rows = spark.createDataFrame([(1, 7), (2, 7), (3, None), (4, -1), (5, -1), (6, 8)], "subject_id int, mother int")
+    got = {r.subject_id: r.litter_size for r in with_litter_size(rows, rows).collect()}
+    assert got == {1: 2, 2: 2, 3: 1, 4: 1, 5: 1, 6: 1}
