@@ -17,7 +17,7 @@ from cohortline.operators.folds import fold_by_subject
 from cohortline.operators.panel import pivot_weeks
 from cohortline.operators.mixed import mixed_model
 from cohortline.operators.survival import (
-    brier, censoring_curve, concordance, cox_ph, integrated_brier, risk_sets, subject_rows, td_auc, td_auc_all_times)
+    brier, brier_all_times, censoring_curve, concordance, cox_ph, integrated_brier, risk_sets, subject_rows, td_auc, td_auc_all_times)
 from cohortline.session import materialize
 from cohortline.plans.joint import cross_validate_survival, index_categories, longitudinal_cohort
 
@@ -456,6 +456,29 @@ def x9b(spark, d):
     return _by_sex({sex: integrated_brier(b) for sex, b in _brier(spark, d).items()})
 
 
+#: The same scores at every time of the cohort, as in the study.
+_CENSORED_COX_ALL = _CENSORED_COX.replace(
+    "(SELECT sex, t FROM (SELECT DISTINCT sex FROM hz), (SELECT UNNEST([4, 8, 12, 16]) AS t))", "(SELECT DISTINCT sex, duration AS t FROM hz)")
+
+
+def _brier_all(spark, d):
+    return {sex: brier_all_times(rows, model, "duration", "event") for sex, (rows, model) in _cox_by_sex(spark, d).items()}
+
+
+@query("x9_brier_all_event_times", f"""
+WITH RECURSIVE {_NEWTON}, {_CENSORED_COX_ALL} SELECT sex, CAST(t AS DOUBLE) AS t, ROUND(brier, 6) AS brier FROM br""")
+def x9c(spark, d):
+    return _by_sex(_brier_all(spark, d))
+
+
+@query("x9_integrated_brier_all_event_times", f"""
+WITH RECURSIVE {_NEWTON}, {_CENSORED_COX_ALL}, st AS (SELECT sex, t, (brier + LAG(brier) OVER (PARTITION BY sex ORDER BY t)) / 2
+  * (t - LAG(t) OVER (PARTITION BY sex ORDER BY t)) AS a FROM br)
+SELECT sex, ROUND(SUM(a) / (MAX(t) - MIN(t)), 6) AS ibs FROM st GROUP BY sex""")
+def x9d(spark, d):
+    return _by_sex({sex: integrated_brier(b) for sex, b in _brier_all(spark, d).items()})
+
+
 def _longitudinal(spark, d):
     """Coded rows for the mixed model."""
     kept = materialize(longitudinal_cohort(*_long_events(spark, d)))

@@ -306,6 +306,35 @@ def brier(df: DataFrame, model: CoxModel, time: str, event: str, times: Sequence
     return rows.groupBy("t").agg((F.sum(loss * F.col("_n")) / F.sum("_n")).alias("brier"))
 
 
+def brier_all_times(df: DataFrame, model: CoxModel, time: str, event: str) -> DataFrame:
+    """The Brier score of :func:`brier` at every distinct time of ``df``, events and losses.
+
+    The loss depends on the hazard and the time only, so rows are counted by hazard first. Those who died by a time
+    and those left after it are running totals over time; there is one row for each distinct hazard and time.
+    """
+    lp = model.transform(df, "_lp", "_hz")
+    cells = materialize(
+        lp.select(F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("_e"), "_hz").dropna()
+        .groupBy("time", "_e", "_hz").agg(F.count(F.lit(1)).alias("_n")))
+    curve = materialize(_cell_curve(cells).select("time", "g", "g_before"))
+    none = F.lit(0.0)
+    steps = (model.baseline_hazard().select(F.col("time").cast("double").alias("time"), F.col("hazard").cast("double").alias("_step"), none.alias("g"))
+             .unionByName(curve.select("time", none.alias("_step"), "g"))
+             .groupBy("time").agg(F.sum("_step").alias("_step"), F.sum("g").alias("g")))
+    hazard = running_totals(steps, "time", {"_h0": "_step"}).select("time", "g", "_h0")
+    per = cells.join(curve.select("time", "g_before"), "time").groupBy("_hz", "time").agg(
+        F.sum("_n").alias("_n"), F.sum(F.when(F.col("_e") == 1, F.col("_n") / F.col("g_before")).otherwise(0.0)).alias("_w"))
+    grid = curve.select("time").crossJoin(cells.select("_hz").distinct()).join(per, ["_hz", "time"], "left").fillna(0, ["_n", "_w"])
+    run = running_totals(materialize(grid), "time", {"_died": "_w"}, ("_hz",))
+    run = running_totals(run, "time", {"_from": "_n"}, ("_hz",), descending=True)
+    total = cells.agg(F.sum("_n").alias("_n")).scalar()
+    survival = F.exp(-F.col("_h0") * F.col("_hz"))
+    later = F.col("_from") - F.col("_n")
+    loss = F.col("_died") * survival * survival + F.when(
+        later > 0, F.try_divide(later * (1 - survival) * (1 - survival), F.col("g"))).otherwise(0.0)
+    return run.join(hazard, "time").groupBy(F.col("time").alias("t")).agg(F.sum(loss).alias("_sum")).select("t", (F.col("_sum") / total).alias("brier"))
+
+
 def integrated_brier(scores: DataFrame) -> DataFrame:
     """Trapezoid mean of the Brier scores over their time span."""
     w = Window.orderBy("t")  # one row per evaluation time

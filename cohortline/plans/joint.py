@@ -12,7 +12,7 @@ from cohortline.operators.clean import min_observations
 from cohortline.operators.evaluate import regression_error
 from cohortline.operators.folds import FOLD_SEED, fold_by_subject
 from cohortline.operators.mixed import mixed_model
-from cohortline.operators.survival import brier, concordance, cox_ph, integrated_brier, subject_rows, td_auc_all_times
+from cohortline.operators.survival import brier_all_times, concordance, cox_ph, integrated_brier, subject_rows, td_auc_all_times
 from cohortline.session import materialize
 
 
@@ -41,13 +41,13 @@ def longitudinal_cohort(long: DataFrame, subjects: DataFrame, key: str = "subjec
 
 
 def cross_validate_survival(rows: DataFrame, key: str = "subject_id", k: int = 5, seed: int = FOLD_SEED,
-                            times: Sequence[float] = tuple(range(4, 40, 4)), y: str = "rbg",
+                            y: str = "rbg",
                             fixed: Sequence[str] = ("weight", "week", "sex", "diet"),
                             random: Sequence[str] = ("weight", "week"), covariates: Sequence[str] = ("sex", "diet"),
                             max_iter: int = 500) -> DataFrame:
     """Errors of the mixed model and accuracy of the hazards model on each left-out fold of subjects.
 
-    ``own_rmse`` and ``own_mae`` use each left-out subject's effects given its own readings. ``mixed_converged`` and ``cox_converged`` tell whether the fits of a fold reached their optimum within ``max_iter`` steps.
+    ``own_rmse`` and ``own_mae`` use each left-out subject's effects given its own readings. AUC and Brier scores are at all times of a fold's left-out subjects. ``mixed_converged`` and ``cox_converged`` tell whether the fits of a fold reached their optimum within ``max_iter`` steps.
     """
     spark = rows.sparkSession
     sex, = index_categories(rows, [rows], "sex")
@@ -69,7 +69,7 @@ def cross_validate_survival(rows: DataFrame, key: str = "subject_id", k: int = 5
         scored = cox.transform(test_surv)
         c = concordance(scored, "event_time", "event", "lp").first()["c_index"]
         auc = td_auc_all_times(scored, "event_time", "event", "lp").agg(F.avg("auc").alias("a")).first()["a"]
-        ibs = integrated_brier(brier(test_surv, cox, "event_time", "event", times)).first()["ibs"]
+        ibs = integrated_brier(brier_all_times(test_surv, cox, "event_time", "event")).first()["ibs"]
         results.append((fold + 1, row_error["rmse"], row_error["mae"], mean_error["rmse"], mean_error["mae"], own_error["rmse"],
                         own_error["mae"], c, auc, ibs,
                         bool(longitudinal.converged), bool(cox.converged)))

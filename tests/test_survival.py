@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortline.operators.mixed import mixed_model
 from cohortline.catalog.statistics import with_litter_size
 from cohortline.operators.survival import (
-    DIRECT_TERMS, _with_tied_sums, brier, censoring_curve, concordance, cox_ph, integrated_brier, td_auc, td_auc_all_times)
+    DIRECT_TERMS, _with_tied_sums, brier, brier_all_times, censoring_curve, concordance, cox_ph, integrated_brier, td_auc, td_auc_all_times)
 
 
 def sample(n=120, seed=5, times=8):
@@ -184,3 +184,12 @@ def test_litter_sizes_keep_all_subjects(spark):
     rows = spark.createDataFrame([(1, 7), (2, 7), (3, None), (4, -1), (5, -1), (6, 8)], "subject_id int, mother int")
     got = {r.subject_id: r.litter_size for r in with_litter_size(rows, rows).collect()}
     assert got == {1: 2, 2: 2, 3: 1, 4: 1, 5: 1, 6: 1}
+
+
+def test_brier_at_all_times(spark):
+    df = frame(spark, sample(90)).filter("t is not null")
+    m = cox_ph(df, "t", "e", ["x"])
+    times = sorted(r.t for r in df.select("t").distinct().collect())
+    got = {r.t: r.brier for r in brier_all_times(df, m, "t", "e").collect()}
+    want = {r.t: r.brier for r in brier(df, m, "t", "e", times).collect()}
+    assert sorted(got) == times and all(got[t] == pytest.approx(want[t]) if want[t] is not None else got[t] is None for t in times)
