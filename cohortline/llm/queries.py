@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import decontamination, jaccard, licenses, packing, phrases, quality, secrets, sql, tokencounts, tokenfiles, tokens, toxicity
+from cohortline.llm import decontamination, jaccard, licenses, packing, periodic, phrases, quality, secrets, sql, tokencounts, tokenfiles, tokens, toxicity
 from cohortline.llm.registry import query, table
 from cohortline.session import scratch_path
 
@@ -68,3 +68,9 @@ def op8_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_conditional_licenses")
 def op4_conditional_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licensed(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.digest(periodic.periodic(docs.withColumn("text", periodic.planted(F.col("doc_id"), F.col("text")))))
