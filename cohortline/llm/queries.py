@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import decontamination, jaccard, licenses, packing, periodic, phrases, quality, secrets, sql, tokencounts, tokenfiles, tokens, toxicity
+from cohortline.llm import curriculum, decontamination, jaccard, licenses, packing, periodic, phrases, quality, secrets, sql, tokencounts, tokenfiles, tokens, toxicity
 from cohortline.llm.registry import query, table
-from cohortline.session import scratch_path
+from cohortline.session import materialize, scratch_path
 
 
 @query("op9_quality_rules")
@@ -74,3 +74,9 @@ def op4_conditional_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return periodic.digest(periodic.periodic(docs.withColumn("text", periodic.planted(F.col("doc_id"), F.col("text")))))
+
+
+@query("op11_curriculum_mix", sql.CURRICULUM)
+def op11_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum.mix(table(spark, sf_dir, "documents"), lambda s: curriculum.cycled(s, curriculum.FALLING_RISING_STEADY))
+    return curriculum.digest(materialize(mixed))

@@ -18,3 +18,25 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+CURRICULUM = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM d GROUP BY source),
+f AS (SELECT *, CAST(source_size AS DOUBLE) * 2 / weight AS full_at FROM s),
+r AS (SELECT full_at, sum(source_size * 2.0::DOUBLE) AS caps, sum(weight) AS weights FROM f GROUP BY full_at),
+b AS (SELECT full_at, (SELECT sum(source_size) * 1.5::DOUBLE FROM s)
+             - coalesce(sum(caps) OVER (ORDER BY full_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS amount,
+             (SELECT sum(weight) FROM s)
+             - coalesce(sum(weights) OVER (ORDER BY full_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM r),
+o AS (SELECT * FROM b WHERE full_at >= amount / rest ORDER BY full_at LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN f.full_at >= o.full_at THEN weight * amount / rest
+                                       ELSE CAST(source_size AS DOUBLE) * 2 END AS target FROM f LEFT JOIN o ON true),
+p AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS whole,
+             sum(size) OVER (PARTITION BY d.source ORDER BY hash, size, doc_id) - size AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(greatest(0, least(size, whole - start)) + greatest(0, least(size, whole - start - source_size)) AS BIGINT) AS taken
+FROM p
+"""
