@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import curriculum, decontamination, jaccard, licenses, packing, periodic, phrases, quality, secrets, sql, tokencounts, tokenfiles, tokens, toxicity
+from cohortline.llm import curriculum, decontamination, jaccard, licenses, packing, periodic, phrases, quality, ranked, secrets, sql, tokencounts, tokenfiles, tokens, toxicity
 from cohortline.llm.registry import query, table
 from cohortline.session import materialize, scratch_path
 
@@ -80,3 +80,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(table(spark, sf_dir, "documents"), lambda s: curriculum.cycled(s, curriculum.FALLING_RISING_STEADY))
     return curriculum.digest(materialize(mixed))
+
+
+@query("op12_ranked_search", sql.RANKED)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

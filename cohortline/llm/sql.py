@@ -40,3 +40,20 @@ SELECT doc_id, size, source_size, target,
        CAST(greatest(0, least(size, whole - start)) + greatest(0, least(size, whole - start - source_size)) AS BIGINT) AS taken
 FROM p
 """
+
+_TERMS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT item_row, item_id, term FROM (SELECT row_number() OVER () AS item_row, item_id, list_distinct({_TERMS}) AS w FROM benchmark), unnest(w) AS t(term)),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT row, term, count(*) AS tf FROM d, unnest(w) AS t(term) WHERE term IN (SELECT term FROM i) GROUP BY row, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY term, n_docs),
+m AS (SELECT row, doc_id, 50 + ((50 * len(w) * n_docs) // n_terms) AS m FROM d, c),
+s AS (SELECT item_row, item_id, doc_id, row, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM i JOIN p USING (term) JOIN f USING (term) JOIN m USING (row) GROUP BY item_row, item_id, doc_id, row),
+r AS (SELECT item_id, doc_id, score,
+             CAST(row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
