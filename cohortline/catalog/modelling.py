@@ -156,6 +156,12 @@ def m6b(spark, d):
     return knn_classify(train, test, FEATURES, "subject_id", "label", 9, "distance", 2)
 
 
+@query("m6_knn_small_leaves", f"WITH {_COMPLETE}, {_KNN.format(split=_SPLIT, dist=_L2, k=5, weight='1.0')}")
+def m6c(spark, d):
+    train, test = split(_complete(spark, d), "subject_id")
+    return knn_classify(train, test, FEATURES, "subject_id", "label", 5, "uniform", 2, leaf_rows=4, slice_rows=500)
+
+
 def _trained(spark, d, family, features=FEATURES, **params):
     """A model fitted on the training rows, and the test rows."""
     rows = materialize(_complete(spark, d))

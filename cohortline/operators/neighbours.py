@@ -1,39 +1,27 @@
 """Exact k-nearest-neighbour classification without comparing all pairs.
 
-Training points are cut into a grid of cells by quantiles. For a query point the cell boxes alone
-give a radius that is sure to hold k points; only cells within that radius are searched. Large
-cells are split into chunks and busy cells into slices of query points, so no task holds more than
-a bounded number of rows.
+Training points are split level by level into leaves of a bounded number of points: each node too large for a leaf is cut at
+quantiles of its widest dimension. Nodes with their boxes are a table, however many there are. A query point goes down to the leaf where
+it would lie; its k-th neighbour there bounds the search, and a second descent follows only the children whose boxes come
+that near. Leaves asked for by many query points are given to several tasks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.session import materialize
 
-CELLS = 1024          # upper bound of grid cells, and so of what is sent to every task
-CELL_ROWS = 500       # aim of training points per cell while there are fewer cells than that
-CHUNK_ROWS = 20_000   # training rows, and query rows, of one task
-
-
-def _grid(df: DataFrame, features: Sequence[str], train: DataFrame, cells: int) -> DataFrame:
-    """Cell number of each row by training quantiles of every feature."""
-    cut = list(features)[:max(1, int(math.log2(cells)))]  # two bins each need 2^n cells
-    bins = max(2, int(cells ** (1.0 / len(cut)) + 1e-9))
-    probs = [i / bins for i in range(1, bins)]
-    edges = train.agg(F.struct(*[F.array_distinct(F.percentile_approx(f, probs)).alias(f) for f in cut])
-                      .alias("e")).scalar()
-    cell = F.lit(0)
-    for f in cut:
-        cell = cell * bins + F.size(F.expr(f"filter(_e.`{f}`, e -> e < `{f}`)"))
-    return df.withColumn("_e", edges).withColumn("_cell", cell.cast("int")).drop("_e")
+LEAF_ROWS = 1000    # training points of a leaf at most; several times k, so that a leaf alone bounds the search
+SLICE_ROWS = 20_000  # query points compared with a leaf in one task
+CHILDREN = 16        # parts of a node at most; a digit of its name
 
 
 def _distance(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
@@ -45,95 +33,172 @@ def _distance(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     return (d ** p).sum(axis=2) ** (1.0 / p)
 
 
-def _norm(d: np.ndarray, p: float) -> np.ndarray:
-    return d.sum(axis=2) if p == 1 else (d ** p).sum(axis=2) ** (1.0 / p)
+def _length(parts: Sequence[Column], p: float) -> Column:
+    if p == 1:
+        return reduce(lambda a, b: a + b, parts)
+    if p == 2:
+        return F.sqrt(reduce(lambda a, b: a + b, [x * x for x in parts]))
+    return F.pow(reduce(lambda a, b: a + b, [F.pow(x, F.lit(float(p))) for x in parts]), F.lit(1.0 / p))
+
+
+@dataclass
+class Tree:
+    """Training points in leaves, and the nodes above them.
+
+    ``nodes``: ``node`` (a path of hexadecimal digits), ``parent``, ``level``, ``n`` points, ``leaf``, the dimension ``dim`` and the places
+    ``cuts`` at which it is split, and the box as ``lo`` and ``hi``. ``points``: key, label, ``x`` and ``leaf``.
+    """
+
+    nodes: DataFrame
+    points: DataFrame
+    levels: int
+
+
+def build_tree(points: DataFrame, dims: int, leaf_rows: int = LEAF_ROWS) -> Tree:
+    """Split ``points`` with an array column ``x`` of ``dims`` numbers into leaves of at most ``leaf_rows`` points.
+
+    A node whose points are all equal stays one leaf. A level is three small aggregates and one rewrite of the points
+    that are not in a leaf yet; points of a node are never brought together.
+    """
+    probs = [i / CHILDREN for i in range(1, CHILDREN)]
+    here = points.withColumn("_node", F.lit(""))
+    levels, leaves = [], []
+    while True:
+        here = materialize(here)
+        box = here.groupBy("_node").agg(
+            F.count(F.lit(1)).alias("n"), F.array(*[F.min(F.get("x", F.lit(i))) for i in range(dims)]).alias("lo"),
+            F.array(*[F.max(F.get("x", F.lit(i))) for i in range(dims)]).alias("hi"))
+        width = F.zip_with("hi", "lo", lambda h, low: h - low)
+        box = materialize(box.withColumn("_width", F.array_max(width)).withColumn(
+            "dim", (F.array_position(width, F.col("_width")) - 1).cast("int")).withColumn(
+            "leaf", (F.col("n") <= leaf_rows) | (F.col("_width") <= 0)).drop("_width"))
+        open_nodes = box.where("NOT leaf").select("_node", "dim", F.get("lo", F.col("dim")).alias("_lo"), F.get("hi", F.col("dim")).alias("_hi"))
+        done = open_nodes.isEmpty()
+        value = F.get("x", F.col("dim"))
+        if done:
+            cuts = None
+        else:  # cuts lie below the greatest value, so at least two children have points; the middle serves if quantiles do not
+            quantiles = here.join(open_nodes, "_node").groupBy("_node").agg(
+                F.percentile_approx(value, probs, 2000).alias("_q"), F.count(F.lit(1)).alias("n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+            middle = F.col("_lo") + (F.col("_hi") - F.col("_lo")) / 2
+            middle = F.when(middle < F.col("_hi"), middle).otherwise(F.col("_lo"))
+            parts = F.least(F.lit(CHILDREN), F.ceil(F.col("n") / leaf_rows)).cast("int")  # no smaller leaves than needed
+            picked = F.transform(F.sequence(F.lit(1), parts - 1), lambda j: F.get("_q", F.round(j * CHILDREN / parts).cast("int") - 1))
+            below = F.array_distinct(F.filter(picked, lambda q: q < F.col("_hi")))
+            cuts = materialize(quantiles.select("_node", F.when(F.size(below) > 0, below).otherwise(F.array(middle)).alias("cuts")))
+            box = box.join(cuts, "_node", "left")
+        if done:
+            box = box.withColumn("cuts", F.lit(None).cast("array<double>"))
+        levels.append(box.select(
+            F.col("_node").alias("node"), F.expr("left(_node, length(_node) - 1)").alias("parent"), F.length("_node").alias("level"),
+            "n", "leaf", "dim", "cuts", "lo", "hi"))
+        leaves.append(here.join(box.where("leaf").select("_node"), "_node").withColumnRenamed("_node", "leaf"))
+        if done:
+            break
+        digit = F.lower(F.hex(F.size(F.filter("cuts", lambda c: c < value))))
+        here = here.join(open_nodes.select("_node", "dim"), "_node").join(cuts, "_node").withColumn(
+            "_node", F.concat("_node", digit)).select(*here.columns)
+    return Tree(reduce(DataFrame.unionByName, levels), reduce(DataFrame.unionByName, leaves), len(levels))
+
+
+def _near(p: float, dims: int) -> Column:
+    """The least distance of a point to a box."""
+    part = lambda i: F.greatest(F.lit(0.0), F.get("lo", F.lit(i)) - F.get("x", F.lit(i)), F.get("x", F.lit(i)) - F.get("hi", F.lit(i)))
+    return _length([part(i) for i in range(dims)], p)
+
+
+def _far(p: float, dims: int) -> Column:
+    part = lambda i: F.greatest(F.abs(F.get("x", F.lit(i)) - F.get("lo", F.lit(i))), F.abs(F.get("hi", F.lit(i)) - F.get("x", F.lit(i))))
+    return _length([part(i) for i in range(dims)], p)
+
+
+def _sliced(wanted: DataFrame, points: DataFrame, key: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Query points and leaves with slices: a leaf asked for by many query points has a copy for each slice of them."""
+    load = wanted.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_slices"))
+    cut = wanted.join(load, "leaf").withColumn("_slice", F.pmod(F.xxhash64(key), F.col("_slices")).cast("int")).drop("_slices")
+    copies = points.join(load, "leaf").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    return cut, copies
+
+
+def leaves_near(tree: Tree, queries: DataFrame, dims: int, key: str, k: int, p: float, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``(key, x, leaf)``: the leaves that can hold one of the ``k`` nearest points of each query point."""
+    at = queries.withColumns({"node": F.lit(""), "radius": F.lit(float("inf"))})
+    node = tree.nodes.select("node", "level", "n", "leaf", "dim", "cuts", "lo", "hi")
+    homes = []
+    for level in range(tree.levels):  # the way down to the place where a point would lie; boxes of k points or more bound the radius
+        at = at.join(node.where(F.col("level") == level).drop("level"), "node")
+        at = at.withColumn("radius", F.when(F.col("n") >= k, F.least("radius", _far(p, dims))).otherwise(F.col("radius")))
+        homes.append(at.select(key, "x", "radius", F.when(F.col("leaf"), F.col("node")).alias("leaf")))
+        digit = F.lower(F.hex(F.size(F.filter("cuts", lambda c: c < F.get("x", F.col("dim"))))))
+        at = at.where("NOT leaf").select(key, "x", "radius", F.concat("node", digit).alias("node"))
+    passed = materialize(reduce(DataFrame.unionByName, homes))
+
+    def kth(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = np.full(len(right), np.inf)
+        if len(left) >= k and len(right):
+            t, q = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
+            step = max(1, 4_000_000 // (len(t) * dims))
+            for a in range(0, len(q), step):
+                found[a:a + step] = np.partition(_distance(q[a:a + step], t, p), k - 1, axis=1)[:, k - 1]
+        return pd.DataFrame({key: right[key].to_numpy(), "radius": found})
+
+    cut, copies = _sliced(passed.where("leaf IS NOT NULL").select(key, "x", "leaf"), tree.points, key, slice_rows)
+    key_type = queries.schema[key].dataType.simpleString()
+    own = copies.select("leaf", "_slice", "x").groupBy("leaf", "_slice").cogroup(cut.groupBy("leaf", "_slice")).applyInPandas(
+        kth, f"`{key}` {key_type}, radius double")
+    radius = passed.select(key, "radius").unionByName(own).groupBy(key).agg((F.min("radius") * (1 + 1e-12)).alias("radius"))
+    reach = materialize(queries.join(radius, key))
+
+    pairs = reach.withColumn("node", F.lit(""))
+    children = tree.nodes.select("node", "parent", "level", "leaf", "lo", "hi")
+    out = []
+    for level in range(tree.levels):
+        box = children.where(F.col("level") == level)
+        on = box.drop("level", "parent") if level == 0 else box.drop("level").withColumnRenamed("node", "child")
+        pairs = pairs.join(on, "node") if level == 0 else pairs.join(on, F.col("node") == F.col("parent")).withColumn("node", F.col("child"))
+        pairs = pairs.where(_near(p, dims) <= F.col("radius")).select(key, "x", "radius", "node", "leaf")
+        out.append(pairs.where("leaf").select(key, "x", F.col("node").alias("leaf")))
+        pairs = pairs.where("NOT leaf").drop("leaf")
+    return materialize(reduce(DataFrame.unionByName, out))
 
 
 def nearest_neighbours(train: DataFrame, test: DataFrame, features: Sequence[str], key: str, label: str,
-                       k: int = 5, p: float = 2, cells: int = CELLS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                       k: int = 5, p: float = 2, leaf_rows: int = LEAF_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The k nearest training rows of each test row: key, neighbour, its label, distance and rank.
 
     Ties in distance go to the lower training key. Rows with a missing feature are left out.
     """
-    features = list(features)
-    numbers = [F.col(f).cast("double").alias(f) for f in features]
-    key_type = train.schema[key].dataType.simpleString()
-    train = materialize(train.select(key, F.col(label).cast("int").alias("_label"), *numbers).dropna())
-    test = test.select(key, *numbers).dropna()
-    cells = max(1, min(cells, train.count() // CELL_ROWS))
+    features, dims = list(features), len(features)
+    x = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
+    key_type, test_type = train.schema[key].dataType.simpleString(), test.schema[key].dataType.simpleString()
+    known = train.dropna(subset=features).select(key, F.col(label).cast("int").alias("_label"), x)
+    queries = materialize(test.dropna(subset=features).select(key, x))
 
     # Copies of one point are equally far from everything: the k lowest keys of them are enough.
-    same = Window.partitionBy(*features).orderBy(key)
-    points = train.withColumn("_rn", F.row_number().over(same)).filter(F.col("_rn") <= k).drop("_rn")
-    points = _grid(points, features, train, cells)
-
-    boxes = points.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("n"), *[F.min(f).alias(f"lo_{f}") for f in features],
-        *[F.max(f).alias(f"hi_{f}") for f in features]).orderBy("_cell").toPandas()  # at most CELLS rows
-    if boxes.empty:
-        return test.sparkSession.createDataFrame(
-            [], f"{key} {key_type}, neighbour {key_type}, label int, distance double, rank int")
-    cell_ids = boxes["_cell"].to_numpy()
-    counts = boxes["n"].to_numpy()
-    low = boxes[[f"lo_{f}" for f in features]].to_numpy(float)
-    high = boxes[[f"hi_{f}" for f in features]].to_numpy(float)
-    chunks = np.maximum(1, -(-counts // chunk_rows)).astype(int)
-
-    def search_cells(batches):
-        for pdf in batches:
-            out = []
-            for start in range(0, len(pdf), 256):
-                part = pdf.iloc[start:start + 256]
-                q = part[features].to_numpy(float)[:, None, :]
-                near = _norm(np.maximum(0.0, np.maximum(low[None] - q, q - high[None])), p)
-                far = _norm(np.maximum(np.abs(q - low[None]), np.abs(high[None] - q)), p)
-                order = np.argsort(far, axis=1, kind="stable")
-                enough = np.cumsum(counts[order], axis=1) >= k
-                at = np.where(enough.any(axis=1), enough.argmax(axis=1), far.shape[1] - 1)
-                radius = np.take_along_axis(far, order, 1)[np.arange(len(part)), at]
-                rows, hits = np.nonzero(near <= radius[:, None] * (1 + 1e-12))
-                times = chunks[hits]
-                picked = part.iloc[np.repeat(rows, times)].copy()
-                picked["_cell"] = np.repeat(cell_ids[hits], times)
-                picked["_chunk"] = np.concatenate([np.arange(t) for t in times]) if len(times) else []
-                out.append(picked.astype({"_cell": "int32", "_chunk": "int32"}))
-            if out:
-                yield pd.concat(out)
-
-    schema = f"{key} {key_type}, " + ", ".join(f"{f} double" for f in features) + ", _cell int, _chunk int"
-    wanted = materialize(test.mapInPandas(search_cells, schema))
-
-    # Busy cells: cut the query points into slices, and give every slice a copy of the chunk.
-    load = wanted.groupBy("_cell", "_chunk").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_slices"))
-    wanted = (wanted.join(load, ["_cell", "_chunk"])
-              .withColumn("_slice", F.pmod(F.xxhash64(key), F.col("_slices")).cast("int")).drop("_slices"))
-    n_chunks = train.sparkSession.createDataFrame(
-        [(int(c), int(n)) for c, n in zip(cell_ids, chunks)], "_cell int, _chunks int")
-    stored = (points.join(F.broadcast(n_chunks), "_cell")  # at most CELLS rows
-              .withColumn("_chunk", F.pmod(F.xxhash64(key), F.col("_chunks")).cast("int"))
-              .join(load, ["_cell", "_chunk"])
-              .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-              .drop("_chunks", "_slices"))
+    same = Window.partitionBy("x").orderBy(key)
+    points = known.dropna().withColumn("_rn", F.row_number().over(same)).filter(F.col("_rn") <= k).drop("_rn")
+    tree = build_tree(points, dims, leaf_rows)
+    wanted, stored = _sliced(leaves_near(tree, queries, dims, key, k, p, slice_rows), tree.points, key, slice_rows)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = [key, "neighbour", "label", "distance"]
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: [] for n in names})
         left = left.sort_values(key)  # stable sorts by distance keep the lower key first
-        t, ids, labels = left[features].to_numpy(float), left[key].to_numpy(), left["_label"].to_numpy()
+        t, ids, labels = np.stack(left["x"].to_numpy()), left[key].to_numpy(), left["_label"].to_numpy()
         found = []
-        step = max(1, 4_000_000 // max(1, len(left) * len(features)))
-        for start in range(0, len(right), step) if len(left) else ():
+        step = max(1, 4_000_000 // (len(left) * dims))
+        for start in range(0, len(right), step):
             part = right.iloc[start:start + step]
-            d = _distance(part[features].to_numpy(float), t, p)
+            d = _distance(np.stack(part["x"].to_numpy()), t, p)
             take = np.argsort(d, axis=1, kind="stable")[:, :k]
-            found.append(pd.DataFrame({
-                key: np.repeat(part[key].to_numpy(), take.shape[1]), "neighbour": ids[take].ravel(),
-                "label": labels[take].ravel(), "distance": np.take_along_axis(d, take, 1).ravel()}))
-        if not found:
-            return pd.DataFrame({key: ids[:0], "neighbour": ids[:0], "label": labels[:0], "distance": t[:0, 0]})
+            found.append(pd.DataFrame(dict(zip(names, (
+                np.repeat(part[key].to_numpy(), take.shape[1]), ids[take].ravel(), labels[take].ravel(),
+                np.take_along_axis(d, take, 1).ravel()), strict=True))))
         return pd.concat(found)
 
-    group = ["_cell", "_chunk", "_slice"]
-    best = stored.groupBy(*group).cogroup(wanted.groupBy(*group)).applyInPandas(
-        compare, f"{key} {key_type}, neighbour {key_type}, label int, distance double")
+    best = stored.groupBy("leaf", "_slice").cogroup(wanted.groupBy("leaf", "_slice")).applyInPandas(
+        compare, f"`{key}` {test_type}, neighbour {key_type}, label int, distance double")
     rank = Window.partitionBy(key).orderBy("distance", "neighbour")
     return best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortline.operators.evaluate import classification_report, feature_auc, roc_auc, roc_curve
-from cohortline.operators.neighbours import knn_classify, nearest_neighbours
+from cohortline.operators.neighbours import build_tree, knn_classify, leaves_near, nearest_neighbours
 from cohortline.plans.features import SWEEP_OPTIONS
 from cohortline.plans.joint import index_categories
 from cohortline.plans.models import fit_model, importances, tree_rules
@@ -23,10 +23,9 @@ def points(spark, n, seed, dims=2, grid=None, start=0):
     return spark.createDataFrame(rows, "subject_id long, sex string, " + ", ".join(f"f{i} double" for i in range(dims)) + ", label int")
 
 
-@pytest.mark.parametrize("limits", [{}, {"chunk_rows": 7}, {"cells": 1}])
-@pytest.mark.parametrize("p", [1, 2])
-def test_neighbours_equal_brute_force(spark, limits, p, monkeypatch):
-    monkeypatch.setattr("cohortline.operators.neighbours.CELL_ROWS", 10)
+@pytest.mark.parametrize("limits", [{}, {"leaf_rows": 2, "slice_rows": 7}, {"leaf_rows": 9}])
+@pytest.mark.parametrize("p", [1, 2, 3])
+def test_neighbours_equal_brute_force(spark, limits, p):
     train, test = points(spark, 150, 1, grid=4), points(spark, 40, 2, grid=4, start=1000)
     got = {}
     for r in nearest_neighbours(train, test, ["f0", "f1"], "subject_id", "label", 5, p, **limits).collect():
@@ -39,6 +38,27 @@ def test_neighbours_equal_brute_force(spark, limits, p, monkeypatch):
         assert [x for x, _ in mine] == pytest.approx([x for x, _ in d])
 
 
+def test_tree_bounds_the_work(spark):
+    """However many points there are, a leaf is small and a query point meets about as many of them."""
+    met = []
+    for n in (1_000, 8_000):
+        x = F.array(*[F.randn(i) for i in range(3)])
+        points = spark.range(n).select(F.col("id").alias("subject_id"), F.lit(1).alias("_label"), x.alias("x"))
+        tree = build_tree(points, 3, leaf_rows=20)
+        sizes = {r["leaf"]: r["count"] for r in tree.points.groupBy("leaf").count().collect()}
+        assert sum(sizes.values()) == n and max(sizes.values()) <= 20 and len(sizes) > n / 20
+        queries = spark.range(60).select(F.col("id").alias("subject_id"), F.array(*[F.randn(i + 50) for i in range(3)]).alias("x"))
+        met.append(sum(sizes[r["leaf"]] for r in leaves_near(tree, queries, 3, "subject_id", 5, 2).collect()) / 60)
+    assert met[1] < 1.5 * met[0] and met[1] < 800
+
+
+def test_points_that_cannot_be_split(spark):
+    points = spark.createDataFrame([(i, 1, [1.0, 0.0] if i < 90 else [1.0, float(i)]) for i in range(100)], "subject_id int, _label int, x array<double>")
+    tree = build_tree(points, 2, leaf_rows=4)
+    sizes = sorted(r["count"] for r in tree.points.groupBy("leaf").count().collect())
+    assert sizes[-1] == 90 and sum(sizes) == 100 and max(sizes[:-1]) <= 4
+
+
 def test_nearest_to_itself_gives_the_labels_back(spark):
     train = points(spark, 60, 3)
     for weights in ("uniform", "distance"):
