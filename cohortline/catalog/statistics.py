@@ -17,7 +17,7 @@ from cohortline.operators.folds import fold_by_subject
 from cohortline.operators.panel import pivot_weeks
 from cohortline.operators.mixed import mixed_model
 from cohortline.operators.survival import (
-    brier, brier_all_times, censoring_curve, concordance, cox_ph, integrated_brier, risk_sets, subject_rows, td_auc, td_auc_all_times)
+    brier, brier_all_times, censoring_curve, concordance, cox_fits, cox_ph, integrated_brier, risk_sets, subject_rows, td_auc, td_auc_all_times)
 from cohortline.session import materialize
 from cohortline.plans.joint import cross_validate_survival, index_categories, longitudinal_cohort
 
@@ -300,9 +300,9 @@ fit AS (SELECT nw.sex, b, 1 / SQRT(list_sum(list_transform(f, lambda x: x.a1 * E
 
 
 def _cox_by_sex(spark, d):
+    """The cohort and the models of both sexes, fitted side by side."""
     rows = materialize(_cox_input(spark, d))
-    return {s: (rows.filter(F.col("sex") == s), cox_ph(rows.filter(F.col("sex") == s), "duration", "event", ["diet"]))
-            for s in ("M", "F")}
+    return rows, cox_fits(rows, "duration", "event", ["diet"], "sex")
 
 
 @query("x4_cox_risk_sets", f"""
@@ -315,8 +315,7 @@ def x4(spark, d):
 
 @query("x4_cox_by_sex", f"WITH RECURSIVE {_NEWTON} SELECT sex, 'diet' AS covariate, ROUND(b, 6) AS coef FROM fit")
 def x4b(spark, d):
-    parts = [m.summary().select(F.lit(s).alias("sex"), "covariate", "coef") for s, (_, m) in _cox_by_sex(spark, d).items()]
-    return parts[0].unionByName(parts[1])
+    return _cox_by_sex(spark, d)[1].summary().select("sex", "covariate", "coef")
 
 
 @query("x5_cox_summary", f"""
@@ -324,16 +323,15 @@ WITH RECURSIVE {_NEWTON} SELECT sex, 'diet' AS covariate, ROUND(b, 6) AS coef, R
   ROUND(b / se, 6) AS z, ROUND(EXP(b - 1.959963984540054 * se), 6) AS lower, ROUND(EXP(b + 1.959963984540054 * se), 6) AS upper,
   ROUND({_Z_TAIL.format(z="(b / se)")}, 6) AS p FROM fit""")
 def x5(spark, d):
-    parts = [m.summary().select(F.lit(s).alias("sex"), "*") for s, (_, m) in _cox_by_sex(spark, d).items()]
-    return parts[0].unionByName(parts[1])
+    return _cox_by_sex(spark, d)[1].summary()
 
 
 @query("x6_relative_hazard", f"""
 WITH RECURSIVE {_NEWTON} SELECT subject_id, sex, ROUND(b * (diet - m), 6) + 0.0 AS lp, ROUND(EXP(b * (diet - m)), 6) AS partial_hazard
 FROM ci JOIN fit USING (sex)""")
 def x6(spark, d):
-    parts = [m.transform(rows).select("subject_id", "sex", "lp", "partial_hazard") for rows, m in _cox_by_sex(spark, d).values()]
-    return parts[0].unionByName(parts[1])
+    rows, models = _cox_by_sex(spark, d)
+    return models.transform(rows).select("subject_id", "sex", "lp", "partial_hazard")
 
 
 def with_litter_size(rows, subjects):
@@ -403,7 +401,7 @@ def x8(spark, d):
 
 
 @query("x8_auc_all_event_times", f"""
-WITH {_MARK}, {_KM}, ts AS (SELECT DISTINCT event_time AS t FROM mk WHERE event = 1 AND rbg4 IS NOT NULL),
+WITH {_MARK}, {_KM}, ts AS (SELECT DISTINCT event_time AS t FROM mk WHERE event_time >= (SELECT MIN(event_time) FROM mk WHERE event = 1)),
 ca AS (SELECT t, rbg4, 1 / gb AS w FROM mk JOIN km USING (event_time), ts WHERE event = 1 AND event_time <= t),
 co AS (SELECT t, rbg4 FROM mk, ts WHERE event_time > t),
 pr AS (SELECT ca.t, SUM(w * CASE WHEN ca.rbg4 > co.rbg4 THEN 1.0 WHEN ca.rbg4 = co.rbg4 THEN 0.5 ELSE 0 END) AS win
@@ -415,6 +413,44 @@ def x8c(spark, d):
     return td_auc_all_times(_marked(spark, d), "event_time", "event", "rbg4")
 
 
+# the same within each sex, all sexes in one run
+_MARK_SEX = _EV300 + ", mk AS (SELECT e.sex, event, event_time, rbg4 FROM ev e JOIN fx_wide USING (subject_id) WHERE rbg4 IS NOT NULL)"
+
+
+def _marked_by_sex(spark, d):
+    m, o = panel(spark, d)
+    return _events(m, o).join(_wide(m).select("subject_id", "rbg4"), "subject_id").filter("rbg4 IS NOT NULL")
+
+
+@query("x7_concordance_by_sex", f"""
+WITH {_MARK_SEX}, p AS (SELECT a.sex, SUM(CASE WHEN a.rbg4 > b.rbg4 THEN 1.0 ELSE 0 END) AS con, SUM(CASE WHEN a.rbg4 = b.rbg4 THEN 1.0 ELSE 0 END) AS tie,
+  COUNT(*) AS cmp FROM mk a JOIN mk b ON a.sex = b.sex AND a.event = 1
+    AND (b.event_time > a.event_time OR (b.event_time = a.event_time AND b.event = 0)) GROUP BY a.sex)
+SELECT sex, CAST(con AS DOUBLE) AS concordant, CAST(tie AS DOUBLE) AS tied, CAST(cmp AS DOUBLE) AS comparable,
+  ROUND((con + 0.5 * tie) / cmp, 6) AS c_index FROM p""")
+def x7b(spark, d):
+    return concordance(_marked_by_sex(spark, d), "event_time", "event", "rbg4", ("sex",))
+
+
+@query("x8_auc_all_times_by_sex", f"""
+WITH {_MARK_SEX},
+kt AS (SELECT sex, event_time, COUNT(*) AS n, SUM(event) AS d FROM mk GROUP BY 1, 2),
+kr AS (SELECT sex, event_time, d, n - d AS c, SUM(n) OVER (PARTITION BY sex ORDER BY event_time DESC) AS r FROM kt),
+kf AS (SELECT *, CASE WHEN r - d > 0 THEN 1 - CAST(c AS DOUBLE) / (r - d) ELSE 1.0 END AS f FROM kr),
+km AS (SELECT sex, event_time, COALESCE(PRODUCT(f) OVER (PARTITION BY sex ORDER BY event_time
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS gb FROM kf),
+ts AS (SELECT DISTINCT sex, event_time AS t FROM mk m WHERE event_time >= (SELECT MIN(event_time) FROM mk k WHERE event = 1 AND k.sex = m.sex)),
+ca AS (SELECT ts.sex, t, rbg4, 1 / gb AS w FROM mk JOIN km USING (sex, event_time) JOIN ts USING (sex) WHERE event = 1 AND event_time <= t),
+co AS (SELECT ts.sex, t, rbg4 FROM mk JOIN ts USING (sex) WHERE event_time > t),
+pr AS (SELECT ca.sex, ca.t, SUM(w * CASE WHEN ca.rbg4 > co.rbg4 THEN 1.0 WHEN ca.rbg4 = co.rbg4 THEN 0.5 ELSE 0 END) AS win
+  FROM ca JOIN co ON ca.t = co.t AND ca.sex = co.sex GROUP BY 1, 2),
+sc AS (SELECT sex, t, COUNT(*) AS n, SUM(w) AS w FROM ca GROUP BY 1, 2), sn AS (SELECT sex, t, COUNT(*) AS n FROM co GROUP BY 1, 2)
+SELECT sex, CAST(ts.t AS DOUBLE) AS t, COALESCE(sc.n, 0) AS n_cases, COALESCE(sn.n, 0) AS n_controls, ROUND(win / (sc.w * sn.n), 6) AS auc
+FROM ts LEFT JOIN pr USING (sex, t) LEFT JOIN sc USING (sex, t) LEFT JOIN sn USING (sex, t)""")
+def x8d(spark, d):
+    return td_auc_all_times(_marked_by_sex(spark, d), "event_time", "event", "rbg4", ("sex",))
+
+
 _CENSORED_COX = """
 hz AS (SELECT sex, duration, event, diet, EXP(b * (diet - m)) AS h FROM ci JOIN fit USING (sex)),
 ht AS (SELECT sex, duration, SUM(event) AS d, COUNT(*) AS n, SUM(h) AS hs FROM hz GROUP BY 1, 2),
@@ -434,7 +470,8 @@ br AS (SELECT hz.sex, t, AVG(CASE WHEN event = 1 AND duration <= t THEN POWER(EX
 
 def _brier(spark, d):
     """Scores of the model of each sex."""
-    return {sex: brier(rows, model, "duration", "event", (4, 8, 12, 16)) for sex, (rows, model) in _cox_by_sex(spark, d).items()}
+    rows, models = _cox_by_sex(spark, d)
+    return _by_sex({sex: brier(rows.filter(F.col("sex") == sex), m, "duration", "event", (4, 8, 12, 16)) for sex, m in models.models.items()})
 
 
 def _by_sex(tables):
@@ -445,7 +482,7 @@ def _by_sex(tables):
 @query("x9_brier_score", f"""
 WITH RECURSIVE {_NEWTON}, {_CENSORED_COX} SELECT sex, CAST(t AS DOUBLE) AS t, ROUND(brier, 6) AS brier FROM br""")
 def x9(spark, d):
-    return _by_sex(_brier(spark, d))
+    return _brier(spark, d)
 
 
 @query("x9_integrated_brier", f"""
@@ -453,7 +490,7 @@ WITH RECURSIVE {_NEWTON}, {_CENSORED_COX}, st AS (SELECT sex, t, (brier + LAG(br
   * (t - LAG(t) OVER (PARTITION BY sex ORDER BY t)) AS a FROM br)
 SELECT sex, ROUND(SUM(a) / (MAX(t) - MIN(t)), 6) AS ibs FROM st GROUP BY sex""")
 def x9b(spark, d):
-    return _by_sex({sex: integrated_brier(b) for sex, b in _brier(spark, d).items()})
+    return integrated_brier(_brier(spark, d), ("sex",))
 
 
 #: The same scores at every time of the cohort, as in the study.
@@ -462,13 +499,14 @@ _CENSORED_COX_ALL = _CENSORED_COX.replace(
 
 
 def _brier_all(spark, d):
-    return {sex: brier_all_times(rows, model, "duration", "event") for sex, (rows, model) in _cox_by_sex(spark, d).items()}
+    rows, models = _cox_by_sex(spark, d)
+    return brier_all_times(rows, models, "duration", "event")
 
 
 @query("x9_brier_all_event_times", f"""
 WITH RECURSIVE {_NEWTON}, {_CENSORED_COX_ALL} SELECT sex, CAST(t AS DOUBLE) AS t, ROUND(brier, 6) AS brier FROM br""")
 def x9c(spark, d):
-    return _by_sex(_brier_all(spark, d))
+    return _brier_all(spark, d)
 
 
 @query("x9_integrated_brier_all_event_times", f"""
@@ -476,7 +514,7 @@ WITH RECURSIVE {_NEWTON}, {_CENSORED_COX_ALL}, st AS (SELECT sex, t, (brier + LA
   * (t - LAG(t) OVER (PARTITION BY sex ORDER BY t)) AS a FROM br)
 SELECT sex, ROUND(SUM(a) / (MAX(t) - MIN(t)), 6) AS ibs FROM st GROUP BY sex""")
 def x9d(spark, d):
-    return _by_sex({sex: integrated_brier(b) for sex, b in _brier_all(spark, d).items()})
+    return integrated_brier(_brier_all(spark, d), ("sex",))
 
 
 def _longitudinal(spark, d):
@@ -491,7 +529,7 @@ _FIXED = ("weight", "week", "sex", "diet")
 
 @query("x10_mixed_model")
 def x10(spark, d):
-    return mixed_model(_longitudinal(spark, d), "rbg", _FIXED, ("weight", "week"), "subject_id", max_iter=40).summary()
+    return mixed_model(_longitudinal(spark, d), "rbg", _FIXED, ("weight", "week"), "subject_id").summary()
 
 
 @query("x11_mixed_predictions")

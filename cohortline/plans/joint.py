@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from cohortline.operators.clean import min_observations
 from cohortline.operators.evaluate import regression_error
 from cohortline.operators.folds import FOLD_SEED, fold_by_subject
-from cohortline.operators.mixed import mixed_model
-from cohortline.operators.survival import brier_all_times, concordance, cox_ph, integrated_brier, subject_rows, td_auc_all_times
+from cohortline.operators.mixed import mixed_folds
+from cohortline.operators.survival import brier_all_times, concordance, cox_fits, integrated_brier, subject_rows, td_auc_all_times
 from cohortline.session import materialize
 
 
@@ -47,32 +47,37 @@ def cross_validate_survival(rows: DataFrame, key: str = "subject_id", k: int = 5
                             max_iter: int = 500) -> DataFrame:
     """Errors of the mixed model and accuracy of the hazards model on each left-out fold of subjects.
 
-    ``own_rmse`` and ``own_mae`` use each left-out subject's effects given its own readings. AUC and Brier scores are at all times of a fold's left-out subjects. ``mixed_converged`` and ``cox_converged`` tell whether the fits of a fold reached their optimum within ``max_iter`` steps.
+    ``own_rmse`` and ``own_mae`` use each left-out subject's effects given its own readings. AUC and Brier scores are at all
+    times of a fold's left-out subjects. ``mixed_converged`` and ``cox_converged`` tell whether the fits of a fold reached
+    their optimum. The models of all folds are fitted side by side, and each score is one run by fold.
     """
-    spark = rows.sparkSession
     sex, = index_categories(rows, [rows], "sex")
     coded, = index_categories(sex, [sex], "diet")
-    table = materialize(fold_by_subject(coded, key, k, seed, "_fold"))
-    results = []
-    for fold in range(k):
-        train, test = table.filter(F.col("_fold") != fold), table.filter(F.col("_fold") == fold)
-        cols = ("event_time", "event", *covariates)
-        train_surv = subject_rows(train, key, cols=cols)
-        test_surv = materialize(subject_rows(test, key, cols=cols))
-        longitudinal = mixed_model(train, y, fixed, random, key, max_iter=max_iter)
-        predicted = longitudinal.transform(test, "pred")
-        per_subject = predicted.groupBy(key).agg(F.avg(y).alias(y), F.avg("pred").alias("pred"))
-        row_error = regression_error(predicted, y, "pred").first()
-        own_error = regression_error(longitudinal.transform(test, "pred", True, test), y, "pred").first()
-        mean_error = regression_error(per_subject, y, "pred").first()
-        cox = cox_ph(train_surv, "event_time", "event", covariates)
-        scored = cox.transform(test_surv)
-        c = concordance(scored, "event_time", "event", "lp").first()["c_index"]
-        auc = td_auc_all_times(scored, "event_time", "event", "lp").agg(F.avg("auc").alias("a")).first()["a"]
-        ibs = integrated_brier(brier_all_times(test_surv, cox, "event_time", "event")).first()["ibs"]
-        results.append((fold + 1, row_error["rmse"], row_error["mae"], mean_error["rmse"], mean_error["mae"], own_error["rmse"],
-                        own_error["mae"], c, auc, ibs,
-                        bool(longitudinal.converged), bool(cox.converged)))
-    return spark.createDataFrame(
-        results, "fold int, rmse double, mae double, subject_rmse double, subject_mae double, own_rmse double, own_mae double, "
-                 "c_index double, mean_auc double, integrated_brier double, mixed_converged boolean, cox_converged boolean")
+    table = materialize(fold_by_subject(coded, key, k, seed, "fold"))
+    survival = materialize(subject_rows(table, key, cols=("event_time", "event", "fold", *covariates)))
+    folds = [r[0] for r in survival.select("fold").distinct().collect()]  # k numbers
+
+    longitudinal = mixed_folds(table, y, fixed, random, key, "fold", max_iter)
+    predicted = materialize(longitudinal.predict(table))
+    means = predicted.groupBy("fold", key).agg(F.avg(y).alias(y), F.avg("pred").alias("pred"))
+
+    others = F.filter(F.array(*[F.lit(f) for f in folds]), lambda f: f != F.col("fold"))
+    cox = cox_fits(survival.withColumn("_left_out", F.explode(others)).drop("fold").withColumnRenamed("_left_out", "fold"),
+                   "event_time", "event", covariates, "fold")
+    scored = materialize(cox.transform(survival).drop("partial_hazard"))
+    parts = [
+        regression_error(predicted, y, "pred", ["fold"]).select("fold", "rmse", "mae"),
+        regression_error(means, y, "pred", ["fold"]).select("fold", F.col("rmse").alias("subject_rmse"), F.col("mae").alias("subject_mae")),
+        regression_error(predicted, y, "own", ["fold"]).select("fold", F.col("rmse").alias("own_rmse"), F.col("mae").alias("own_mae")),
+        concordance(scored, "event_time", "event", "lp", ["fold"]).select("fold", "c_index"),
+        td_auc_all_times(scored, "event_time", "event", "lp", ["fold"]).groupBy("fold").agg(F.avg("auc").alias("mean_auc")),
+        integrated_brier(brier_all_times(survival, cox, "event_time", "event"), ["fold"]).select("fold", F.col("ibs").alias("integrated_brier"))]
+    results = {f: {"mixed_converged": longitudinal.models[f].converged if f in longitudinal.models else False,
+                   "cox_converged": cox.models[f].converged if f in cox.models else False} for f in folds}
+    for part in parts:
+        for row in part.collect():  # a row for each fold
+            results[row["fold"]].update(row.asDict())
+    names = ["rmse", "mae", "subject_rmse", "subject_mae", "own_rmse", "own_mae", "c_index", "mean_auc", "integrated_brier"]
+    return rows.sparkSession.createDataFrame(
+        [(int(f) + 1, *[r.get(n) for n in names], r["mixed_converged"], r["cox_converged"]) for f, r in sorted(results.items())],
+        "fold int, " + ", ".join(f"{n} double" for n in names) + ", mixed_converged boolean, cox_converged boolean")

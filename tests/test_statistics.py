@@ -22,19 +22,25 @@ def test_tail_probabilities(spark):
     assert got[0] == pytest.approx(0.05, abs=1e-6) and got[1] is None
 
 
-def test_running_totals_over_cut_axes_equal_one_window(spark):
+def test_running_totals_over_cut_axes_equal_one_window(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(g, float(v), rng.randint(0, 9)) for g in "abc" for v in rng.sample(range(10_000), 400)]
     df = spark.createDataFrame([*rows, (None, 5.0, 3)], "g string, v double, n int")
     for descending in (False, True):
-        table = running.cut_axis(df, "v", ranges=16)
-        assert table.select("_range").distinct().count() == 16
+        table = running.cut_axis(df, "v", range_rows=75)
+        assert table.select("_range").distinct().count() == 17
         a = running.running_totals(table, "v", {"s": "n"}, ["g"], descending, range_col="_range")
         b = running.running_totals(df, "v", {"s": "n"}, ["g"], descending, bounded=True)
         assert sorted(map(repr, a.select("g", "v", "s").collect())) == sorted(map(repr, b.select("g", "v", "s").collect()))
     by_value = df.drop("g").groupBy("v").agg(F.sum("n").alias("n"))
-    total = running.running_totals(by_value, "v", {"s": "n"}, ranges=4).agg(F.max("s")).first()[0]
-    assert total == sum(n for _, _, n in rows) + 3
+    monkeypatch.setattr(running, "RANGE_ROWS", 100)
+    both = running.running_totals(by_value, "v", {"s": "n"}, rest={"r": "n"})
+    total = both.agg(F.max("s"), F.max("r"), F.min(F.col("s") + F.col("r") - F.col("n")), F.max(F.col("s") + F.col("r") - F.col("n"))).first()
+    assert set(total) == {sum(n for _, _, n in rows) + 3}
+    cut = running.cut_axis(by_value, "v", range_rows=50)
+    before = {r.v: (r._previous_v, r._previous_n) for r in running.previous(cut, "v", ["v", "n"]).collect()}
+    ordered = sorted((r.v, r.n) for r in by_value.collect())
+    assert before == {v: (ordered[i - 1] if i else (None, None)) for i, (v, _) in enumerate(ordered)}
 
 
 def test_quantiles_of_cut_axes(spark):

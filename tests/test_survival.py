@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortline.operators.mixed import mixed_model
+from cohortline.operators import survival
+from cohortline.operators.mixed import mixed_folds, mixed_model
 from cohortline.catalog.statistics import with_litter_size
 from cohortline.operators.survival import (
-    DIRECT_TERMS, _with_tied_sums, brier, brier_all_times, censoring_curve, concordance, cox_ph, integrated_brier, td_auc, td_auc_all_times)
+    DIRECT_TERMS, _with_tied_sums, brier, brier_all_times, censoring_curve, concordance, cox_fits, cox_ph, integrated_brier, td_auc, td_auc_all_times)
 
 
 def sample(n=120, seed=5, times=8):
@@ -193,3 +194,53 @@ def test_brier_at_all_times(spark):
     got = {r.t: r.brier for r in brier_all_times(df, m, "t", "e").collect()}
     want = {r.t: r.brier for r in brier(df, m, "t", "e", times).collect()}
     assert sorted(got) == times and all(got[t] == pytest.approx(want[t]) if want[t] is not None else got[t] is None for t in times)
+
+
+def test_strata_are_fitted_and_scored_like_single_tables(spark, monkeypatch):
+    monkeypatch.setattr(survival, "BLOCK", 3)
+    rows = [(*r, "abc"[i % 3]) for i, r in enumerate(sample(150))]
+    df = spark.createDataFrame(rows, "t double, e int, x double, z double, g string").withColumn("z", F.round("z", 1))
+    fits = cox_fits(df, "t", "e", ["x"], "g")
+    assert sorted(fits.models) == ["a", "b", "c"]
+    scored = fits.transform(df)
+    by_group = {
+        "c": {r.g: r.c_index for r in concordance(scored, "t", "e", "z", ["g"]).collect()},
+        "auc": {(r.g, r.t): r.auc for r in td_auc_all_times(scored, "t", "e", "z", ["g"]).collect()},
+        "brier": {(r.g, r.t): r.brier for r in brier_all_times(df, fits, "t", "e").collect()},
+        "ibs": {r.g: r.ibs for r in integrated_brier(brier_all_times(df, fits, "t", "e"), ["g"]).collect()}}
+    for g in "ab":
+        part = df.filter(F.col("g") == g)
+        m = cox_ph(part, "t", "e", ["x"])
+        assert fits.models[g].coef == pytest.approx(m.coef) and fits.models[g].n == m.n
+        assert by_group["c"][g] == pytest.approx(concordance(part, "t", "e", "z").first().c_index)
+        auc = {r.t: r.auc for r in td_auc_all_times(part, "t", "e", "z").collect()}
+        assert {t: a for (k, t), a in by_group["auc"].items() if k == g} == pytest.approx(auc)
+        scores = brier_all_times(part, m, "t", "e")
+        assert {t: b for (k, t), b in by_group["brier"].items() if k == g} == pytest.approx({r.t: r.brier for r in scores.collect()})
+        assert by_group["ibs"][g] == pytest.approx(integrated_brier(scores).first().ibs)
+    assert fits.transform(df.withColumn("g", F.lit("other"))).filter("lp IS NOT NULL").count() == 0
+
+
+def test_losses_alone_give_a_time_of_their_own(spark):
+    df = spark.createDataFrame([(1.0, 0, 5.0), (2.0, 1, 3.0), (3.0, 0, 1.0), (4.0, 1, 2.0), (5.0, 0, 4.0)], "t double, e int, z double")
+    assert [r.t for r in td_auc_all_times(df, "t", "e", "z").orderBy("t").collect()] == [2.0, 3.0, 4.0, 5.0]
+
+
+def test_mixed_folds_equal_models_of_the_other_folds(spark):
+    df = mixed_rows(spark, 8.0, n=45).withColumn("f", F.col("s") % 3)
+    folds = mixed_folds(df, "y", ["w", "x"], ["w"], "s", "f")
+    assert sorted(folds.models) == [0, 1, 2] and all(m.converged for m in folds.models.values())
+    one = mixed_model(df.filter("f <> 1"), "y", ["w", "x"], ["w"], "s")
+    assert folds.models[1].loglik == pytest.approx(one.loglik, abs=1e-3) and folds.models[1].coef == pytest.approx(one.coef, abs=1e-3)
+    got = {(r.s, r.w): (r.pred, r.own) for r in folds.predict(df).filter("f = 1").collect()}
+    left_out = df.filter("f = 1")
+    want = {(r.s, r.w): r.p for r in one.transform(left_out, "p").collect()}
+    own = {(r.s, r.w): r.p for r in one.transform(left_out, "p", True, left_out).collect()}
+    assert got.keys() == want.keys()
+    for at, (pred, mine) in got.items():
+        assert pred == pytest.approx(want[at], abs=1e-2) and mine == pytest.approx(own[at], abs=0.1)
+
+
+def test_a_vanishing_variance_converges(spark):
+    m = mixed_model(mixed_rows(spark, 0.0, n=40, seed=11), "y", ["w", "x"], ["w"], "s")
+    assert m.converged and m.iterations < 60
