@@ -193,11 +193,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     return learn_rules(table[names].to_numpy(dtype=float), table["label_value"].to_numpy() == 0, names, **options)
 
 
-def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """``docs`` with struct ``judged``: counts, ``base_failed``, ``rule`` (0: none) and ``kept``."""
-    counted = with_counts(docs, name="__counts").withColumn("__features", F.struct(*features("__counts")))
-    failed = base_failed("__counts")
-    rule = rules.verdict("__features")
-    out = F.struct(*[F.col(f"__counts.{c}") for c in COUNTS], failed.alias("base_failed"), rule.alias("rule"),
+def judge(docs: DataFrame, rules: DecisionList, name: str = "judged") -> DataFrame:
+    """``docs`` with struct ``name``: counts, ``base_failed``, ``rule`` (0: none) and ``kept``.
+
+    A null or empty text has counts of 0 and fails the base rules; repeated rows are judged alike; an empty table gives no
+    rows. Other columns, whatever their names, stay as they are; ``name`` must not be one of them.
+    """
+    if tx.unused(docs.columns, name) != name:
+        raise ValueError(f"there is a column {name} already")
+    counts = tx.unused(docs.columns, "counts")
+    values = tx.unused(docs.columns, "features")
+    counted = with_counts(docs, name=counts).withColumn(values, F.struct(*features(counts)))
+    failed = base_failed(counts)
+    rule = rules.verdict(values)
+    out = F.struct(*[F.col(f"`{counts}`.{c}") for c in COUNTS], failed.alias("base_failed"), rule.alias("rule"),
                    (~failed & (rule == 0)).alias("kept"))
-    return counted.withColumn("judged", out).drop("__counts", "__features")
+    return counted.withColumn(name, out).drop(counts, values)

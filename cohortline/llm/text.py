@@ -17,6 +17,14 @@ _STEP = 0xD1342543DE82EF95
 _CHUNK = 1 << 18
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def per_process(key: str, make):
     """A value made once in each Python worker process, such as a tokenizer."""
     store = sys.__dict__.setdefault("_llm_worker_state", {})

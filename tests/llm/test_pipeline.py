@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 import corpus_pipeline as pipeline
 from cohortline.llm.tokens import default_path
@@ -63,3 +64,29 @@ def test_null_and_repeated_rows(spark, data):
     for _, stage in pipeline.STAGES:
         none = stage(spark, none, data)
     assert none.count() == 0
+
+
+NAMES = ["judged", "counts", "features", "row", "Spans", "found", "key", "mark", "class_id", "copies", "contaminated", "__row", "__counts", "kept", "ids", "start"]
+
+
+def test_columns_of_any_name_come_through(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(40)
+    tail = " ".join(f"palabra{i}" for i in range(30_000))
+    long = spark.createDataFrame([(9001, tail, "en", "s", len(tail)), (9002, None, "en", "s", None), (9003, "", "en", "s", 0)], docs.schema)
+    wide = pipeline.materialize(docs.unionByName(long).selectExpr("*", *[f"concat('{n} ', doc_id) AS `{n}`" for n in NAMES]))
+    out = wide
+    for _, stage in pipeline.STAGES[:-1]:
+        out = pipeline.materialize(stage(spark, out, data))
+        assert out.schema == wide.schema
+    rows = out.collect()
+    assert len(rows) > 15 and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in NAMES)
+    assert not {9002, 9003} & {r.doc_id for r in rows}
+    assert pipeline.STAGES[-1][1](spark, out, data).count() >= len(rows)
+
+
+def test_judging_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, counts string")
+    rules = test_quality.quality.DecisionList([])
+    assert test_quality.quality.judge(docs, rules).first()["counts"] == "x"
+    with pytest.raises(ValueError):
+        test_quality.quality.judge(docs, rules, "counts")
