@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,24 +56,64 @@ def growth(measurements: DataFrame, key: str = "subject_id", value: str = "weigh
                        F.coalesce(change, F.lit(0.0)).alias("percent_increase"))
 
 
+def _numbered_groups(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the number ``_gid`` of each row's group, and the written table of groups."""
+    if not by:
+        return df.withColumn("_gid", F.lit(0).cast("long")), df.sparkSession.range(1).withColumnRenamed("id", "_gid")
+    groups = materialize(df.select(*by).distinct().withColumn("_gid", F.monotonically_increasing_id()))
+    return _join_by(df, groups, by), groups
+
+
+MOMENTS = ("n", "sa", "sb", "saa", "sbb", "sab")
+GROUPS_HELD = 256  # groups whose moments a task holds before it passes them on
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form, per group; null for a constant column.
 
-    Each row is unfolded into its pairs of columns, so the aggregation has three moments whatever
-    the number of columns; they are combined before the shuffle, which sees one row per pair.
+    The moments of all pairs of columns are products of matrices: each task multiplies its batches and passes on one row for
+    each pair and group, whatever its number of rows. Columns are shifted by their means first, so that the
+    moments are of the size of the spread; what is left of a variance below 1e-12 of its terms counts as none.
     """
-    by, pairs = list(by), list(combinations_with_replacement(range(len(cols)), 2))
-    x = [F.col(c).cast("double") for c in cols]
-    cells = [F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.when(x[j].isNotNull(), x[i]).alias("_a"),
-                      F.when(x[i].isNotNull(), x[j]).alias("_b")) for i, j in pairs]
-    long = df.select(*by, F.explode(F.array(*cells)).alias("_c")).select(*by, "_c.*")
-    r = F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b"))
-    half = long.groupBy(*by, "_i", "_j").agg(r.alias("r"))
+    by, cols, p = list(by), list(cols), len(cols)
+    rows, groups = _numbered_groups(df, by)
+    numbers = [F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
+    center = np.array([m or 0.0 for m in df.agg(*[F.avg(F.col(f"`{c}`").cast("double")) for c in cols]).first()])
+    first, second = np.triu_indices(p)
+
+    def moments(batches):
+        held: dict[int, np.ndarray] = {}
+
+        def out():
+            for g, t in held.items():
+                yield pd.DataFrame({"_gid": g, "_i": first.astype("int32"), "_j": second.astype("int32"),
+                                    **dict(zip(MOMENTS, t[:, first, second], strict=True))})
+            held.clear()
+
+        for pdf in batches:
+            for g, part in pdf.groupby("_gid", sort=False):
+                x = part[[f"x{i}" for i in range(p)]].to_numpy(float) - center
+                known = ~np.isnan(x)
+                x, known = np.where(known, x, 0.0), known.astype(float)
+                sums = x.T @ known
+                squares = (x * x).T @ known
+                held[g] = held.get(g, 0.0) + np.stack([known.T @ known, sums, sums.T, squares, squares.T, x.T @ x])
+            if len(held) > GROUPS_HELD:
+                yield from out()
+        yield from out()
+
+    part = rows.select("_gid", *numbers).mapInPandas(moments, "_gid long, _i int, _j int, " + ", ".join(f"{m} double" for m in MOMENTS))
+    t = part.groupBy("_gid", "_i", "_j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    spread = lambda q, s: F.when(F.col(q) - F.col(s) * F.col(s) / F.col("n") > F.col(q) * 1e-12,
+                                 F.col(q) - F.col(s) * F.col(s) / F.col("n"))
+    t = t.withColumn("n", F.when(F.col("n") > 0, F.col("n")))
+    r = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(spread("saa", "sa") * spread("sbb", "sb"))
     both = F.when(F.col("_i") == F.col("_j"), F.array(F.struct("_i", "_j"))).otherwise(
         F.array(F.struct("_i", "_j"), F.struct(F.col("_j").alias("_i"), F.col("_i").alias("_j"))))
-    names = F.lit(list(cols))
-    return half.select(*by, "r", F.explode(both).alias("_p")).select(
-        *by, names[F.col("_p._i")].alias("x"), names[F.col("_p._j")].alias("y"), "r")
+    names = F.lit(cols)
+    pairs = t.select("_gid", r.alias("r"), F.explode(both).alias("_p")).select(
+        "_gid", names[F.col("_p._i")].alias("x"), names[F.col("_p._j")].alias("y"), "r")
+    return pairs.join(groups, "_gid").select(*by, "x", "y", "r")
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -179,23 +220,45 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = (), width: float =
 def kde(df: DataFrame, value: str, by: Sequence[str] = (), grid: int = 200) -> DataFrame:
     """Gaussian kernel density per group on an even grid over the range of all data.
 
-    Scott's bandwidth per group; a group of one value, or without spread, has no bandwidth and null density. Rows are reduced to distinct values with counts; each of them
-    adds its kernel to the grid points, and the sums are combined inside the map tasks.
+    Scott's bandwidth per group; a group of one value, or without spread, has no bandwidth and null density. Rows are reduced to distinct values with counts; each task
+    adds their kernels to the points of the grid as arrays and passes on one array for each group.
     """
     by = list(by)
-    counts = value_counts(df, value, by)
-    mean = counts.groupBy(*by).agg(F.sum("n").alias("_size"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("_mean"))
+    counts, groups = _numbered_groups(materialize(value_counts(df, value, by)), by)
+    mean = counts.groupBy("_gid").agg(F.sum("n").alias("_size"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("_mean"))
     gap = F.col(value) - F.col("_mean")
-    stats = _join_by(counts, mean, by).groupBy(*by).agg(
+    stats = counts.join(mean, "_gid").groupBy("_gid").agg(
         F.max("_size").alias("_size"), F.sqrt(F.try_divide(F.sum(F.col("n") * gap * gap), F.max("_size") - 1)).alias("_sd"))
-    ends = counts.agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
-    rows = _join_by(_join_by(counts, stats, by), ends, [])
-    rows = (rows.withColumn("_h", F.col("_sd") * F.pow(F.col("_size"), F.lit(-0.2)))
-            .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))))
-    x = F.col("_min") + (F.col("_max") - F.col("_min")) * F.col("point") / F.lit(grid - 1)
-    u = F.try_divide(x - F.col(value), "_h")
-    kernel = F.when(F.col("_h") > 0, F.col("n") * F.exp(-0.5 * u * u) / (F.col("_size") * F.col("_h") * F.sqrt(2 * F.pi())))
-    return rows.groupBy(*by, "point").agg(F.max(x).alias("x"), F.sum(kernel).alias("density"))
+    stats = materialize(stats.select("_gid", F.when(F.col("_sd") > 0, F.col("_sd") * F.pow(F.col("_size"), F.lit(-0.2))).alias("_h"), "_size"))
+    low, high = counts.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    if low is None:
+        return groups.select(*by, F.lit(0).alias("point"), F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).limit(0)
+    points = low + (high - low) * np.arange(grid) / (grid - 1)
+
+    def kernels(batches):
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for g, part in pdf.groupby("_gid", sort=False):
+                v, n = part["v"].to_numpy(float), part["n"].to_numpy(float)
+                h = float(part["h"].iloc[0])
+                for a in range(0, len(v), 4096):
+                    u = (points[:, None] - v[None, a:a + 4096]) / h
+                    held[g] = held.get(g, 0.0) + np.exp(-0.5 * u * u) @ n[a:a + 4096]
+            if len(held) > GROUPS_HELD:
+                yield pd.DataFrame({"_gid": list(held), "_sums": list(held.values())})
+                held.clear()
+        yield pd.DataFrame({"_gid": list(held), "_sums": list(held.values())})
+
+    spread = counts.join(stats.where("_h IS NOT NULL"), "_gid").select("_gid", F.col(value).cast("double").alias("v"), "n", F.col("_h").alias("h"))
+    part = spread.mapInPandas(kernels, "_gid long, _sums array<double>")
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    zero = F.array_repeat(F.lit(0.0), grid)
+    sums = part.groupBy("_gid").agg(F.aggregate(F.collect_list("_sums"), zero, add).alias("_sums"))  # a row for each task
+    at = F.posexplode(F.coalesce("_sums", F.array_repeat(F.lit(None).cast("double"), grid))).alias("point", "_sum")
+    density = F.col("_sum") / (F.col("_size") * F.col("_h") * F.sqrt(2 * F.pi()))
+    x = F.lit(low) + F.lit(high - low) * F.col("point") / F.lit(grid - 1)
+    return (stats.join(sums, "_gid", "left").select("_gid", "_size", "_h", at)
+            .join(groups, "_gid").select(*by, "point", x.alias("x"), density.alias("density")))
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

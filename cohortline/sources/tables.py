@@ -23,6 +23,13 @@ MEASUREMENT_SCHEMA = T.StructType(
         "expected_date", "actual_date", "weight", "rbg", "weight percentile", "diet", "next_diet",
         "pregnant_days", "measurement_notes", "Plasma", "LN2", "RNAlater")])
 
+# Ten columns on the litter, then the twelve of the litter readings, which are taken by position.
+BREEDING_SCHEMA = T.StructType(
+    [T.StructField("breeding_ID", T.LongType())]
+    + [T.StructField(c, T.StringType()) for c in (
+        "mother", "father", "mating_date", "pups_born", "weaned_date", "maternal_onset", "paternal_onset", "notes", "cage",
+        *[f"d{day}_{what}" for day in (0, 7, 14, 21) for what in ("date", "count", "weight")])])
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str | None = None,
                drop_index: bool = False) -> DataFrame:
