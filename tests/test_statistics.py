@@ -126,3 +126,37 @@ def test_tails_of_few_degrees_of_freedom(spark):
     v = np.linspace(0, math.sqrt(2.7), 20_001)  # with x = v * v the density has no singularity
     f = 2 * v ** 1.7 * np.exp(-v * v / 2) / (2 ** 1.35 * math.gamma(1.35))
     assert chi == pytest.approx(1 - np.trapezoid(f, v), abs=1e-7)
+
+
+def test_correlations_of_many_columns(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(1000, 1, (120, 40)) + r.normal(0, 1, (120, 1))
+    x[r.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 5.0
+    names = [f"c{i}" for i in range(40)]
+    rows = [("ab"[i % 2], *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{n} double" for n in names))
+    got = {(q.g, q.x, q.y): q.r for q in stats.corr_matrix(df, names, ("g",)).collect()}
+    assert len(got) == 2 * 40 * 40
+    for g in range(2):
+        part = x[g::2]
+        for i, j in ((0, 1), (3, 3), (12, 30), (39, 2)):
+            known = ~np.isnan(part[:, i]) & ~np.isnan(part[:, j])
+            assert got["ab"[g], f"c{i}", f"c{j}"] == pytest.approx(np.corrcoef(part[known, i], part[known, j])[0, 1], abs=1e-9)
+        assert got["ab"[g], "c7", "c1"] is None
+    assert stats.corr_matrix(df.limit(0), names[:2]).filter("r IS NOT NULL").count() == 0
+
+
+def test_density_rows_do_not_depend_on_the_grid(spark):
+    values = [("a", float(v)) for v in np.random.default_rng(4).normal(0, 2, 300).round(2)] + [("b", 1.0), ("b", 1.0), (None, 0.5), (None, 2.5)]
+    df = spark.createDataFrame(values, "g string, v double")
+    got = {(q.g, q.point): (q.x, q.density) for q in stats.kde(df, "v", ("g",), grid=31).collect()}
+    v = np.array([x for g, x in values if g == "a"])
+    h = v.std(ddof=1) * len(v) ** -0.2
+    low, high = min(x for _, x in values), max(x for _, x in values)
+    for i in (0, 10, 30):
+        at = low + (high - low) * i / 30
+        want = np.exp(-0.5 * ((at - v) / h) ** 2).sum() / (len(v) * h * np.sqrt(2 * np.pi))
+        assert got["a", i] == pytest.approx((at, want))
+    assert got["b", 3][1] is None and got[None, 3][1] > 0 and len(got) == 3 * 31
+    assert stats.kde(df.limit(0), "v", ("g",), grid=5).count() == 0
