@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortline.operators import survival
+from cohortline.operators.folds import FOLD_SEED, fold_by_subject
 from cohortline.operators.mixed import mixed_folds, mixed_model
 from cohortline.catalog.statistics import with_litter_size
+from cohortline.plans.joint import cross_validate_survival
 from cohortline.operators.survival import (
     DIRECT_TERMS, _with_tied_sums, brier, brier_all_times, censoring_curve, concordance, cox_fits, cox_ph, integrated_brier, td_auc, td_auc_all_times)
 
@@ -244,3 +246,30 @@ def test_mixed_folds_equal_models_of_the_other_folds(spark):
 def test_a_vanishing_variance_converges(spark):
     m = mixed_model(mixed_rows(spark, 0.0, n=40, seed=11), "y", ["w", "x"], ["w"], "s")
     assert m.converged and m.iterations < 60
+
+
+def test_cross_validation_scores_each_fold_under_the_models_of_the_others(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for s in range(80):
+        sex, diet, u = "MF"[s % 2], ("Rod", "Rab")[s % 3 == 0], rng.normal(0, 6)
+        time, event = float(rng.integers(2, 9)) + 3 * (diet == "Rod"), int(rng.random() < 0.7)
+        for week in range(4):
+            weight = float(rng.normal(40, 5))
+            rows.append((s, week * 4, weight, float(120 + week + 0.5 * weight + u + rng.normal(0, 3)), sex, diet, event, time))
+    df = spark.createDataFrame(rows, "subject_id int, week int, weight double, rbg double, sex string, diet string, event int, event_time double")
+    got = {r.fold: r for r in cross_validate_survival(df, k=2).collect()}
+    assert sorted(got) == [1, 2] and all(r.mixed_converged and r.cox_converged for r in got.values())
+    coded = fold_by_subject(df.withColumns({"sex": F.when(F.col("sex") == "M", 1.0).otherwise(0.0), "diet": F.when(F.col("diet") == "Rod", 1.0).otherwise(0.0)}),
+                            "subject_id", 2, FOLD_SEED, "fold").persist()
+    for fold in (0, 1):
+        train, test = coded.filter(F.col("fold") != fold), coded.filter(F.col("fold") == fold)
+        one = {"train": train.filter("week = 0"), "test": test.filter("week = 0")}
+        cox = cox_ph(one["train"], "event_time", "event", ["sex", "diet"])
+        scored = cox.transform(one["test"])
+        r = got[fold + 1]
+        assert r.c_index == pytest.approx(concordance(scored, "event_time", "event", "lp").first().c_index)
+        assert r.integrated_brier == pytest.approx(integrated_brier(brier_all_times(one["test"], cox, "event_time", "event")).first().ibs)
+        mixed = mixed_model(train, "rbg", ["weight", "week", "sex", "diet"], ["weight", "week"], "subject_id")
+        error = mixed.transform(test, "p").select(F.sqrt(F.avg(F.pow(F.col("rbg") - F.col("p"), 2)))).first()[0]
+        assert r.rmse == pytest.approx(error, abs=0.05) and r.own_rmse < r.rmse
