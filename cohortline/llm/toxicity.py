@@ -4,8 +4,8 @@ Terms are lower-cased (A-Z) runs of letters, digits and characters beyond ASCII,
 sample of the labelled rows, stratified by label, and all their terms are kept. Terms that no example has count in the length of
 a text's vector. Document frequencies are counted over all documents. TF-IDF weights are multiplied by the dependence of a term's
 presence on the label, a factor between 0.02 and 1, so that no term is left out. The examples' vectors form an inverted index whose lists
-are cut into blocks of examples with the largest weight of each: the bounds of all blocks come from one sum, blocks
-are scored from the highest bound down, and the search ends when no block can hold a closer example. The ``k`` nearest vote
+are cut into blocks of examples with the largest weight of each. Telling lists are added first; the search ends when the bounds of
+the rest, by term, by length and by block, leave so few examples that comparing them as vectors is cheaper. The ``k`` nearest vote
 with the square of their cosine; a logistic curve, fitted to the votes that each example gets from the
 others, turns votes into probabilities. Votes and curve weigh each label by its share of all labelled rows.
 
@@ -16,6 +16,7 @@ keys; null labels or keys are not used for learning.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ from cohortline.llm import text as tx
 
 
 LEAST, HALF = 0.02, 12.5
+ROWS_HELD = 512  # of the longest lists, 8 bytes for each example
 
 
 def terms(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,41 +59,96 @@ class Index:
         t = np.concatenate([np.zeros(0, np.int64), *[ts for ts, _ in rows]]).astype(np.int64)
         e = np.repeat(np.arange(len(rows), dtype=np.int32), [len(ts) for ts, _ in rows])
         w = np.concatenate([np.zeros(0), *[ws for _, ws in rows]])
+        self.row_term, self.row_weight = t.astype(np.int32), w  # the vectors themselves, for exact cosines
+        self.rows = np.concatenate([[0], np.cumsum([len(ts) for ts, _ in rows], dtype=np.int64)])
         order = np.argsort(t, kind="stable")  # of a term, examples stay in order
         t, self.example, self.weight = t[order], e[order], w[order]
         lists = t * self.blocks + self.example // block
         first = np.flatnonzero(np.diff(lists, prepend=-1))
-        self.entries = np.append(first, len(t))  # bounds of the entries of each list
         self.at = (lists[first] % self.blocks).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.lists = np.searchsorted(lists[first], np.arange(n_terms + 1) * self.blocks)  # bounds of the lists of each term
-
-    def nearest(self, ts: np.ndarray, ws: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the ``k`` nearest with a cosine above 0; of equal ones, the first."""
-        chosen, owner = _ranges(self.lists[ts], self.lists[ts + 1])
-        w, at = ws[owner], self.at[chosen]
-        bound = np.bincount(at, w * self.most[chosen], self.blocks)
-        ids, cosines = np.zeros(0, np.int64), np.zeros(0)
-        best, done, step = np.argsort(-bound, kind="stable"), 0, 8
-        while done < self.blocks:
-            now = best[done:done + step]
-            now = now[(bound[now] > 0) & ((len(ids) < k) | (bound[now] >= (cosines[-1] if len(ids) else 0) - 1e-9))]
-            if not len(now):
+        self.entries = np.append(first, len(t))[self.lists]  # bounds of the entries of each term
+        self.top = np.zeros(n_terms)
+        np.maximum.at(self.top, t, self.weight)
+        self.asked = np.zeros(n_terms)  # weights of the vector that is asked for, 0 between calls
+        # the longest lists are held as rows over all examples, which are added faster than entries
+        size = np.diff(self.entries)
+        long = np.argsort(-size, kind="stable")[:ROWS_HELD]
+        long = long[size[long] > self.n / 16]
+        self.slot = np.full(n_terms, -1, dtype=np.int32)
+        self.slot[long] = np.arange(len(long))
+        self.dense = np.zeros((len(long), self.n))
+        for i, t in enumerate(long.tolist()):
+            here = slice(self.entries[t], self.entries[t + 1])
+            self.dense[i, self.example[here]] = self.weight[here]
+
+    def bases(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the rows of the longest lists give to all examples, for several vectors: a product of matrices."""
+        asked = np.zeros((len(vectors), len(self.dense)))
+        for i, (ts, ws) in enumerate(vectors):
+            slot = self.slot[ts]
+            asked[i, slot[slot >= 0]] = ws[slot >= 0]
+        return asked @ self.dense
+
+    def nearest(self, ts: np.ndarray, ws: np.ndarray, k: int, without: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines of the ``k`` nearest with a cosine above 0; of equal ones, the first. ``base`` is the row of :meth:`bases`.
+
+        Lists are added by the most they can give, those of rare and telling terms first. What the others can still give bounds
+        all examples, by their maxima, by the length of what is left of the vector, and by block; those that cannot reach
+        the k-th sum so far drop out. When comparing the rest as vectors is cheaper than the lists to come, that ends the search.
+        """
+        whole = ts, ws
+        scores = (self.bases([(ts, ws)])[0] if base is None else base).copy()
+        gives = np.where(self.slot[ts] < 0, ws * self.top[ts], 0.0)
+        order = np.argsort(-gives, kind="stable")[:int((gives > 0).sum())]
+        ts, ws, gives = ts[order], ws[order], gives[order]
+        start, stop = self.entries[ts], self.entries[ts + 1]
+        cost = np.concatenate([[0], np.cumsum(stop - start)])
+        rest = np.minimum(np.cumsum(gives[::-1])[::-1], np.sqrt(np.cumsum((ws * ws)[::-1])[::-1]))
+        done, step, left = 0, 4096, np.zeros(0, dtype=np.int64)
+        while done < len(ts):
+            to = max(done + 1, min(len(ts), int(np.searchsorted(cost, cost[done] + step, side="right")) - 1))
+            entry, of = _ranges(start[done:to], stop[done:to])
+            scores += np.bincount(self.example[entry], ws[done:to][of] * self.weight[entry], self.n)
+            done, step = to, step * 4
+            to_come = cost[-1] - cost[done]
+            if done == len(ts) or to_come < self.n or self.n <= k:
+                continue
+            if without >= 0:
+                scores[without] = -1.0
+            least = np.partition(scores, -k)[-k] - 2e-9  # ties of rounded cosines stay in
+            if rest[done] >= least:
+                continue
+            left = np.flatnonzero(scores + rest[done] >= least)
+            if len(left) * self.rows[-1] > to_come * self.n:
+                chosen, owner = _ranges(self.lists[ts[done:]], self.lists[ts[done:] + 1])
+                block = np.bincount(self.at[chosen], ws[done:][owner] * self.most[chosen], self.blocks)
+                left = left[scores[left] + block[left // self.block] >= least]
+            if len(left) * self.rows[-1] <= to_come * self.n:
                 break
-            done, step = done + step, 4 * step
-            wanted = np.zeros(self.blocks, dtype=bool)
-            wanted[now] = True
-            use = np.flatnonzero(wanted[at])
-            entry, of = _ranges(self.entries[chosen[use]], self.entries[chosen[use] + 1])
-            scores = np.bincount(self.example[entry], w[use][of] * self.weight[entry], self.n)
-            here = np.flatnonzero(scores > 1e-12)
-            here = here[here != without]
-            if len(here) > 4 * k:  # ties of rounded cosines stay in
-                here = here[scores[here] >= np.partition(scores[here], -k)[-k] - 1e-8]
-            ids, cosines = np.concatenate([ids, here]), np.concatenate([cosines, scores[here]])
-            order = np.lexsort((ids, -np.round(cosines, 9)))[:k]
-            ids, cosines = ids[order], cosines[order]
-        return ids, cosines
+        if without >= 0:
+            scores[without] = -1.0
+        if done == len(ts):
+            ids = np.flatnonzero(scores > 1e-12)
+            if len(ids) > 4 * k:
+                ids = ids[scores[ids] >= np.partition(scores[ids], -k)[-k] - 1e-8]
+            cosines = scores[ids]
+        else:
+            entry, of = _ranges(self.rows[left], self.rows[left + 1])
+            self.asked[whole[0]] = whole[1]
+            cosines = np.bincount(of, self.asked[self.row_term[entry]] * self.row_weight[entry], len(left))
+            self.asked[whole[0]] = 0.0
+            ids, cosines = left[cosines > 1e-12], cosines[cosines > 1e-12]
+        order = np.lexsort((ids, -np.round(cosines, 9)))[:k]
+        return ids[order], cosines[order]
+
+    def many(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without_own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`nearest` of each vector; ``without_own``: they are the examples, and none is its own neighbour."""
+        for a in range(0, len(vectors), 128):
+            part = vectors[a:a + 128]
+            for i, ((ts, ws), base) in enumerate(zip(part, self.bases(part), strict=True), a):
+                yield self.nearest(ts, ws, k, i if without_own else -1, base)
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,17 +188,26 @@ class Model:
                  names: list[str], k: int):
         self.vocabulary, self.factor, self.unknown = vocabulary, factor, unknown
         self.labels, self.weights, self.names, self.k = labels, weights, names, k
+        self.mark = uuid.uuid4().hex
         self.rows = [self.vector(t, n) for t, n in rows]
         self.curve = None
         self.share = float((labels * weights).sum() / weights.sum()) if len(labels) else 0.0
         if 0 < self.share < 1:
             index = self.index()
-            own = np.array([votes(labels, *index.nearest(t, w, k, i), weights) for i, (t, w) in enumerate(self.rows)])
+            own = np.array([votes(labels, ids, cosines, weights) for ids, cosines in index.many(self.rows, k, True)])
             self.curve = logistic(own, labels, weights)
 
     def index(self) -> Index:
         return Index(self.rows, len(self.factor))
 
+    def kept_index(self) -> Index:
+        """The index, made once in each worker process; that of an earlier model is let go."""
+        held = tx.per_process("toxicity index", dict)
+        if self.mark not in held:
+            held.clear()
+            held[self.mark] = self.index()
+        return held[self.mark]
+
     def vector(self, ts: np.ndarray, times: np.ndarray, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Weights of the known terms in a vector of length 1, which also has the ``others``: how often each unknown term occurs."""
         w = (1 + np.log(np.asarray(times, dtype=float))) * self.factor[ts]
@@ -149,13 +215,18 @@ class Model:
         norm = np.sqrt((w * w).sum() + rest)
         return np.asarray(ts), w / norm if norm else w
 
-    def score(self, index: Index, hashes: np.ndarray, times: np.ndarray):
+    def scores(self, index: Index, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Probability, nearest examples and their cosines of each text, given by its terms."""
         if self.curve is None:
-            return self.share, np.zeros(0, np.int64), np.zeros(0)
-        at, known = places(self.vocabulary, hashes)
-        ids, cosines = index.nearest(*self.vector(at[known], times[known], times[~known]), self.k)
+            yield from ((self.share, np.zeros(0, np.int64), np.zeros(0)) for _ in texts)
+            return
+        vectors = []
+        for hashes, times in texts:
+            at, known = places(self.vocabulary, hashes)
+            vectors.append(self.vector(at[known], times[known], times[~known]))
         a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * votes(self.labels, ids, cosines, self.weights) + b)))), ids, cosines
+        for ids, cosines in index.many(vectors, self.k):
+            yield float(1 / (1 + np.exp(-(a * votes(self.labels, ids, cosines, self.weights) + b)))), ids, cosines
 
 
 def dependence(with_term: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
@@ -261,13 +332,13 @@ def scored(docs: DataFrame, labels: DataFrame, usable: Callable[[Column], Column
     @F.arrow_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(near))]))
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model.value
-        index = m.index()
+        index = m.kept_index()
         for column in batches:
             scores, evidence = [], []
-            for data in tx.text_bytes(column):
-                p, ids, cosines = m.score(index, *terms(data))
-                scores.append(p)
-                evidence.append([{"example": m.names[i], "label": int(m.labels[i]), "cosine": float(c)} for i, c in zip(ids[:3], cosines[:3], strict=True)])
+            for a in range(0, len(column), 512):
+                for p, ids, cosines in m.scores(index, [terms(data) for data in tx.text_bytes(column.slice(a, 512))]):
+                    scores.append(p)
+                    evidence.append([{"example": m.names[i], "label": int(m.labels[i]), "cosine": float(c)} for i, c in zip(ids[:3], cosines[:3], strict=True)])
             yield pa.StructArray.from_arrays(
                 [pa.array(scores, pa.float64()),
                  pa.array(evidence, pa.list_(pa.struct([("example", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())])))],

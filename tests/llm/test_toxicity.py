@@ -30,6 +30,28 @@ def test_index_finds_the_nearest():
         assert ids.tolist() == want and np.allclose(found, cosines[want])
 
 
+def test_long_lists_and_early_ends_change_nothing():
+    """Examples with frequent and rare terms: some searches end early, most lists of frequent terms are held as rows."""
+    r = np.random.default_rng(8)
+    n, words = 3000, 2500
+    rows = []
+    for i in range(n):
+        t = np.unique(r.zipf(1.15, int(r.integers(1, 120))) % words)
+        w = r.random(len(t)) * np.where(t < 20, 0.05, 1.0) * np.where(t % 97 == 1, 20.0, 1.0)
+        rows.append((t, w / np.sqrt((w * w).sum())))
+    dense = np.zeros((n, words))
+    for i, (t, w) in enumerate(rows):
+        dense[i, t] = w
+    index = toxicity.Index(rows, words)
+    assert 5 < len(index.dense) < 512
+    for without_own, asked in ((True, rows[:200]), (False, rows[500:700])):
+        for i, ((t, w), (ids, found)) in enumerate(zip(asked, index.many(asked, 15, without_own), strict=True)):
+            cosines = dense[:, t] @ w
+            want = [e for e in np.lexsort((np.arange(n), -np.round(cosines, 9))) if cosines[e] > 1e-12 and not (without_own and e == i)][:15]
+            assert ids.tolist() == want and np.allclose(found, cosines[want])
+    assert not index.asked.any()
+
+
 def corpus(n=900):
     r = np.random.default_rng(6)
     docs, labels = [], []
