@@ -75,7 +75,10 @@ def _positions(docs: DataFrame, shingles: DataFrame, sizes: list[int], window: i
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text",
                   item_key: str = "item_id", item_text: str = "text", block: int = 1_000_000) -> DataFrame:
     """One row per document: ``key``, ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``items`` (sorted ids
-    of the items with occurring windows) and ``contaminated``."""
+    of the items with occurring windows) and ``contaminated``.
+
+    An empty table of documents gives no rows, one of items no hits; other columns are not read. A text is read whole by one task.
+    """
     windows = materialize(item_windows(items, window, item_key, item_text))
     runs = windows.select(F.explode("runs").alias("shingle")).distinct()
     sizes = [r[0] for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()] or [SHINGLE]

@@ -209,7 +209,10 @@ _WHITE = {c: " " for c in (9, 10, 11, 12, 13)}
 
 
 def without_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``key``, ``n_words``, ``n_removed`` and ``kept_sha256`` of the words left, joined by spaces."""
+    """One row per document: ``key``, ``n_words``, ``n_removed`` and ``kept_sha256`` of the words left, joined by spaces.
+
+    An empty table gives no rows; other columns are not read. A text is judged whole, and its words are held by one task.
+    """
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.unhex(F.md5(F.col("text").cast("binary"))))
     surveyed = materialize(_surveyed(rows, window))

@@ -109,7 +109,11 @@ def _joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = 300) -> DataFrame:
     """One row per document: ``key``, and ``spans``: structs ``start, kind, stop, before`` in order, where ``before`` is the
-    last end of the spans before it."""
+    last end of the spans before it.
+
+    A null or empty text has no spans; rows with null or repeated keys stay rows of their own; an empty table gives no rows; other
+    columns are not read. A text is scanned whole, and its spans are one row.
+    """
     found = materialize(find_parts(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")))
                         .select("key", "parts").withColumn("row", F.monotonically_increasing_id()))
     spans = link(materialize(positions(found.where(F.size("parts") > 0))), scope)

@@ -214,7 +214,10 @@ def _boundaries(chunk: str) -> tuple[int, int]:
 
 
 def counted(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """One row per document: ``key``, ``n_bytes``, ``n_tokens``."""
+    """One row per document: ``key``, ``n_bytes``, ``n_tokens``.
+
+    An empty table gives no rows; other columns are not read. A long text is cut into chunks of about ``chunk`` characters.
+    """
 
     @F.arrow_udf(T.StructType([T.StructField("head", T.StringType()), T.StructField("inner", T.LongType()), T.StructField("tail", T.StringType())]))
     def mapped(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:
