@@ -15,7 +15,7 @@ from cohortline.operators.evaluate import regression_error
 from cohortline.operators.incidence import incidence_by_diet
 from cohortline.operators.folds import fold_by_subject
 from cohortline.operators.panel import pivot_weeks
-from cohortline.operators.mixed import mixed_model
+from cohortline.operators.mixed import mixed_model, subject_likelihoods
 from cohortline.operators.survival import (
     brier, brier_all_times, censoring_curve, concordance, cox_fits, cox_ph, integrated_brier, risk_sets, subject_rows, td_auc, td_auc_all_times)
 from cohortline.session import materialize
@@ -539,16 +539,46 @@ def x11(spark, d):
     return model.transform(rows, with_random=True).groupBy("subject_id").agg(F.avg("rbg").alias("rbg"), F.avg("pred").alias("pred"))
 
 
-@query("x11_longitudinal_cohort", f"""
-WITH {_EV300}, r AS (SELECT subject_id, week - 4 AS week, weight, rbg, m.diet, ev.sex, event, event_time, nursing_diet
+_COHORT = f"""{_EV300}, r AS (SELECT subject_id, week - 4 AS week, weight, rbg, m.diet, ev.sex, event, event_time, nursing_diet
   FROM fx_measurement m JOIN ev USING (subject_id) WHERE overall_diet = 'Rod' AND nursing_diet IN ('Rab', 'Rod')
-  AND weight IS NOT NULL AND rbg IS NOT NULL AND event_time IS NOT NULL)
-SELECT subject_id, week, weight, rbg, sex, event, event_time, nursing_diet AS diet FROM r
-WHERE subject_id IN (SELECT subject_id FROM r GROUP BY 1 HAVING COUNT(*) > 1) AND diet IN ('Rod', 'Rab')""")
+  AND weight IS NOT NULL AND rbg IS NOT NULL AND event_time IS NOT NULL),
+lc AS (SELECT subject_id, week, weight, rbg, sex, event, event_time, nursing_diet AS diet FROM r
+  WHERE subject_id IN (SELECT subject_id FROM r GROUP BY 1 HAVING COUNT(*) > 1) AND diet IN ('Rod', 'Rab'))"""
+
+
+@query("x11_longitudinal_cohort", f"WITH {_COHORT} SELECT * FROM lc")
 def x11b(spark, d):
     return longitudinal_cohort(*_long_events(spark, d))
 
 
+# Intercept, weight and week; variances of their effects of each subject; residual variance. Round numbers near a fit.
+_AT = {"coef": (150.0, 2.0, 1.0), "variances": (400.0, 0.5, 0.25), "sigma2": 2500.0}
+
+
+def _likelihood_sql() -> str:
+    """The likelihood of each subject in closed form: inverse and determinant of its matrix of three rows."""
+    (b0, b1, b2), (v0, v1, v2), s2 = _AT["coef"], _AT["variances"], _AT["sigma2"]
+    return f"""
+WITH {_COHORT},
+z AS (SELECT subject_id, 1.0::DOUBLE AS one, weight::DOUBLE AS x, week::DOUBLE AS w,
+  rbg::DOUBLE - {b0} - {b1}::DOUBLE * weight - {b2}::DOUBLE * week AS e FROM lc),
+s AS (SELECT subject_id, COUNT(*) AS n, SUM(one) + {s2 / v0}::DOUBLE AS a, SUM(x) AS b, SUM(w) AS c, SUM(x * x) + {s2 / v1}::DOUBLE AS d,
+  SUM(x * w) AS f, SUM(w * w) + {s2 / v2}::DOUBLE AS g, SUM(e) AS p, SUM(x * e) AS q, SUM(w * e) AS r, SUM(e * e) AS ee FROM z GROUP BY 1),
+t AS (SELECT *, a * (d * g - f * f) - b * (b * g - c * f) + c * (b * f - c * d) AS det,
+  p * p * (d * g - f * f) + q * q * (a * g - c * c) + r * r * (a * d - b * b)
+  + 2 * (p * q * (c * f - b * g) + p * r * (b * f - c * d) + q * r * (b * c - a * f)) AS adj FROM s)
+SELECT subject_id, n, ROUND(-0.5 * (n * LN(2 * PI()) + (n - 3) * LN({s2}::DOUBLE) + LN({v0 * v1 * v2}::DOUBLE) + LN(det) + (ee - adj / det) / {s2}::DOUBLE), 4)
+  AS loglik FROM t"""
+
+
+@query("x10_subject_likelihoods", _likelihood_sql(), digits=4)
+def x10b(spark, d):
+    """The likelihood that the mixed model maximises, of each subject at stated parameters."""
+    diagonal = [[v if i == j else 0.0 for j in range(3)] for i, v in enumerate(_AT["variances"])]
+    return subject_likelihoods(longitudinal_cohort(*_long_events(spark, d)), "rbg", ("weight", "week"), ("weight", "week"), "subject_id",
+                               _AT["coef"], diagonal, _AT["sigma2"])
+
+
 @query("x12_regression_error", """
 SELECT diet, ROUND(SQRT(AVG(POWER(rbg - weight, 2))), 6) AS rmse, ROUND(AVG(ABS(rbg - weight)), 6) AS mae
 FROM fx_measurement GROUP BY diet""")

@@ -167,7 +167,7 @@ def _sums(m: np.ndarray, zi: np.ndarray, p: int, beta: np.ndarray, d: np.ndarray
     zvr = (zr - (zz @ b[:, :, None])[:, :, 0]) / s2
     zv2z = keep.transpose(0, 2, 1) @ zz @ keep / s2 ** 2
     return {
-        "ll": ll.sum(), "subjects": len(m),
+        "ll": ll.sum(), "each": ll, "subjects": len(m),
         "gx": (xx - xz @ a @ xz.transpose(0, 2, 1)).sum(0) / s2,
         "gy": (xy - (xz @ (a @ zy[:, :, None]))[:, :, 0]).sum(0) / s2,
         "second": b.T @ b + s2 * a.sum(0), "resid": fit.sum() + s2 * tr1.sum(),
@@ -319,6 +319,25 @@ def mixed_model(df: DataFrame, y: str, fixed: Sequence[str], random: Sequence[st
     return _fit(materialize(products.withColumn("_model", F.lit(0))), "_model", scales, y, fixed, random, group, max_iter, tol, floor)[0]
 
 
+def subject_likelihoods(df: DataFrame, y: str, fixed: Sequence[str], random: Sequence[str], group: str,
+                        coef: Sequence[float], covariance: Sequence[Sequence[float]], sigma2: float) -> DataFrame:
+    """Log-likelihood and number of complete rows of each subject at given parameters, on the original scale.
+
+    ``coef`` begins with the intercept, ``covariance`` is of the intercept and the ``random`` columns.
+    """
+    fixed, p = list(fixed), len(fixed) + 1
+    zi, beta, d = _random_index(fixed, random), np.array(coef, dtype=float), np.array(covariance, dtype=float)
+    products = _products(df, y, fixed, [group], [0.0] * (p - 1), [1.0] * (p - 1), 0.0, 1.0)
+
+    def worth(batches):
+        for pdf in batches:
+            m = _matrices(pdf, p)
+            yield pd.DataFrame({group: pdf[group].to_numpy(), "n": m[:, 0, 0].astype(np.int64), "loglik": _sums(m, zi, p, beta, d, sigma2)["each"]})
+
+    kind = products.schema[group].dataType.simpleString()
+    return products.mapInPandas(worth, f"`{group}` {kind}, n long, loglik double")
+
+
 @dataclass
 class MixedFolds:
     """Models that each leave out one fold of the subjects."""

@@ -46,10 +46,36 @@ def stack_pivots(df: DataFrame, key: str, weeks: Sequence[int], measures: Sequen
 def wide_export(measurements: DataFrame, subjects: DataFrame, ids: DataFrame, key: str,
                 weeks: Sequence[int] = tuple(range(4, 84, 4)), measures: Sequence[str] = ("weight", "rbg", "diet"),
                 subject_cols: Sequence[str] = ("birth_date", "rbg200")) -> DataFrame:
-    """Subject columns and every measure by week, for the subjects of an id list."""
+    """Subject columns and every measure by week, for the subjects of an id list.
+
+    Text measures are pivoted as numbers and read back after, so that the pivot is a hash aggregate.
+    """
     rows = measurements.join(ids.select(key), key, "left_semi")
+    rows, texts = _coded(rows.select(key, "week", *measures), measures)
     wide = pivot_weeks(rows, key, weeks, {m: m for m in measures})
-    return subjects.select(key, *subject_cols).join(wide, key)
+    decoded = {f"{m}{w}": F.get(F.array(*[F.lit(t) for t in found]), F.col(f"{m}{w}")) if found else F.lit(None).cast("string")
+               for m, found in texts.items() for w in weeks}
+    return subjects.select(key, *subject_cols).join(wide.withColumns(decoded) if decoded else wide, key)
+
+
+CATEGORIES = 1000  # most different texts of a measure that are coded
+
+
+def _coded(rows: DataFrame, measures: Sequence[str]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Text measures as whole numbers in the order of the texts, and the texts of each.
+
+    A maximum of numbers is kept in a hash aggregate, one of texts needs sorted rows. A measure of more than ``CATEGORIES``
+    texts stays as it is.
+    """
+    texts = {}
+    for m in measures:
+        if rows.schema[m].dataType.simpleString() == "string":
+            found = [r[0] for r in rows.select(m).dropna().distinct().limit(CATEGORIES + 1).collect()]  # bounded
+            if len(found) <= CATEGORIES:
+                texts[m] = sorted(found, key=str.encode)
+    codes = {m: F.try_element_at(F.create_map(*[x for i, t in enumerate(found) for x in (F.lit(t), F.lit(i))]), F.col(m))
+             if found else F.lit(None).cast("int") for m, found in texts.items()}
+    return rows.withColumns(codes) if codes else rows, texts
 
 
 def pivot_result(df: DataFrame, index: Sequence[str], column: str, values: Sequence, value: str,

@@ -124,3 +124,19 @@ def test_tables_of_a_folder(spark, tmp_path):
         spark.range(10).repartition(3).write.parquet(f"{tmp_path}/{name}")
     spark.range(1).toPandas().to_parquet(f"{tmp_path}/c.parquet")
     assert sorted(r.table_name for r in T.list_tables(spark, str(tmp_path)).collect()) == ["a", "b", "c"]
+
+
+def test_wide_export_of_texts(spark, monkeypatch):
+    from cohortline.operators import panel
+
+    rows = [("a", 4, 1.0, "Rod"), ("a", 8, 2.0, None), ("b", 4, None, "Éa"), ("b", 8, 3.0, ""), ("c", 4, 4.0, "Rod")]
+    df = spark.createDataFrame(rows, "id string, week int, w double, diet string")
+    subjects = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, birth int")
+    for most in (1000, 2):
+        monkeypatch.setattr(panel, "CATEGORIES", most)
+        out = wide_export(df, subjects, df.select("id").distinct(), "id", (4, 8), ("w", "diet"), ("birth",))
+        assert sorted(map(tuple, out.collect())) == [("a", 1, 1.0, 2.0, "Rod", None), ("b", 2, None, 3.0, "Éa", ""), ("c", 3, 4.0, None, "Rod", None)]
+        assert ("SortAggregate" in out._jdf.queryExecution().executedPlan().toString()) == (most == 2)
+    none = df.filter("false")
+    monkeypatch.setattr(panel, "CATEGORIES", 1000)
+    assert wide_export(none, subjects, df.select("id"), "id", (4, 8), ("w", "diet"), ("birth",)).collect() == []

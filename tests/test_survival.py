@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortline.operators import survival
 from cohortline.operators.folds import FOLD_SEED, fold_by_subject
-from cohortline.operators.mixed import mixed_folds, mixed_model
+from cohortline.operators.mixed import mixed_folds, mixed_model, subject_likelihoods
 from cohortline.catalog.statistics import with_litter_size
 from cohortline.plans.joint import cross_validate_survival
 from cohortline.operators.survival import (
@@ -273,3 +273,27 @@ def test_cross_validation_scores_each_fold_under_the_models_of_the_others(spark)
         mixed = mixed_model(train, "rbg", ["weight", "week", "sex", "diet"], ["weight", "week"], "subject_id")
         error = mixed.transform(test, "p").select(F.sqrt(F.avg(F.pow(F.col("rbg") - F.col("p"), 2)))).first()[0]
         assert r.rmse == pytest.approx(error, abs=0.05) and r.own_rmse < r.rmse
+
+
+def test_likelihood_of_subjects_at_the_fit(spark):
+
+
+    r = np.random.default_rng(5)
+    rows = []
+    for s in range(60):
+        a, b = r.normal(0, 4), r.normal(0, 0.6)
+        rows += [(s, float(w), float(20 + a + (1.5 + b) * w + r.normal(0, 2))) for w in range(4, 40, 4)]
+    df = spark.createDataFrame(rows + [(99, None, 3.0)], "id int, week double, y double")
+    model = mixed_model(df, "y", ["week"], ["week"], "id")
+    back = np.array([[1.0, -model.center[0] / model.scale[0]], [0.0, 1.0 / model.scale[0]]])  # effects of the column as it is
+
+    def total(coef, sigma2):
+        found = subject_likelihoods(df, "y", ["week"], ["week"], "id", coef, back @ model.covariance @ back.T, sigma2).toPandas()
+        assert len(found) == 60 and (found["n"] == 9).all()
+        return found["loglik"].sum()
+
+    best = total(model.coef, model.sigma2)
+    assert abs(best - model.loglik) < 1e-6 * abs(best)
+    for moved in ([0.3, 0.0], [-0.3, 0.0], [0.0, 0.05], [0.0, -0.05]):
+        assert total(model.coef + np.array(moved), model.sigma2) < best
+    assert max(total(model.coef, model.sigma2 * 1.1), total(model.coef, model.sigma2 / 1.1)) < best
