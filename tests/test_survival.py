@@ -276,8 +276,6 @@ def test_cross_validation_scores_each_fold_under_the_models_of_the_others(spark)
 
 
 def test_likelihood_of_subjects_at_the_fit(spark):
-
-
     r = np.random.default_rng(5)
     rows = []
     for s in range(60):
