@@ -11,7 +11,7 @@ from cohortline.functions import columns as C
 from cohortline.operators import clean, onset as O
 from cohortline.plans.joint import index_categories
 from cohortline.session import scratch_path
-from cohortline.sources.tables import list_tables, read_ids, read_table, write_table
+from cohortline.sources.tables import count_tables, list_tables, read_ids, read_table, write_table
 
 CUSTOMER = T.StructType([
     T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()),
@@ -35,9 +35,9 @@ _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
            "benchmark", "labels", "conversations")
 
 
-@query("s3_list_tables", " UNION ALL ".join(f"SELECT '{t}' AS table_name" for t in _TABLES))
+@query("s3_list_tables", " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in _TABLES))
 def s3(spark, d):
-    return list_tables(spark, d)
+    return count_tables(spark, d)
 
 
 @query("s3_list_written_tables", "SELECT 'nation' AS table_name, COUNT(*) AS n FROM nation UNION ALL SELECT 'region', COUNT(*) FROM region")

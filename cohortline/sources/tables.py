@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,20 +51,37 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return df.drop(df.columns[0]) if drop_index else df
 
 
+def _tables(spark: SparkSession, source: str | None) -> list[tuple[str, str]]:
+    """Name of each table with its path (folder) or full identifier (database)."""
+    if source is not None and "/" in source:
+        path = spark._jvm.org.apache.hadoop.fs.Path(source)
+        entries = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+        found = [(e.getPath().getName(), e.isDirectory(), e.getPath().toString()) for e in entries]
+        return [(n.removesuffix(".parquet"), p) for n, folder, p in found
+                if n[0] not in "._" and (n.endswith(".parquet") or folder and "." not in n)]
+    return [(t.name, ".".join("`" + part.replace("`", "``") + "`" for part in (t.catalog, *(t.namespace or []), t.name) if part))
+            for t in spark.catalog.listTables(source)]
+
+
 def list_tables(spark: SparkSession, source: str | None = None) -> DataFrame:
     """Names of the tables of a database (catalog name) or of a folder of Parquet tables (path).
 
     In a folder, a table is a ``.parquet`` file, or a folder of part files with that ending or without one.
     """
-    if source is not None and "/" in source:
-        path = spark._jvm.org.apache.hadoop.fs.Path(source)
-        entries = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
-        found = [(e.getPath().getName(), e.isDirectory()) for e in entries]
-        names = [(n.removesuffix(".parquet"),) for n, folder in found
-                 if n[0] not in "._" and (n.endswith(".parquet") or folder and "." not in n)]
-    else:
-        names = [(t.name,) for t in spark.catalog.listTables(source)]
-    return spark.createDataFrame(names, "table_name string")
+    return spark.createDataFrame([(name,) for name, _ in _tables(spark, source)], "table_name string")
+
+
+def count_tables(spark: SparkSession, source: str | None = None) -> DataFrame:
+    """The tables of ``list_tables``, each with its number of rows. A folder of other files than Parquet fails."""
+    counts = spark.createDataFrame([], "table_name string, n_rows long")
+    for name, at in _tables(spark, source):
+        if source is not None and "/" in source:
+            # No column is needed, so none is declared, which also admits types and names that Spark does not read.
+            rows = spark.read.schema(T.StructType([])).parquet(re.sub(r"([\\*?{}\[\]])", r"\\\1", at))  # no pattern
+        else:
+            rows = spark.table(at)
+        counts = counts.unionByName(rows.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows")))
+    return counts
 
 
 def read_ids(spark: SparkSession, path: str, name: str = "subject_id", dtype: str = "string") -> DataFrame:

@@ -1,12 +1,15 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from cohortline.functions import columns as C
 from cohortline.operators import clean
 from cohortline.operators.panel import pivot_result, pivot_weeks, stack_pivots, wide_export
 from cohortline.sources import tables as T
+from tests.compare import TABLES, connect
 
 
 def rows(df, *cols):
@@ -126,6 +129,32 @@ def test_tables_of_a_folder(spark, tmp_path):
     assert sorted(r.table_name for r in T.list_tables(spark, str(tmp_path)).collect()) == ["a", "b", "c"]
 
 
+def test_rows_of_each_table_of_a_folder_are_counted(spark, tmp_path):
+    query = entry.queries()["s3_list_tables"]
+    assert query(spark, str(tmp_path)).collect() == []
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/a.parquet")
+    spark.range(7).selectExpr("id", "id % 2 AS k").write.partitionBy("k").parquet(f"{tmp_path}/b")
+    spark.range(0).write.parquet(f"{tmp_path}/none.parquet")
+    pd.DataFrame({"x": pd.to_datetime(["2020-01-01"] * 3).astype("datetime64[ns]")}).to_parquet(f"{tmp_path}/days.parquet")
+    pd.DataFrame({"x": [1, 2], "X": [1, 2]}).to_parquet(f"{tmp_path}/x[1].parquet")
+    pd.DataFrame({"x": [None] * 5}, dtype="float").to_parquet(f"{tmp_path}/x1.parquet")
+    pd.DataFrame({"x": [1]}).to_parquet(f"{tmp_path}/two words %20.parquet")
+    assert rows(query(spark, str(tmp_path)), "table_name", "n_rows") == [
+        ("a", 10), ("b", 7), ("days", 3), ("none", 0), ("two words %20", 1), ("x1", 5), ("x[1]", 2)]
+
+
+def test_rows_of_all_given_tables_are_counted_by_query_and_sql(spark, data):
+    want = sorted((t, spark.read.parquet(f"{data}/{t}.parquet").count()) for t in TABLES)
+    assert rows(entry.queries()["s3_list_tables"](spark, data), "table_name", "n_rows") == want
+    assert sorted(connect(data).sql(entry.oracle_sql()["s3_list_tables"]).fetchall()) == want
+
+
+def test_rows_of_tables_of_the_catalog_are_counted(spark):
+    session = spark.newSession()
+    session.range(4).createOrReplaceTempView("`four rows`")
+    assert ("four rows", 4) in rows(T.count_tables(session), "table_name", "n_rows")
+
+
 def test_wide_export_of_texts(spark, monkeypatch):
     from cohortline.operators import panel
 
