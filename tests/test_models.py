@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cohortline.operators.evaluate import classification_report, feature_auc, roc_auc, roc_curve
-from cohortline.operators.neighbours import build_tree, knn_classify, leaves_near, nearest_neighbours
+from cohortline.operators.neighbours import _blocks, build_tree, knn_classify, leaves_near, nearest_neighbours
 from cohortline.plans.features import SWEEP_OPTIONS
 from cohortline.plans.joint import index_categories
 from cohortline.plans.models import fit_model, importances, tree_rules
@@ -52,6 +53,34 @@ def test_tree_bounds_the_work(spark):
     assert met[1] < 1.5 * met[0] and met[1] < 800
 
 
+def test_leaves_smaller_than_k_bound_the_search(spark):
+    """With leaves of fewer points than neighbours a query point still meets few of them, whole neighbours and all."""
+    x = F.array(*[F.randn(i) for i in range(4)])
+    points = spark.range(4_000).select(F.col("id").alias("subject_id"), F.lit(1).alias("_label"), x.alias("x"))
+    queries = spark.range(40).select(F.col("id").alias("subject_id"), F.array(*[F.randn(i + 50) for i in range(4)]).alias("x"))
+    tree = build_tree(points, 4, leaf_rows=4)
+    wanted = {}
+    for r in leaves_near(tree, queries, 4, "subject_id", 5, 2).collect():
+        wanted.setdefault(r.subject_id, set()).add(r.leaf)
+    assert sum(map(len, wanted.values())) / 40 < tree.nodes.where("leaf").count() / 10
+    stored = tree.points.collect()
+    t = np.array([r.x for r in stored])
+    for q in queries.collect():
+        d = np.sqrt(((t - np.array(q.x)) ** 2).sum(axis=1))
+        assert {stored[i].leaf for i in np.argsort(d)[:5]} <= wanted[q.subject_id]
+
+
+def test_small_leaves_share_a_call():
+    """Units of one size are compared together: as many blocks as sizes, each query point with all points of its unit and no others."""
+    units = pd.Series([f"{i % 3000}:0" for i in range(9_000)] + ["big:0"] * 50)
+    asked = pd.Series([f"{i % 3000}:0" for i in range(6_000)] + ["big:0"] * 7 + ["none:0"])
+    blocks = list(_blocks(units, asked, 4))
+    assert len(blocks) == 2 and sum(len(rows) for rows, _ in blocks) == 6_007
+    for rows, near in blocks:
+        for row, line in zip(rows, near, strict=True):
+            assert list(line) == sorted(line) and set(units[line]) == {asked[row]} and len(line) == (50 if asked[row] == "big:0" else 3)
+
+
 def test_points_that_cannot_be_split(spark):
     points = spark.createDataFrame([(i, 1, [1.0, 0.0] if i < 90 else [1.0, float(i)]) for i in range(100)], "subject_id int, _label int, x array<double>")
     tree = build_tree(points, 2, leaf_rows=4)
