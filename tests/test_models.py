@@ -1,4 +1,6 @@
 import random
+import threading
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortline.operators.evaluate import classification_report, feature_auc, roc_auc, roc_curve
 from cohortline.operators.neighbours import _blocks, build_tree, knn_classify, leaves_near, nearest_neighbours
+from cohortline.plans import selection
 from cohortline.plans.features import SWEEP_OPTIONS
 from cohortline.plans.joint import index_categories
 from cohortline.plans.models import fit_model, importances, tree_rules
@@ -183,6 +186,24 @@ def test_comparison(spark):
     assert {r.model for r in table} == {"tree", "ridge"} and all(0.5 < r.M <= 1 for r in table)
 
 
+def test_comparison_fits_side_by_side(spark, monkeypatch):
+    """Fits of all models and groups run at once, and each score stays with its own fit."""
+    at_once = threading.Barrier(8)
+
+    def fit(family, train, *rest):
+        at_once.wait(120)
+        seen = {(r.sex, r._fold0) for r in train.select("sex", "_fold0").distinct().collect()}
+        return SimpleNamespace(transform=lambda df: (family, seen))
+
+    names = {"tree": 0.1, "ridge": 0.2}
+    monkeypatch.setattr(selection, "fit_model", fit)
+    monkeypatch.setattr(selection, "_score", lambda got, label, metric: names[got[0]] + min(f for _, f in got[1]) + 10 * (min(got[1])[0] == "M"))
+    scores = compare_models(points(spark, 60, 14), {f: {} for f in names}, ["f0", "f1"], k=2, repeats=1).collect()
+    assert len(scores) == 8
+    for r in scores:
+        assert r.score == pytest.approx(names[r.model] + (1 - r.fold) + 10 * (r.sex == "M"))
+
+
 def test_elimination_keeps_the_feature_that_matters(spark):
     df = points(spark, 200, 13, dims=2).withColumn("noise", F.rand(1)).withColumn("label", (F.col("f0") > 0).cast("int"))
     chosen, table, sizes = rfe_cv(df, ["f0", "f1", "noise"], params={"criterion": "entropy", "max_depth": 3, "n_trees": 5}, k=2)
